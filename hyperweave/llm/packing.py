@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import sys
 from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,6 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.eos = max(ranks.values()) + 1
         self.dtype = np.dtype("<u2" if self.eos < 1 << 16 else "<u4")
-        self.words = _Words(self)
 
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian bytes."""
@@ -127,7 +127,10 @@ def matrices(pieces: list[tuple], seq_len: int, rows: int, pad: int, dtype: np.d
         yield {"n_rows": len(part), "n_tokens": n_tokens, "ids": ids.tobytes(), "positions": positions.tobytes(), "cu_seqlens": ends, "doc_ids": docs, "starts": starts}
 
 
-_TOKENIZERS: dict[str, Tokenizer] = {}
+@lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> Tokenizer:
+    """One for each worker process."""
+    return Tokenizer(path)
 
 
 def pack(df: DataFrame, id_: str = "doc_id", text: str = "text", vocabulary: str | None = None, seq_len: int = SEQ_LEN, rows: int = ROWS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -144,7 +147,7 @@ def pack(df: DataFrame, id_: str = "doc_id", text: str = "text", vocabulary: str
     fields = pa.schema([("n_rows", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("positions", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
 
     def packed(batches):
-        tokenizer = _TOKENIZERS.get(path) or _TOKENIZERS.setdefault(path, Tokenizer(path))
+        tokenizer = tokenizer_of(path)
         pieces, held = [], 0
 
         def out():
