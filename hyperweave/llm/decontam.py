@@ -132,7 +132,7 @@ class Matcher:
         items: set = set()
         for a, b in zip(starts[long].tolist(), ends[long].tolist()):
             self._stream(ids[a:b].tolist(), a, out, items)
-        return out, items
+        return union(out), items
 
     def _stream(self, ids: list[int], offset: int, out: list, items: set) -> None:
         auto, spans = self.automaton, []
