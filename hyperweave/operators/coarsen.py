@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.u32 import noise
-from ..schema import HGraph
+from ..schema import GraphError, HGraph
 from ..tables import prefix_sums, stored
 from .metrics import Constraints
 from .structure import incidence, pairs
@@ -77,13 +77,15 @@ def tree_roots(pointers: DataFrame) -> DataFrame:
     """pointers(v, u) to (v, root) by pointer doubling; the root of a mutual pair is its lower id."""
     mutual = pointers.alias("a").join(pointers.alias("b"), (F.col("a.v") == F.col("b.u")) & (F.col("a.u") == F.col("b.v"))).where("a.v < a.u").select(F.col("a.v").alias("v"))
     jump = stored(pointers.join(mutual, "v", "left_anti").select("v", F.col("u").alias("root")), "roots")
-    while True:
+    for _ in range(64):
         step = jump.select(F.col("v").alias("root"), F.col("root").alias("further"))
         moved = jump.join(step, "root", "left").select("v", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("more"))
         moved = stored(moved, "roots")
         jump = moved.select("v", "root")
         if not moved.where("more").limit(1).count():
             break
+    else:
+        raise GraphError("the pointers hold a cycle of more than two nodes")
     ends = jump.select(F.col("root").alias("v")).unionByName(mutual).distinct().select("v", F.col("v").alias("root"))
     return jump.unionByName(ends).distinct()
 
@@ -91,20 +93,22 @@ def tree_roots(pointers: DataFrame) -> DataFrame:
 def matching(proposals: DataFrame, tree_rows: int = 1_000_000) -> DataFrame:
     """pairs(v, u) from candidates(v, rank, u, score), each node at most once.
 
-    Round i: every free node points at its i-th candidate if that is free. A component of pointers is
-    a tree; a heaviest matching of it is taken. Trees of more than ``tree_rows`` nodes take mutual
-    pointers only, so that no task must hold one.
+    One round per rank: every free node points at its best candidate that is still free. As scores are
+    symmetric and ties go to the higher id, pointers form trees that end in a mutual pair or in a node
+    without a pointer; a heaviest matching of each tree is taken. Trees of more than ``tree_rows`` nodes
+    take mutual pointers only, so that no task must hold one.
     """
     spark, done = proposals.sparkSession, None
-    ranks = [r.rank for r in proposals.select("rank").distinct().orderBy("rank").collect()]  # at most MAX_CANDIDATES
-    for rank in ranks:
-        points = proposals.where(F.col("rank") == rank).select("v", "u", "score")
+    rounds = (proposals.agg(F.max("rank")).first()[0] or 0) + 1
+    for _ in range(rounds):
+        free = proposals
         if done is not None:
             taken = done.select(F.explode(F.array("v", "u")).alias("x"))
-            points = points.join(taken, F.col("v") == F.col("x"), "left_anti").join(taken, F.col("u") == F.col("x"), "left_anti")
-        points = stored(points, "pointers")
+            free = free.join(taken, F.col("v") == F.col("x"), "left_anti").join(taken, F.col("u") == F.col("x"), "left_anti")
+        best = free.groupBy("v").agg(F.max(F.struct("score", "u")).alias("b"))
+        points = stored(best.select("v", F.col("b.u").alias("u"), F.col("b.score").alias("score")), "pointers")
         if not points.limit(1).count():
-            continue
+            break
         roots = tree_roots(points.select("v", "u"))
         trees = points.join(roots, "v")
         large = trees.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > tree_rows).select("root")
