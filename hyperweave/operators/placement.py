@@ -26,7 +26,8 @@ def forces(pins: DataFrame, edges: DataFrame, placement: DataFrame) -> DataFrame
     distance 1 gets no closer (a swap trades places).
     """
     other = placement.select(F.col("v").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"))
-    near = pairs(pins).select("e", "v", "u").join(edges, "e").join(placement, "v").join(other, "u")
+    weights = pairs(pins).select("e", "v", "u").join(edges, "e").groupBy("v", "u").agg(F.sum("w").alias("w"))  # one row a pair before places are joined
+    near = weights.join(placement, "v").join(other, "u")
     dx, dy = F.col("ux") - F.col("x"), F.col("uy") - F.col("y")
     far = F.abs(dx) + F.abs(dy)
 

@@ -88,11 +88,14 @@ def chained(moves: DataFrame, nodes: DataFrame, rounds: int = 4, candidates: int
         offers = offers.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
         take = Window.partitionBy("next").orderBy(F.desc("gain"), "v")
         new = offers.withColumn("k", F.row_number().over(take)).where("k = 1").select("v", "next")
-        new = stored(_without_cycles(new if links is None else links.unionByName(new)), "links")
-        if links is not None and new.count() == links.count():
+        new = stored(new, "links")
+        if not new.limit(1).count():
             break
-        links = new
-    heads = stored(out.select("v").join(links, "v", "left"), "heads") if links is not None else out.select("v", F.lit(None).cast("bigint").alias("next"))
+        links = new if links is None else links.unionByName(new)
+    if links is None:
+        heads = out.select("v", F.lit(None).cast("bigint").alias("next"))
+    else:
+        heads = stored(out.select("v").join(_without_cycles(links), "v", "left"), "heads")
     chain = _chain_heads(heads)
     placed = out.join(chain, "v")
     total = Window.partitionBy("head")

@@ -45,12 +45,12 @@ def raw_pins(spark, sf_dir) -> DataFrame:
     return lines.select(F.col("l_orderkey").alias("e"), F.col("l_partkey").alias("v"), first.alias("is_src"))
 
 
-def quotient64(spark, sf_dir) -> tuple[HGraph, DataFrame]:
-    """The directed basket graph between 64 parts, and their places."""
+def quotient64(spark, sf_dir, k: int = 64) -> tuple[HGraph, DataFrame]:
+    """The directed basket graph between k parts, and their places."""
     graph = basket(spark, sf_dir, directed=True)
-    rows = metrics.quotient(graph, parts_of(graph, 64))
+    rows = metrics.quotient(graph, parts_of(graph, k))
     pin = lambda c, role: rows.select("e", F.explode(c).alias("v"), F.lit(role).alias("is_src"))
-    nodes = spark.range(64).select(F.col("id").alias("v"), F.lit(1).cast("bigint").alias("size"))
+    nodes = spark.range(k).select(F.col("id").alias("v"), F.lit(1).cast("bigint").alias("size"))
     at = nodes.select("v", (F.col("v") % 8).cast("int").alias("x"), F.floor(F.col("v") / 8).cast("int").alias("y"))
     return HGraph(nodes, rows.select("e", "w"), pin("srcs", True).unionByName(pin("dsts", False))), at
 
@@ -493,21 +493,16 @@ def hull_locality(spark, sf_dir):
     return hardware.locality(graph.pins, graph.edges, at).select(*map(six, ("ar_mean", "geo_mean", "ar_mean_weighted", "geo_mean_weighted")))
 
 
-@query
-def partition_incc(spark, sf_dir):
-    return partition(basket(spark, sf_dir, directed=True), Constraints(128, 3000, 4096), candidates=2, repeats=1)
-
-
-@query
-def partition_kway(spark, sf_dir):
-    return partition(basket(spark, sf_dir), k=4, eps=0.1, candidates=2, repeats=1, kway_nodes=600, starts=8)
+def _squished(spark, sf_dir, k):
+    """The quotient between k parts with equal hyperedges merged, as a placer expects it."""
+    graph = basket(spark, sf_dir, directed=True)
+    quotient = metrics.quotient_graph(graph, parts_of(graph, k))
+    return HGraph(stored(quotient.nodes), stored(quotient.edges), stored(quotient.pins))
 
 
 @query
 def locality_order(spark, sf_dir):
-    graph, _ = quotient64(spark, sf_dir)
-    graph = HGraph(graph.nodes, stored(graph.edges), stored(graph.pins))
-    return ordering.locality_order(graph, repeats=1)
+    return ordering.locality_order(_squished(spark, sf_dir, 16), repeats=1)
 
 
 @query
@@ -517,6 +512,14 @@ def feed_forward(spark, sf_dir):
 
 @query
 def place(spark, sf_dir):
-    graph, _ = quotient64(spark, sf_dir)
-    graph = HGraph(graph.nodes, stored(graph.edges), stored(graph.pins))
-    return placement.place(graph, replace(HW, width=8, height=8), repeats=1, iterations=2, k=2)
+    return placement.place(_squished(spark, sf_dir, 16), replace(HW, width=5, height=4), repeats=1, iterations=1, k=2)
+
+
+@query
+def partition_incc(spark, sf_dir):
+    return partition(_squished(spark, sf_dir, 16), Constraints(4, 1 << 20, 16), candidates=1, repeats=1)
+
+
+@query
+def partition_kway(spark, sf_dir):
+    return partition(_squished(spark, sf_dir, 16), k=2, eps=0.1, candidates=1, repeats=1, kway_nodes=8, starts=8)
