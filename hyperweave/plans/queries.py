@@ -517,9 +517,11 @@ def place(spark, sf_dir):
 
 @query
 def partition_incc(spark, sf_dir):
-    return partition(_squished(spark, sf_dir, 16), Constraints(4, 1 << 20, 16), candidates=1, repeats=1)
+    graph = _squished(spark, sf_dir, 16)
+    largest = graph.nodes.agg(F.max("size")).first()[0]
+    return partition(graph, Constraints(2 * largest, 1 << 20, 16), candidates=1, repeats=0)
 
 
 @query
 def partition_kway(spark, sf_dir):
-    return partition(_squished(spark, sf_dir, 16), k=2, eps=0.1, candidates=1, repeats=1, kway_nodes=8, starts=8)
+    return partition(_squished(spark, sf_dir, 16), k=2, eps=0.3, candidates=1, repeats=0, kway_nodes=16, starts=8)
