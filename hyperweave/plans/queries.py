@@ -18,7 +18,7 @@ from ..operators.metrics import Constraints
 from ..schema import HGraph
 from ..sources.relational import basket, supply, user_events
 from ..tables import stored
-from .partition import partition
+from .partition import KWAY_NODES, partition
 
 LIMITS = Constraints(300, 12_000, 64)
 PAIR_LIMITS = Constraints(64, 60, 4096)
@@ -517,11 +517,11 @@ def place(spark, sf_dir):
 
 @query
 def partition_incc(spark, sf_dir):
-    graph = _squished(spark, sf_dir, 16)
-    largest = graph.nodes.agg(F.max("size")).first()[0]
-    return partition(graph, Constraints(2 * largest, 1 << 20, 16), candidates=1, repeats=0)
+    return partition(basket(spark, sf_dir, directed=True), Constraints(128, 3000, 4096))
 
 
 @query
 def partition_kway(spark, sf_dir):
-    return partition(_squished(spark, sf_dir, 16), k=2, eps=0.3, candidates=1, repeats=0, kway_nodes=16, starts=8)
+    graph = basket(spark, sf_dir, directed=True)
+    # a third of the nodes at most, so that tables of any size are coarsened and refined
+    return partition(graph, k=4, eps=0.1, kway_nodes=min(KWAY_NODES, graph.nodes.count() // 3))

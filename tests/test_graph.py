@@ -9,6 +9,7 @@ import pytest
 from hyperweave.functions import curves, geometry, u32
 from hyperweave.operators import coarsen, hardware, initial, metrics, ordering, placement, refine, structure
 from hyperweave.operators.metrics import Constraints
+from hyperweave.plans import queries
 from hyperweave.plans.grade import grade
 from hyperweave.plans.partition import partition
 from hyperweave.schema import GraphError, HGraph, validate
@@ -17,6 +18,7 @@ from hyperweave.sources.generate import scaled
 from hyperweave.streaming.metrics import watch
 from pyspark.sql import functions as F
 
+SF = "/root/testdata/sf0.001"
 PATH4 = (4, [([0], [1], 1), ([1], [2], 1), ([2], [3], 1)])
 
 
@@ -220,6 +222,17 @@ def test_partition_plans(spark):
         partition(graph, limits, k=2)
 
 
+def test_partition_queries_take_the_whole_graph(spark, monkeypatch):
+    calls = {}
+    monkeypatch.setattr(queries, "partition", lambda graph, *limits, **given: calls.update({len(calls): (graph, given)}) or graph.nodes)
+    for name in ("partition_incc", "partition_kway"):
+        queries.QUERIES[name](spark, SF)
+    n = spark.read.parquet(f"{SF}/part.parquet").count()
+    for graph, given in calls.values():
+        assert graph.nodes.count() == n and not {"candidates", "repeats", "starts"} & set(given)
+    assert 0 < calls[1][1]["kway_nodes"] < n / 2  # one level at least
+
+
 def brute_snake(n, w, h):
     return [(x, y if x % 2 == 0 else h - 1 - y) for x in range(w) for y in range(h)][:n]
 
