@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,13 +92,49 @@ def tree_roots(pointers: DataFrame) -> DataFrame:
     return jump.unionByName(ends).distinct()
 
 
+def match_levels(points: DataFrame) -> DataFrame:
+    """pairs(v, u) of the matching that ``match_tree`` makes of each tree of points(v, u, score), by joins.
+
+    ``best`` and ``free`` go up from the leaves, a level at a time, then choices come down from the
+    roots: two small jobs a level, and no task holds a tree.
+    """
+    turned = points.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    hung = stored(points.join(turned.where("v < u"), ["v", "u"], "left_anti"), "hung")  # the lower id of a mutual pair is a root
+    depth = stored(hung.select("v", F.col("u").alias("at"), F.lit(1).cast("bigint").alias("depth")), "depths")
+    while True:
+        step = depth.select(F.col("v").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"))
+        moved = depth.join(step, "at", "left").select("v", F.coalesce("further", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("grew"))
+        moved = stored(moved, "depths")
+        depth = moved.drop("grew")
+        if not moved.where("grew").limit(1).count():
+            break
+    nodes = stored(hung.join(depth.select("v", "depth"), "v").sortWithinPartitions("depth"), "levels")
+    choices, below = [], None
+    for d in range(nodes.agg(F.max("depth")).first()[0] or 0, 0, -1):
+        row = nodes.where(F.col("depth") == d)
+        row = row.withColumns({"best": F.lit(0), "free": F.lit(0)}) if below is None else row.join(below.select("v", "best", "free"), "v", "left").na.fill(0, ["best", "free"])
+        gain = F.struct((F.col("score") + F.col("free") - F.col("best")).alias("gain"), (-F.col("v")).alias("lower"))
+        up = row.groupBy(F.col("u").alias("v")).agg(F.sum("best").alias("free"), F.max(gain).alias("top"))
+        up = up.select("v", "free", (F.col("free") + F.greatest("top.gain", F.lit(0))).alias("best"), F.when(F.col("top.gain") > 0, -F.col("top.lower")).alias("pick"))
+        below = stored(up, "choices")
+        choices.append(below)
+    pairs_, last = [], None
+    for level in reversed(choices):
+        level = level.where("pick IS NOT NULL").select("v", F.col("pick").alias("u"))
+        if last is not None:
+            level = level.join(last.select(F.col("u").alias("v")), "v", "left_anti")
+        last = stored(level, "picked")
+        pairs_.append(last)
+    return reduce(DataFrame.unionByName, pairs_) if pairs_ else points.select("v", "u").limit(0)
+
+
 def matching(proposals: DataFrame, tree_rows: int = 1_000_000) -> DataFrame:
     """pairs(v, u) from candidates(v, rank, u, score), each node at most once.
 
     One round per rank: every free node points at its best candidate that is still free. As scores are
     symmetric and ties go to the higher id, pointers form trees that end in a mutual pair or in a node
     without a pointer; a heaviest matching of each tree is taken. Trees of more than ``tree_rows`` nodes
-    take mutual pointers only, so that no task must hold one.
+    get the same matching by ``match_levels``, so that no task must hold one.
     """
     spark, done = proposals.sparkSession, None
     rounds = (proposals.agg(F.max("rank")).first()[0] or 0) + 1
@@ -113,9 +151,10 @@ def matching(proposals: DataFrame, tree_rows: int = 1_000_000) -> DataFrame:
         trees = points.join(roots, "v")
         large = trees.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > tree_rows).select("root")
         small = trees.join(large, "root", "left_anti").groupBy("root").applyInPandas(lambda rows: match_tree(rows), "v bigint, u bigint, score bigint").select("v", "u")
-        rest = trees.join(large, "root", "left_semi").select("v", "u")
-        mutual = rest.join(rest.select(F.col("v").alias("u"), F.col("u").alias("v")), ["v", "u"], "left_semi").where("v < u")
-        new = small.unionByName(mutual).select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u"))
+        rest = stored(trees.join(large, "root", "left_semi").select("v", "u", "score"), "large")
+        if rest.limit(1).count():
+            small = small.unionByName(match_levels(rest))
+        new = small.select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u"))
         done = stored(new if done is None else done.unionByName(new), "matched")
     return done if done is not None else spark.createDataFrame([], "v bigint, u bigint")
 

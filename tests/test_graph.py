@@ -142,6 +142,28 @@ def test_tree_matching_is_heaviest():
         assert got["score"].sum() == best
 
 
+def test_large_trees_get_the_same_matching(spark):
+    import pandas as pd
+
+    rng = random.Random(5)
+    rows, forest = [], []
+    for t in range(30):  # every second tree ends in a mutual pair, every third has a hub, few scores so that ties occur
+        base, n = 100 * t, rng.randrange(2, 40)
+        tree = [(base + v, base + (0 if t % 3 == 0 else rng.randrange(max(0, v - 4), v)), rng.randrange(1, 9)) for v in range(1, n)]
+        if t % 2:
+            tree.append((base, *next((v, s) for v, u, s in tree if u == base)))
+        forest.append(tree)
+        rows += tree
+    ends = lambda ps: {tuple(sorted((int(v), int(u)))) for v, u in ps}
+    want = set().union(*(ends(coarsen.match_tree(pd.DataFrame(t, columns=["v", "u", "score"]))[["v", "u"]].values.tolist()) for t in forest))
+    got = coarsen.match_levels(spark.createDataFrame(rows, "v bigint, u bigint, score bigint")).collect()
+    assert ends(got) == want and len(got) == len(want)
+    # a hub on which others hang: with mutual pointers only, the pairs (2, 3) and (4, 5) are lost
+    found = [(0, 0, 1, 90), (1, 0, 0, 90), (2, 0, 0, 5), (3, 0, 2, 4), (4, 0, 0, 3), (5, 0, 4, 2)]
+    found = spark.createDataFrame(found, "v bigint, rank int, u bigint, score bigint")
+    assert ends(coarsen.matching(found, tree_rows=1).collect()) == ends(coarsen.matching(found).collect()) == {(0, 1), (2, 3), (4, 5)}
+
+
 def test_orphans_pair_small_with_large(spark):
     nodes = spark.createDataFrame([(v, v + 1) for v in range(5)], "v bigint, size bigint")
     none = spark.createDataFrame([], "v bigint, rank int, u bigint, score bigint")
