@@ -493,7 +493,7 @@ def hull_locality(spark, sf_dir):
     return hardware.locality(graph.pins, graph.edges, at).select(*map(six, ("ar_mean", "geo_mean", "ar_mean_weighted", "geo_mean_weighted")))
 
 
-def _squished(spark, sf_dir, k):
+def _squished(spark, sf_dir, k=64):
     """The quotient between k parts with equal hyperedges merged, as a placer expects it."""
     graph = basket(spark, sf_dir, directed=True)
     quotient = metrics.quotient_graph(graph, parts_of(graph, k))
@@ -502,7 +502,7 @@ def _squished(spark, sf_dir, k):
 
 @query
 def locality_order(spark, sf_dir):
-    return ordering.locality_order(_squished(spark, sf_dir, 16), repeats=1)
+    return ordering.locality_order(_squished(spark, sf_dir))
 
 
 @query
@@ -512,7 +512,7 @@ def feed_forward(spark, sf_dir):
 
 @query
 def place(spark, sf_dir):
-    return placement.place(_squished(spark, sf_dir, 16), replace(HW, width=5, height=4), repeats=1, iterations=1, k=2)
+    return placement.place(_squished(spark, sf_dir), HW)
 
 
 @query

@@ -255,6 +255,17 @@ def test_partition_queries_take_the_whole_graph(spark, monkeypatch):
     assert 0 < calls[1][1]["kway_nodes"] < n / 2  # one level at least
 
 
+def test_placement_queries_take_64_parts_and_the_defaults(spark, monkeypatch):
+    calls = []
+    note = lambda graph, *hw, **given: calls.append((graph, hw, given)) or graph.nodes
+    monkeypatch.setattr(queries.ordering, "locality_order", note)
+    monkeypatch.setattr(queries.placement, "place", note)
+    for name in ("locality_order", "place"):
+        queries.QUERIES[name](spark, SF)
+    assert [graph.nodes.count() for graph, _, _ in calls] == [64, 64]
+    assert [(hw, given) for _, hw, given in calls] == [((), {}), ((queries.HW,), {})]
+
+
 def brute_snake(n, w, h):
     return [(x, y if x % 2 == 0 else h - 1 - y) for x in range(w) for y in range(h)][:n]
 
