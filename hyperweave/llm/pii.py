@@ -25,7 +25,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _IDNUM = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCALPHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 #: Score of a confirmed match without context, and words that add to it.
@@ -79,6 +79,21 @@ def small_part(part: str) -> bool:
     return len(short) <= 3 and int(short or "0") <= 255
 
 
+def ibans(text: str):
+    """Spans of the longest reading of each candidate that holds: 15 to 34 characters that end at a word boundary."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        start, at = m.start(), m.start() + 1
+        for end in range(m.end(), start + 14, -1):
+            if text[end - 1] == " " or text[end : end + 1].isascii() and text[end : end + 1].isalnum():
+                continue
+            plain = text[start:end].replace(" ", "")
+            if len(plain) >= 15 and mod97(plain):
+                yield start, end
+                at = end
+                break
+
+
 def candidates(text: str):
     """(kind, start, end) whose check holds."""
     for start, end in emails(text):
@@ -92,9 +107,7 @@ def candidates(text: str):
     for m in _PHONE.finditer(text):
         if 9 <= len(digits_of(m[0])) <= 15:
             yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if len(plain := m[0].replace(" ", "")) <= 34 and mod97(plain):
-            yield "iban", *m.span()
+    yield from (("iban", *span) for span in ibans(text))
     for kind, pattern in (("idnum", _IDNUM), ("localphone", _LOCALPHONE)):
         for m in pattern.finditer(text):
             yield kind, *m.span()

@@ -56,6 +56,20 @@ def test_pii_examples():
     assert pii.mod97("GB82WEST12345698765432") and not pii.mod97("GB83WEST12345698765432")
 
 
+@pytest.mark.parametrize("after", ["", " BIC XXXX", " EUR 500", " A", " AND MORE CAPITAL WORDS FOLLOW HERE", "."])
+@pytest.mark.parametrize("iban", ["GB82WEST12345698765432", "GB82 WEST 1234 5698 7654 32"])
+def test_pii_iban_ends_before_the_next_word(iban, after):
+    text = "NR 12 TO " + iban + after
+    assert [text[a:b] for kind, a, b, _ in pii.spans_of(text) if kind == "iban"] == [iban]
+
+
+def test_pii_iban_needs_its_end():
+    for text in ("GB82WEST12345698765432X", "GB82WEST12345698765432x", "xGB82WEST12345698765432", "GB83WEST12345698765432 BIC"):
+        assert not list(pii.ibans(text))
+    for text in ("AA11" * 100_000, "AA11 " * 100_000):
+        list(pii.ibans(text))
+
+
 def test_pii_long_texts_are_linear():
     for text in ("a" * 400_000, "1" * 400_000, "a@" * 100_000, "1." * 100_000, "+1" + " " * 300_000, "1-" * 100_000):
         pii.spans_of(text)
