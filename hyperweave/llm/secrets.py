@@ -74,9 +74,10 @@ def candidates(df: DataFrame, text: str = "text", out: str = "secrets") -> DataF
     return found.select(*[own(found, c) for c in df.columns if c != text], F.sort_array(F.concat(*arrays)).alias(out))
 
 
-def ownership(found: DataFrame, owner: str, repository: str, spans: str = "secrets", examples_from: int = 3) -> DataFrame:
+def ownership(found: DataFrame, owner: str, repository: str, spans: str = "secrets", examples_from: int = 3, repositories_from: int = 100) -> DataFrame:
     """One row per candidate hash: n_repositories, n_owners, verdict ('copied', 'live' or 'unclear').
 
+    A value of ``examples_from`` owners or ``repositories_from`` repositories (of one owner, too) is copied.
     Null owners and repositories count as one of their own. (hash, repository, owner) rows are made
     distinct map-side first, so a value that everyone copies does not meet in one task.
     """
@@ -85,7 +86,7 @@ def ownership(found: DataFrame, owner: str, repository: str, spans: str = "secre
     held = rows.groupBy(F.col("s.hash").alias("hash"), "owner", "repository").agg(F.max("s.random").alias("random"))
     counts = held.groupBy("hash", "owner").agg(F.count("*").alias("n"), F.max("random").alias("random")).groupBy("hash").agg(F.sum("n").alias("n_holdings"), F.count("*").alias("n_owners"), F.max("random").alias("random"))
     repositories = held.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("n_repositories"))
-    verdict = F.when(F.col("n_owners") >= examples_from, "copied").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("unclear")
+    verdict = F.when((F.col("n_owners") >= examples_from) | (F.col("n_repositories") >= repositories_from), "copied").when((F.col("n_owners") == 1) & F.col("random"), "live").otherwise("unclear")
     return counts.join(repositories, "hash").select("hash", "n_repositories", "n_owners", verdict.alias("verdict"))
 
 

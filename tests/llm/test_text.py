@@ -173,6 +173,14 @@ def test_secret_owners(spark):
     assert secrets.judged(df.limit(0), "text", "owner", "doc_id").count() == 0
 
 
+def test_secret_of_one_owner_in_many_repositories(spark):
+    pasted, live = "f3a9c1d7e5b2084697afc3d1", "7e1b9d3f5a0c8264b7d9e1f3"
+    rows = [(k, "hot", pasted) for k in range(100)] + [(k, "hot", live) for k in range(200, 299)]
+    df = spark.createDataFrame(rows, "doc_id long, owner string, text string")
+    said = {r.doc_id: r.verdicts for r in secrets.judged(df, "text", "owner", "doc_id").collect()}
+    assert said == {k: ["copied" if k < 100 else "live"] for k, _, _ in rows}
+
+
 # chat
 
 
