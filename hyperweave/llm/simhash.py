@@ -221,6 +221,18 @@ def links(points: DataFrame, m: int, radius: int = RADIUS, cell_rows: int = CELL
     return units.mapInArrow(lambda batches: _links_of_cells(batches, radius), "u long, v long").distinct()
 
 
+def near_classes(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``near_copies`` with ``class``: one fingerprint that stands for all of a component (least ids may be equal where ids repeat)."""
+    prints = written(fingerprints(df.select(own(df, id_).alias("id"), own(df, text).alias("text")), "text", "fp", shingle).drop("text"), "prints")
+    points = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "points")
+    m = groups_for(points.count(), radius)
+    roots = components(links(points.select("fp"), m, radius, cell_rows))
+    points = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    of_root = points.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
+    points = written(points.join(of_root, "root", "left").select("fp", F.coalesce("least", "first").alias("component"), F.coalesce("root", "fp").alias("class")), "classes")
+    return prints.join(points, "fp").select("id", "fp", "component", "class")
+
+
 def near_copies(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id, fp, component) for each row of ``df``: component is the least id reachable over links within ``radius``.
 
@@ -228,31 +240,27 @@ def near_copies(df: DataFrame, id_: str = "doc_id", text: str = "text", shingle:
     with a null id is linked like any other, but is never the least one (null if there is no other);
     repeated rows and ids stay as rows. An empty table gives an empty one. Texts are not shuffled.
     """
-    prints = written(fingerprints(df.select(own(df, id_).alias("id"), own(df, text).alias("text")), "text", "fp", shingle).drop("text"), "prints")
-    points = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "points")
-    m = groups_for(points.count(), radius)
-    roots = components(links(points.select("fp"), m, radius, cell_rows))
-    points = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    of_root = points.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    points = written(points.join(of_root, "root", "left").select("fp", F.coalesce("least", "first").alias("component")), "classes")
-    return prints.join(points, "fp").select("id", "fp", "component")
+    return near_classes(df, id_, text, shingle, radius, cell_rows).drop("class")
 
 
 def first_copies(df: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with one row of each component: the one with the least id.
 
     Rows with a null id stay only where no row of their component has an id (one of them then, by
-    fingerprint); where the least id is repeated, one of its rows stays.
+    fingerprint). An id may be repeated with other texts: its rows stand for each component of which it is
+    the least id, one row for each (that of the least fingerprint).
     """
-    rows = written(near_copies(df, id_, text), "copies")
-    # ids to drop; those that stay twice are thinned out apart, so that texts of other rows don't move for it
-    drop = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("c"), F.count("*").alias("n"))
-    gone = drop.where("id <> c").select(F.col("id").alias(id_))
-    twice = drop.where("id = c AND n > 1").select(F.col("id").alias(id_))
-    kept = df.join(gone, id_, "left_anti").where(own(df, id_).isNotNull())
-    once = kept.join(twice, id_, "left_anti").unionByName(kept.join(twice, id_, "left_semi").dropDuplicates([id_]))
-    lone = rows.where("id IS NULL AND component IS NULL").select("fp").distinct()
+    rows = written(near_classes(df, id_, text), "copies")
+    held = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("component").alias("c"), F.count("*").alias("n"))
+    gone = held.where("id <> c OR n > 1").select(F.col("id").alias(id_))
+    # rows of repeated ids are chosen by id and fingerprint, apart, so that texts of other rows don't move for it
     name = free_name(df, "fp")
+    first = rows.where("id = component").groupBy("class", "id").agg(F.min("fp").alias("fp"))
+    twice = written(first.join(held.where("n > 1").select("id"), "id", "left_semi").select(F.col("id").alias(id_), F.col("fp").alias(name)), "repeated")
+    kept = df.where(own(df, id_).isNotNull())
+    again = fingerprints(kept.join(twice.select(id_).distinct(), id_, "left_semi"), text, name).join(twice, [id_, name], "left_semi").dropDuplicates([id_, name])
+    once = kept.join(gone, id_, "left_anti").unionByName(again.select(*[own(again, c) for c in df.columns]))
+    lone = rows.where("id IS NULL AND component IS NULL").select("fp").distinct()
     nameless = fingerprints(df.where(own(df, id_).isNull()), text, name)
     nameless = nameless.join(lone.withColumnRenamed("fp", name), name, "left_semi").dropDuplicates([name])
     return once.unionByName(nameless.select(*[own(nameless, c) for c in df.columns])).select(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])

@@ -250,6 +250,19 @@ def test_near_copies_and_first_copies(spark):
     assert simhash.first_copies(df.limit(0)).count() == 0 and simhash.near_copies(df.limit(0)).count() == 0
 
 
+def test_first_copies_of_a_repeated_id(spark):
+    rng = random.Random(9)
+    long = lambda: [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    one, two, three, four = long(), long(), long(), long()
+    rows = [(1, one), (2, [*one[:-1], "changed"]), (1, two), (1, two), (1, three), (1, [*three[:-1], "changed"]), (6, four), (5, four), (6, two)]
+    df = spark.createDataFrame([(k, " ".join(t), "x") for k, t in rows], "doc_id long, text string, fp string")
+    kept = simhash.first_copies(df)
+    assert all((simhash.fingerprint(" ".join(t).encode()) ^ simhash.fingerprint(" ".join([*t[:-1], "changed"]).encode())).bit_count() <= simhash.RADIUS for t in (one, three))
+    firsts = {" ".join(t)[:20]: n for n, t in enumerate((one, two, three, four), 1)}
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, firsts[r.text[:20]]) for r in kept.collect()) == [(1, 1), (1, 2), (1, 3), (5, 4)]
+
+
 # the pipeline
 
 
