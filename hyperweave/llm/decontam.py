@@ -233,6 +233,20 @@ def without_spans(text: str, spans: list[tuple[int, int]], longer_than: int = WI
     return b"".join([*parts, data[done:]]).decode()
 
 
+def trimmed_rows(df: DataFrame, items: DataFrame, text: str = "text", longer_than: int = WINDOW) -> DataFrame:
+    """All rows, with each benchmark span of ``longer_than`` words or more cut from the text; null texts stay null."""
+    name = free_name(df, "hits")
+
+    @F.arrow_udf("string")
+    def cut(batch: pa.Array, spans: pa.Array) -> pa.Array:
+        rows = zip(utf8_rows(batch), spans.to_pylist())
+        return pa.array([t if t is None or not s else without_spans(bytes(t).decode(), [(x["start"], x["end"]) for x in s], longer_than).encode() for t, s in rows], pa.binary()).cast(pa.string())
+
+    found = find_hits(df, items, text, out=name)
+    cuts = cut.asNondeterministic()(own(found, text), F.col(name)["spans"])
+    return found.select(*[cuts.alias(c) if c == text else own(found, c) for c in df.columns])
+
+
 def clean_rows(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text is not contaminated, with the columns they had."""
     name = free_name(df, "hits")

@@ -274,3 +274,16 @@ def test_span_removal():
     text = "Keep this. One two, three four! And this."
     spans, _ = decontam.Matcher([("1", b"one two three four")], 3).spans(decontam.words_of(text.encode()))
     assert decontam.without_spans(text, spans, 3) == "Keep this. ! And this."
+
+
+def test_trimmed_rows_cut_what_the_verdict_leaves(spark):
+    passage = " ".join(f"p{k}" for k in range(90))
+    filler = [f"f{k}" for k in range(2000)]
+    texts = [" ".join([*filler[:700], passage, *filler[700:]]), None, "", "Nothing here."]
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    df = docs(spark, texts)
+    assert decontam.clean_rows(df, bench).count() == 4  # 4.3 % of the words: no verdict
+    rows = decontam.trimmed_rows(df, bench)
+    assert rows.columns == df.columns
+    got = {r.doc_id: r.text for r in rows.collect()}
+    assert got[0].split() == filler and [got[k] for k in (1, 2, 3)] == texts[1:]
