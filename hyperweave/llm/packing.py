@@ -8,21 +8,24 @@ open bins are found with a segment tree over remaining capacities. Full sequence
 from __future__ import annotations
 
 import base64
+import hashlib
 import sys
 from array import array
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import own, table, utf8_rows
 
 SEQ_LEN, ROWS, BLOCK_TOKENS = 2048, 32, 1 << 21
-SCHEMA = "n_rows int, n_tokens long, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, starts array<long>"
-#: The pattern that cuts a text into the pieces which byte-pair merges stay within.
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+SCHEMA = "n_rows int, n_tokens long, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<{id}>, starts array<long>"
+#: The pattern that cuts a text into the pieces which byte-pair merges stay within. White space goes in
+#: pieces of 4096 characters at most: the matcher keeps a stack entry for each character of such a run.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s{1,4096}(?!\S)|\s{1,4096}"""
+#: A rank file is sent to every worker; public ones have a few MB.
+MOST_VOCABULARY_BYTES = 64 << 20
 
 
 def default_vocabulary() -> str:
@@ -33,13 +36,12 @@ def default_vocabulary() -> str:
 
 
 class Tokenizer:
-    """Byte-level BPE from a rank file; the end token is the first id that is free."""
+    """Byte-level BPE from the bytes of a rank file; the end token is the first id that is free."""
 
-    def __init__(self, path: str):
+    def __init__(self, rank_file: bytes):
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, rank_file.splitlines())}
         self.encoding = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         self.eos = max(ranks.values()) + 1
         self.dtype = np.dtype("<u2" if self.eos < 1 << 16 else "<u4")
@@ -127,10 +129,15 @@ def matrices(pieces: list[tuple], seq_len: int, rows: int, pad: int, dtype: np.d
         yield {"n_rows": len(part), "n_tokens": n_tokens, "ids": ids.tobytes(), "positions": positions.tobytes(), "cu_seqlens": ends, "doc_ids": docs, "starts": starts}
 
 
-@lru_cache(maxsize=2)
-def tokenizer_of(path: str) -> Tokenizer:
-    """One for each worker process."""
-    return Tokenizer(path)
+_TOKENIZERS: dict[str, Tokenizer] = {}
+
+
+def tokenizer_of(name: str, rank_file) -> Tokenizer:
+    """One for each worker process and vocabulary; ``rank_file`` is a broadcast."""
+    if name not in _TOKENIZERS:
+        _TOKENIZERS.clear()
+        _TOKENIZERS[name] = Tokenizer(rank_file.value)
+    return _TOKENIZERS[name]
 
 
 def pack(df: DataFrame, id_: str = "doc_id", text: str = "text", vocabulary: str | None = None, seq_len: int = SEQ_LEN, rows: int = ROWS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -140,14 +147,22 @@ def pack(df: DataFrame, id_: str = "doc_id", text: str = "text", vocabulary: str
     cumulative segment lengths over the flattened matrix, from 0; doc_ids and starts: for each
     segment its text's id and the place of its first token in that text; both null for padding. Each
     text ends in the end token, so null and empty texts are one segment of one token. Null ids are
-    kept as null with a start that is not null. Repeated rows are packed one by one; ties in length
-    go by row order; an empty table gives no rows; extra columns are not read.
+    kept as null with a start that is not null; ids keep their type. A very long text, white space
+    too, is cut into segments like any other. Repeated rows are packed one by one; ties in length
+    go by row order; an empty table gives no rows; extra columns, also of these names, are not read.
+
+    ``vocabulary`` is a rank file that the driver can open; its bytes are broadcast.
     """
-    path = vocabulary or default_vocabulary()
-    fields = pa.schema([("n_rows", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("positions", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
+    with open(vocabulary or default_vocabulary(), "rb") as file:
+        ranks = file.read(MOST_VOCABULARY_BYTES + 1)
+    if len(ranks) > MOST_VOCABULARY_BYTES:
+        raise ValueError(f"a vocabulary of more than {MOST_VOCABULARY_BYTES} bytes is not sent to workers")
+    name, shared = hashlib.sha256(ranks).hexdigest(), df.sparkSession.sparkContext.broadcast(ranks)
+    id_type = df.schema[id_].dataType
+    fields = pa.schema([("n_rows", pa.int32()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("positions", pa.binary()), ("cu_seqlens", pa.list_(pa.int32())), ("doc_ids", pa.list_(to_arrow_type(id_type))), ("starts", pa.list_(pa.int64()))])
 
     def packed(batches):
-        tokenizer = tokenizer_of(path)
+        tokenizer = tokenizer_of(name, shared)
         pieces, held = [], 0
 
         def out():
@@ -172,7 +187,7 @@ def pack(df: DataFrame, id_: str = "doc_id", text: str = "text", vocabulary: str
                         pieces, held = [], 0
         yield from out()
 
-    return df.select(own(df, id_).cast("long").alias("id"), own(df, text).alias("text")).mapInArrow(packed, SCHEMA)
+    return df.select(own(df, id_).alias("id"), own(df, text).alias("text")).mapInArrow(packed, SCHEMA.format(id=id_type.simpleString()))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

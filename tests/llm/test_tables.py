@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -121,7 +122,7 @@ def test_packing_round_trip(spark, tmp_path):
     packed = packing.pack(df, seq_len=128, rows=4, block_tokens=2000)
     packing.write_packed(packed, f"file://{tmp_path}/packed")
     rows = spark.read.parquet(f"file://{tmp_path}/packed").collect()
-    tokenizer = packing.Tokenizer(packing.default_vocabulary())
+    tokenizer = packing.Tokenizer(Path(packing.default_vocabulary()).read_bytes())
     back = packing.unpacked(rows)
     assert set(back) == set(range(len(texts))) | {1000, None}
     for k, t in enumerate(texts):
@@ -135,6 +136,19 @@ def test_packing_round_trip(spark, tmp_path):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_packing_of_very_long_texts_and_string_ids(spark):
+    texts = {"spaces": " " * 10_000_000, "lines": "x" + "\n\t" * 1_000_000 + " y", "letters": "a" * 1_000_000, "marks": "!" * 1_000_000, "twice": "same"}
+    df = spark.createDataFrame([*texts.items(), ("twice", "same")], "doc_id string, text string")
+    packed = packing.pack(df)
+    assert packed.schema["doc_ids"].dataType.elementType.simpleString() == "string"
+    tokenizer = packing.Tokenizer(Path(packing.default_vocabulary()).read_bytes())
+    rows = packed.collect()
+    assert sum(r.n_tokens for r in rows) == sum(len(tokenizer.encode(t)) // 2 + 1 for t in [*texts.values(), "same"])
+    back = packing.unpacked(rows)
+    for name in ("spaces", "lines", "letters", "marks"):
+        assert tokenizer.encoding.decode(back[name].tolist()) == texts[name]
+
+
 # mixing
 
 
