@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -167,7 +168,7 @@ def test_secret_owners(spark):
     live, copied, dull = "f3a9c1d7e5b2084697afc3d1", "0a1b2c3d4e5f60718293a4b5", "a" * 24
     rows = [(1, "o1", f"{live} {dull}"), (2, "o1", copied), (3, "o2", copied), (4, None, copied), (5, "o2", None), (6, "o3", ""), (6, "o3", "")]
     df = spark.createDataFrame(rows, "doc_id long, owner string, text string")
-    said = {(r.doc_id, tuple(r.verdicts)) for r in secrets.judged(df, "text", "owner", "doc_id").collect()}
+    said = {(r.doc_id, tuple(v.verdict for v in r.verdicts)) for r in secrets.judged(df, "text", "owner", "doc_id").collect()}
     assert said == {(1, ("live", "unclear")), (2, ("copied",)), (3, ("copied",)), (4, ("copied",)), (5, ()), (6, ())}
     assert secrets.judged(df, "text", "owner", "doc_id").count() == 7
     assert secrets.judged(df.limit(0), "text", "owner", "doc_id").count() == 0
@@ -177,10 +178,47 @@ def test_secret_of_one_owner_in_many_repositories(spark):
     pasted, live = "f3a9c1d7e5b2084697afc3d1", "7e1b9d3f5a0c8264b7d9e1f3"
     rows = [(k, "hot", pasted) for k in range(100)] + [(k, "hot", live) for k in range(200, 299)]
     df = spark.createDataFrame(rows, "doc_id long, owner string, text string")
-    said = {r.doc_id: r.verdicts for r in secrets.judged(df, "text", "owner", "doc_id").collect()}
+    said = {r.doc_id: [v.verdict for v in r.verdicts] for r in secrets.judged(df, "text", "owner", "doc_id").collect()}
     assert said == {k: ["copied" if k < 100 else "live"] for k, _, _ in rows}
 
 
+def test_secret_verdicts_of_a_corpus_equal_brute_force(spark):
+    rng = random.Random(9)
+    values = ["".join(rng.choice("0123456789abcdef") for _ in range(26)) for _ in range(12)] + ["b" * 30]
+    rows = []
+    for k in range(400):
+        some = [values[min(int(rng.expovariate(0.4)), 12)] for _ in range(rng.randrange(4))]
+        rows.append((rng.choice([k, 7, None]), rng.choice(["a", "b", "c", None]) if values[2] in some else "a", " ".join(some)))
+    held = {}
+    for repository, owner, text in rows:
+        for v in text.split():
+            owners, repositories = held.setdefault(v, (set(), set()))
+            owners.add(owner)
+            repositories.add(repository)
+    df = spark.createDataFrame([(k, *r, "s", "v", "x") for k, r in enumerate(rows)], "k long, doc_id long, owner string, text string, secrets string, verdicts string, row string")
+    for heavy in (1, 3, 4096):  # none, some and most values by the broadcast
+        out = secrets.judged(df, "text", "owner", "doc_id", repositories_from=20, heavy_values=heavy)
+        assert out.columns == ["k", "doc_id", "owner", "secrets", "verdicts", "row", "secrets_", "verdicts_"]
+        for r in out.collect():
+            want = []
+            for v in rows[r.k][2].split():
+                owners, repositories = map(len, held[v])
+                verdict = "copied" if owners >= 3 or repositories >= 20 else "live" if owners == 1 and len(set(v)) >= 8 else "unclear"
+                want.append((verdict, owners, repositories))
+            assert [tuple(x) for x in r["verdicts_"]] == want
+
+
+def test_secrets_of_long_texts_are_linear(spark):
+    texts = ["eyJaaaaaaaa" * 400_000, "eyJaaaaaaaa." * 300_000, "password" * 300_000, "password" + " " * 2_000_000, "AKIA" * 500_000, "ghp_" * 500_000, "xoxb-" * 400_000, "-----BEGIN " * 200_000, "0123456789abcdef" * 100_000 + "g"]
+    start = time.time()
+    rows = {r.doc_id: r.found for r in secrets.candidates(docs(spark, texts), out="found").select("doc_id", "found").collect()}
+    assert time.time() - start < 60
+    assert [len(rows[k]) for k in range(len(texts))] == [0, 100_000, 0, 0, 1, 0, 1, 0, 1]
+    token = "eyJabcdefgh.eyJabcdefgh.abcdefghi"
+    (row,) = secrets.candidates(docs(spark, [f"x {token} y"])).collect()
+    assert [(s.kind, s.start, s.end) for s in row["secrets_"]] == [("jwt", 2, 2 + len(token))]
+
+
 # chat
 
 
