@@ -11,31 +11,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import free_name, hex60, own, table
+from .common import free_name, hex60, own, table, written
 
 PART = 64.0
-#: A table of rates is broadcast up to so many sources; a larger one is joined by a shuffle.
+#: A table of rates is broadcast up to so many sources; of a larger one only the sources that hold more
+#: than one in so many of all rows are, and the rest is joined by a shuffle.
 BROADCAST_SOURCES = 20_000
 
 
 def rates(df: DataFrame, source: str = "source", weights: dict | None = None, power: float = 0.5, scale: float = 1.0) -> DataFrame:
-    """(source, rate): mean copies of a document of each source.
+    """(source, n, share, rate): rows and share of rows of each source, and mean copies of a document of it.
 
     Target shares are ``weights`` (missing sources: 0), or else proportional to size ** power. The
     expected size of the mix is ``scale`` times the input. Null is a source of its own (weights[None]).
     """
     sizes = df.groupBy(own(df, source).alias("source")).agg(F.count("*").cast("double").alias("n"))
     if weights is None:
-        aim = F.pow("n", F.lit(power))
+        sizes = sizes.withColumn("aim", F.pow("n", F.lit(power)))
     else:
-        aim = F.lit(0.0)
-        for name, w in weights.items():
-            aim = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(aim)
-    sizes = sizes.withColumn("aim", aim)
+        fields = StructType([StructField("named", df.schema[source].dataType), StructField("aim", DoubleType())])
+        wanted = df.sparkSession.createDataFrame([(name, float(w)) for name, w in weights.items()], fields)
+        sizes = sizes.join(wanted, F.col("source").eqNullSafe(F.col("named")), "left").select("source", "n", F.coalesce("aim", F.lit(0.0)).alias("aim"))
     total = sizes.agg(F.sum("n").alias("all_n"), F.sum("aim").alias("all_aim"))  # one row
+    share = F.col("n") / F.col("all_n")
     rate = F.when(F.col("all_aim") > 0, F.lit(scale) * (F.col("aim") / F.col("all_aim")) * (F.col("all_n") / F.col("n"))).otherwise(0.0)
-    return sizes.join(F.broadcast(total)).select("source", rate.alias("rate"))
+    return sizes.join(F.broadcast(total)).select("source", "n", share.alias("share"), rate.alias("rate"))
 
 
 def cumulative(rate):
@@ -50,19 +52,25 @@ def cumulative(rate):
     return F.aggregate(terms, F.struct(first.alias("term"), first.alias("sum"), F.array(first).alias("all")), step)["all"]
 
 
-def mix(df: DataFrame, id_: str = "doc_id", source: str = "source", weights: dict | None = None, power: float = 0.5, scale: float = 1.0, seed: int = 0, order: bool = False) -> DataFrame:
+def mix(df: DataFrame, id_: str = "doc_id", source: str = "source", weights: dict | None = None, power: float = 0.5, scale: float = 1.0, seed: int = 0, order: bool = False, broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """Rows of ``df``, each as often as its draw says, in a global random order.
 
     Null ids draw like an id of their own, null sources are one source; repeated rows draw the same
     count; a source of weight 0 goes; equal order keys are copies of repeated rows, in any order. An
-    empty table stays empty. Extra columns pass through. ``order`` adds copy (from 0) and order_key.
+    empty table stays empty. Extra columns and texts of any length pass through. ``order`` adds copy
+    (from 0) and order_key.
     """
     src, cdf, parts, copy, key = (free_name(df, n) for n in ("mix_source", "mix_cdf", "mix_parts", "copy", "order_key"))
     known = rates(df, source, weights, power, scale).where("rate > 0").withColumn("parts", F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int"))
-    known = known.select(F.col("source").alias(src), cumulative(F.col("rate") / F.col("parts")).alias(cdf), F.col("parts").alias(parts))
-    if known.count() <= BROADCAST_SOURCES:
-        known = F.broadcast(known)
-    drawn = df.join(known, own(df, source).eqNullSafe(F.col(src)))
+    known = known.select(F.col("source").alias(src), F.col("share"), cumulative(F.col("rate") / F.col("parts")).alias(cdf), F.col("parts").alias(parts))
+    same = own(df, source).eqNullSafe(F.col(src))
+    if known.count() <= broadcast_sources:
+        drawn = df.join(F.broadcast(known.drop("share")), same)
+    else:  # sources of more than 1 / broadcast_sources of all rows are fewer than that; the rows of any other fit a task
+        known = written(known, "rates")
+        heavy = F.broadcast(known.where(F.col("share") * broadcast_sources > 1).drop("share"))
+        light = known.where(F.col("share") * broadcast_sources <= 1).drop("share")
+        drawn = df.join(heavy, same).unionByName(df.join(heavy.select(src), same, "left_anti").join(light, same))
     ident = F.coalesce(own(df, id_).cast("string"), F.lit("null"))
     uniform = lambda k: hex60(F.concat_ws(":", F.lit(str(seed)), ident, k)) / F.lit(float(1 << 60))
     numbers = drawn.withColumn(parts, F.transform(F.sequence(F.lit(1), F.col(parts)), uniform))
