@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, own, table
+from .common import free_name, own, table, written
 
 #: Intervals are cut at the horizon of days so that the number of periods is bounded.
 PERIOD_DAYS, FIRST_DAY, LAST_DAY = 90, 0, 7300
@@ -31,10 +31,13 @@ def intervals(entries: DataFrame) -> DataFrame:
     return changes.withColumn("valid_to", F.lead("day").over(w)).where("NOT off").select("list", "key", F.col("day").alias("valid_from"), "valid_to")
 
 
+#: Scheme, user and host of a URL; a host in brackets is an IPv6 address.
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
+
+
 def host_of(url):
     """Host in lower case, without user, port and a final dot; null if there is none."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    host = F.regexp_replace(host, r"\.$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.$", "")
     return F.when(host != "", host)
 
 
@@ -42,12 +45,22 @@ def path_of(url):
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def keys_of(url):
-    """Distinct keys that a list may hold for a URL: its host, each parent domain of two labels or more, and host + first path part."""
-    host, labels = host_of(url), F.split(host_of(url), r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    part = F.regexp_extract(path_of(url), r"^(/[^/]+)", 1)
-    return F.when(host.isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(parents, F.when(part != "", F.array(F.concat(host, part))).otherwise(F.array().cast("array<string>")))))
+def keys_of(host, path, labels: int, depth: int):
+    """Distinct keys that a list may hold for a URL: its host, each parent domain, and the host with each path prefix.
+
+    Parent domains have two labels or more, prefixes end in a part that is not empty. Keys of more than
+    ``labels`` labels or ``depth`` parts are left out (the host itself is not), so a long URL makes few.
+    """
+    none = F.array().cast("array<string>")
+    names = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
+    most = F.least(F.size(names), F.lit(labels))
+    parents = F.transform(F.sequence(F.lit(2), F.greatest(most, F.lit(2))), lambda k: F.when(k <= most, F.array_join(F.slice(names, F.size(names) - k + 1, k), ".")))
+    if not depth:
+        prefixes = none
+    else:
+        parts = F.slice(F.split(path, "/", depth + 2), 2, depth)
+        prefixes = F.transform(parts, lambda part, k: F.when(part != "", F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, k + 1), "/"))))
+    return F.when(host.isNull(), none).otherwise(F.array_distinct(F.array_compact(F.concat(F.array(host), parents, prefixes))))
 
 
 def matches(captures: DataFrame, entries: DataFrame, id_: str = "page_id", url: str = "url", day: str = "day", period: int = PERIOD_DAYS) -> DataFrame:
@@ -57,9 +70,13 @@ def matches(captures: DataFrame, entries: DataFrame, id_: str = "page_id", url:
     outside of the horizon [FIRST_DAY, LAST_DAY] count to its first or last period.
     """
     number = lambda d: F.floor((F.least(F.greatest(d, F.lit(FIRST_DAY)), F.lit(LAST_DAY)) - FIRST_DAY) / period).cast("int")
-    spans = intervals(entries).withColumn("period", F.explode(F.sequence(number(F.col("valid_from")), number(F.coalesce("valid_to", F.lit(LAST_DAY))))))
+    spans = intervals(entries)
+    parts = F.split("key", "/")
+    size = entries.agg(F.max(F.size(F.split(parts[0], r"\."))).alias("labels"), F.max(F.size(parts) - 1).alias("depth")).first()  # two numbers
+    spans = spans.withColumn("period", F.explode(F.sequence(number(F.col("valid_from")), number(F.coalesce("valid_to", F.lit(LAST_DAY))))))
     seen = captures.select(own(captures, id_).alias("id"), own(captures, url).alias("url"), own(captures, day).alias("day")).where("url IS NOT NULL AND day IS NOT NULL")
-    seen = seen.select("id", "day", number(F.col("day")).alias("period"), F.explode(keys_of(F.col("url"))).alias("key"))
+    seen = seen.select("id", "day", number(F.col("day")).alias("period"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    seen = seen.select("id", "day", "period", F.explode(keys_of(F.col("host"), F.col("path"), size.labels or 0, size.depth or 0)).alias("key"))
     return seen.join(spans, ["key", "period"]).where("valid_from <= day AND (valid_to IS NULL OR day < valid_to)").select("id", "list", "key", "valid_from", "valid_to", "day")
 
 
@@ -68,17 +85,19 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_: str = "page_id", u
 
     Blocked: a match on a ``blocking`` list and none on an ``excepting`` list with a key as long or
     longer. Captures that match nothing have '', 0, null and false. Repeated ids share their matches
-    (those of all their rows); a null id matches nothing. Added columns get underscores where a name is taken.
+    (those of all their rows); a null id matches nothing. Added columns get underscores where a name is
+    taken. Of a very long URL only as many labels and path parts are read as the longest entry has.
     """
     names = [free_name(captures, n) for n in ("lists", "n_matches", "match_key", "blocked")]
+    mine = [free_name(captures, n) for n in ("hw_id", "hw_0", "hw_1", "hw_2", "hw_3")]
     length = lambda which: F.max(F.when(F.col("list").isin(*which), F.length("key")))
     found = matches(captures, entries, id_, url, day).where("id IS NOT NULL").distinct().groupBy("id").agg(
         F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"), F.count("*").alias("n_matches"),
         F.min(F.struct((-F.length("key")).alias("n"), F.col("key").alias("key")))["key"].alias("match_key"),
         F.coalesce(length(blocking) > F.coalesce(length(excepting), F.lit(0)), F.lit(False)).alias("blocked"),
-    ).toDF("hw_id", *[f"hw_{k}" for k in range(4)])
-    out = captures.join(found, own(captures, id_) == F.col("hw_id"), "left")
-    values = (F.coalesce("hw_0", F.lit("")), F.coalesce("hw_1", F.lit(0)), F.col("hw_2"), F.coalesce("hw_3", F.lit(False)))
+    ).toDF(*mine)
+    out = captures.join(found, own(captures, id_) == F.col(mine[0]), "left")
+    values = (F.coalesce(mine[1], F.lit("")), F.coalesce(mine[2], F.lit(0)), F.col(mine[3]), F.coalesce(mine[4], F.lit(False)))
     return out.select(*[own(captures, c) for c in captures.columns], *[v.alias(n) for v, n in zip(values, names)])
 
 
@@ -92,18 +111,17 @@ def sample_entries(pages: DataFrame) -> DataFrame:
     Each host is added to 'block' and later taken off again; hosts of some hashes come back. Parent
     domains are blocked from a day on, and each host's path part '/en' and '/fr' is on 'allow' for a time.
     """
-    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
-    parents = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1).alias("host")).where("host <> ''").distinct()
-    event = lambda df, name, key, action, day: df.select(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), day.alias("day"))
-    host = F.col("host")
+    hosts = written(pages.select(host_of(F.col("url")).alias("host")).where("host IS NOT NULL").distinct(), "hosts")
+    event = lambda name, key, action, day: F.struct(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), day.alias("day"))
+    host, no_event = F.col("host"), F.lit(None)
     on, off = _day(host, "on:", 1800), _day(host, "off:", 1800)
-    rows = event(hosts, "block", host, "add", on).unionByName(event(hosts, "block", host, "remove", on + 1 + off))
-    rows = rows.unionByName(event(hosts.where(_day(host, "again:", 3) == 0), "block", host, "add", on + 100 + off))
-    rows = rows.unionByName(event(parents.where(_day(host, "parent:", 2) == 0), "block", host, "add", _day(host, "pon:", 3650)))
+    some = [event("block", host, "add", on), event("block", host, "remove", on + 1 + off), F.when(_day(host, "again:", 3) == 0, event("block", host, "add", on + 100 + off)).otherwise(no_event)]
     for part in ("/en", "/fr"):
         key = F.concat(host, F.lit(part))
-        rows = rows.unionByName(event(hosts, "allow", key, "add", _day(key, "on:", 1800))).unionByName(event(hosts, "allow", key, "remove", 1800 + _day(key, "off:", 1800)))
-    return rows
+        some += [event("allow", key, "add", _day(key, "on:", 1800)), event("allow", key, "remove", 1800 + _day(key, "off:", 1800))]
+    parents = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+\.[^.]+)$", 1).alias("host")).where("host <> ''").distinct()
+    parents = parents.where(_day(host, "parent:", 2) == 0).select(event("block", host, "add", _day(host, "pon:", 3650)).alias("e"))
+    return hosts.select(F.explode(F.array_compact(F.array(*some))).alias("e")).unionByName(parents).select("e.*")
 
 
 def op2_url_filter(spark, sf_dir):
@@ -116,7 +134,7 @@ _SQL_DAY = "(('0x' || substr(md5('{0}' || {1}), 1, 8))::BIGINT % {2})::INTEGER"
 SQL = f"""
 WITH pages_ AS (
   SELECT page_id, url, {_SQL_DAY.format("fetch:", "(page_id::VARCHAR || url)", 3650)} AS day,
-   nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\\.$', ''), '') AS host,
+   nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)', 1)), '\\.$', ''), '') AS host,
    regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '^(/[^/]+)', 1) AS part FROM pages),
  hosts AS (SELECT DISTINCT host FROM pages_ WHERE host IS NOT NULL),
  parents AS (SELECT DISTINCT regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) AS host FROM hosts WHERE regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1) <> ''),
