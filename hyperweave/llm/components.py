@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each round is a few shuffles of the edges and is written to the shared folder; nothing but two
-numbers a round reaches the driver. A star's centre meets its leaves through map-side minima and an
-equi-join that adaptive execution may split.
+numbers a round reaches the driver. A star's centre meets its leaves through map-side minima, which
+are written, and an equi-join: with a table on each side, adaptive execution broadcasts small minima
+and else splits the rows of a large star over tasks. Tables go as soon as their successor is written.
 """
 
 from __future__ import annotations
@@ -10,19 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     """Large: every larger neighbour of u moves to the least of u and its neighbours. Small: every lesser or equal one does."""
     pairs = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    least = written(least.select("u", F.least("u", "m").alias("m")), "minima")
     if large:
         moved = pairs.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return moved.where("u > v").distinct()
+    out = written(moved.where("u > v").distinct(), "star")
+    discard(least)
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -37,7 +40,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
-        links = written(_stars(_stars(links, True), False), "links")
+        large = _stars(links, True)
+        discard(links)
+        links = _stars(large, False)
+        discard(large)
         after = digest(links)
         if after == before:
             break
