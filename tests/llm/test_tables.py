@@ -76,6 +76,20 @@ def test_intervals_and_matches(spark):
     assert urls.filter_urls(df.limit(0), entries).count() == 0 and urls.filter_urls(df, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_keys(spark):
+    events = [("block", k, "add", 0) for k in ("h.com/x/y", "[2001:db8::1]", "[::2]/a", "co.uk", "sub.h.org")]
+    entries = spark.createDataFrame(events, "list string, key string, action string, day int")
+    said = {
+        "http://h.com/x/y": "h.com/x/y", "http://h.com/x/y/z?q": "h.com/x/y", "http://h.com/x/yz": None, "http://h.com/x": None, "http://h.com//x/y": None,
+        "http://[2001:DB8::1]:80/p": "[2001:db8::1]", "http://u@[::2]/a/b": "[::2]/a", "http://[::2]/": None, "http://a.b.co.uk/": "co.uk",
+        "http://x.sub.h.org./": "sub.h.org", "http://h.org/": None, "http://" + "a." * 200_000 + "co.uk/" + "y/" * 200_000: "co.uk", "": None,
+    }
+    df = spark.createDataFrame([(k, u, 3, "i", "0", "l") for k, u in enumerate(said)], "page_id long, url string, day int, hw_id string, hw_0 string, lists string")
+    out = urls.filter_urls(df, entries)
+    assert out.columns == ["page_id", "url", "day", "hw_id", "hw_0", "lists", "lists_", "n_matches", "match_key", "blocked"]
+    assert {r.url: r.match_key for r in out.collect()} == said
+
+
 def test_periods_lose_no_match(spark):
     rng = random.Random(4)
     events = [("block", f"h{rng.randrange(5)}.com", rng.choice(["add", "remove"]), rng.randrange(-50, 8000)) for _ in range(200)]
@@ -183,6 +197,15 @@ def test_large_rates_are_sums(spark):
     assert len(counts) == 20 and abs(sum(counts.values()) / 4020 - 1) < 0.06 and min(counts.values()) > 130
 
 
+def test_mix_with_many_weights_and_with_shuffled_rates(spark):
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("source"))
+    weights = {str(k): 1.0 for k in range(20_000)} | {"hot": 4000.0, None: 1.0}
+    rows = lambda **how: sorted(mixing.mix(df, weights=weights, **how).collect())
+    assert rows() == rows(broadcast_sources=50)
+    long = spark.createDataFrame([(1, "a", "x" * 3_000_000)], "doc_id long, source string, text string")
+    assert {len(r.text) for r in mixing.mix(long, scale=20.0).collect()} == {3_000_000}
+
+
 # near-dedup
 
 

@@ -141,6 +141,18 @@ def test_quality_one_very_long_text():
     assert row[0] == 180_000 and row[4] == 180_000 and not row[8]
 
 
+def test_quality_of_long_texts_by_kasai(monkeypatch):
+    rng = random.Random(8)
+    texts = ["\n".join(" ".join(rng.choice("abc") * rng.randrange(1, 4) for _ in range(rng.randrange(9))) for _ in range(60)).encode() for _ in range(30)] + ["é\t".encode() * 40, b""]
+    limits = quality.RepetitionLimits(min_repeat=4)
+    want = quality.measure(texts, limits)
+    monkeypatch.setattr(quality, "LEVEL_WORDS", 0)
+    monkeypatch.setattr(quality, "CHUNK_BYTES", 20)
+    assert quality.measure(texts, limits) == want
+    assert [quality.measure([t], limits)[0] for t in texts] == want
+    assert all(b"".join(quality.slices(t)) == t for t in texts)
+
+
 # secrets
 
 
