@@ -11,6 +11,9 @@ a larger benchmark makes more blocks and the texts pass through one block after
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,40 +33,69 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """Of several word sequences (ids >= 0); keeps, per state, the length of its longest string and its suffix link."""
+    """Of several word sequences (ids >= 0); keeps, per state, the length of its longest string and its suffix link.
+
+    Most states have one edge: it lies in two arrays. Further edges are in ``more`` while the automaton
+    grows, and in sorted arrays (state * words + word, target) after ``freeze``.
+    """
 
     def __init__(self, sequences):
-        self.next, self.link, self.length = [{}], [-1], [0]
+        self.word, self.next = array("i", [-1]), array("i", [-1])
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.more: dict[int, dict[int, int]] = {}
+        self.keys, self.targets, self.n_words = array("q"), array("i"), 1
         for words in sequences:
             last = 0
             for w in words:
                 last = self._extend(last, w)
 
+    def freeze(self, n_words: int) -> None:
+        self.n_words = max(n_words, 1)
+        edges = sorted((state * self.n_words + w, t) for state, held in self.more.items() for w, t in held.items())
+        self.keys, self.targets = array("q", (k for k, _ in edges)), array("i", (t for _, t in edges))
+        self.more = {}
+
+    def _edge(self, state: int, w: int) -> int:
+        """Where ``w`` leads, or -1."""
+        if self.word[state] == w:
+            return self.next[state]
+        held = self.more.get(state)
+        return held.get(w, -1) if held else -1
+
+    def _put(self, state: int, w: int, target: int) -> None:
+        if self.word[state] in (-1, w):
+            self.word[state], self.next[state] = w, target
+        else:
+            self.more.setdefault(state, {})[w] = target
+
     def _extend(self, last: int, w: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if (q := nxt[last].get(w)) is not None:
+        link, length = self.link, self.length
+        if (q := self._edge(last, w)) >= 0:
             return q if length[q] == length[last] + 1 else self._clone(last, w, q)
-        cur = self._state({}, length[last] + 1, 0)
+        cur = self._state(-1, -1, length[last] + 1, 0)
         p = last
-        while p >= 0 and w not in nxt[p]:
-            nxt[p][w] = cur
+        while p >= 0 and self._edge(p, w) < 0:
+            self._put(p, w, cur)
             p = link[p]
         if p >= 0:
-            q = nxt[p][w]
+            q = self._edge(p, w)
             link[cur] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
         return cur
 
-    def _state(self, edges: dict, length: int, link: int) -> int:
-        self.next.append(edges)
+    def _state(self, word: int, target: int, length: int, link: int) -> int:
+        self.word.append(word)
+        self.next.append(target)
         self.length.append(length)
         self.link.append(link)
-        return len(self.next) - 1
+        return len(self.link) - 1
 
     def _clone(self, p: int, w: int, q: int) -> int:
-        new = self._state(dict(self.next[q]), self.length[p] + 1, self.link[q])
+        new = self._state(self.word[q], self.next[q], self.length[p] + 1, self.link[q])
+        if q in self.more:
+            self.more[new] = dict(self.more[q])
         self.link[q] = new
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = new
+        while p >= 0 and self._edge(p, w) == q:
+            self._put(p, w, new)
             p = self.link[p]
         return new
 
@@ -74,43 +106,79 @@ class SuffixAutomaton:
         return state
 
     def matches(self, words):
-        """(state, length of the longest match) after each word."""
-        nxt, link, length = self.next, self.link, self.length
+        """(state, length of the longest match) after each word; the automaton is frozen."""
+        word, nxt, link, length, keys, targets, n_words = self.word, self.next, self.link, self.length, self.keys, self.targets, self.n_words
         state = size = 0
         for w in words:
-            while state and w not in nxt[state]:
+            while True:
+                if word[state] == w:
+                    state, size = nxt[state], size + 1
+                    break
+                at = bisect_left(keys, key := state * n_words + w)
+                if at < len(keys) and keys[at] == key:
+                    state, size = targets[at], size + 1
+                    break
+                if not state:
+                    break
                 state = link[state]
                 size = length[state]
-            if w in nxt[state]:
-                state, size = nxt[state][w], size + 1
             yield state, size
 
 
+class Holders:
+    """Item numbers by state, as two sorted arrays; ``size`` is carried along for items shorter than a window."""
+
+    def __init__(self, rows: list[tuple[int, int, int]] | array, width: int = 2):
+        table = np.unique(np.array(rows, np.int64).reshape(-1, width), axis=0)
+        self.state, self.item = array("i", table[:, 0].tolist()), array("i", table[:, 1].tolist())
+        self.size = array("i", table[:, 2].tolist()) if width == 3 else None
+
+    def of(self, state: int) -> range:
+        a = bisect_left(self.state, state)
+        b = a
+        while b < len(self.state) and self.state[b] == state:
+            b += 1
+        return range(a, b)
+
+
 class Matcher:
-    """One block of items: finds the spans of words under any occurrence of a window, and the items they come from."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        listed = [(i, w) for i, t in items if (w := words_of(t))]
-        self.window = window
-        self.ids: dict[bytes, int] = {}
-        coded = [(i, [self.ids.setdefault(w, len(self.ids)) for w in ws]) for i, ws in listed]
-        self.shortest = min((min(len(ws), window) for _, ws in coded), default=0)
-        self.pairs = np.unique(np.array([a * (len(self.ids) + 1) + b for _, ws in coded for a, b in zip(ws, ws[1:])], np.int64))
-        self.automaton = SuffixAutomaton(ws for _, ws in coded)
-        full: dict[int, set] = {}  # state of a whole window -> items
-        short: dict[tuple[int, int], set] = {}  # (state, length) of an item below one window -> items
-        for item, ws in coded:
-            if len(ws) < window:
-                state = [s for s, _ in self.automaton.matches(ws)][-1]
-                short.setdefault((self.automaton.at_length(state, len(ws)), len(ws)), set()).add(item)
+    """One block of items: finds the spans of words under any occurrence of a window, and the items they come from.
+
+    All that grows with the items is in arrays, besides one dictionary entry for each different word.
+    """
+
+    def __init__(self, items, window: int = WINDOW):
+        self.window, self.names, self.ids = window, [], {}
+        coded, bounds = array("i"), [0]
+        for name, text in items:
+            if words := words_of(text):
+                self.names.append(name)
+                coded.extend(self.ids.setdefault(w, len(self.ids)) for w in words)
+                bounds.append(len(coded))
+        flat, ends = np.array(coded, np.int64), np.array(bounds[1:], np.int64)
+        sizes = np.diff(bounds)
+        self.shortest = int(min(sizes.min(), window)) if len(sizes) else 0
+        inner = np.ones(max(len(flat) - 1, 0), bool)
+        inner[ends[:-1] - 1] = False
+        self.pairs = np.unique((flat[:-1] * (len(self.ids) + 1) + flat[1:])[inner])
+        self.automaton = auto = SuffixAutomaton(coded[a:b] for a, b in zip(bounds, bounds[1:]))
+        auto.freeze(len(self.ids))
+        full, short = array("q"), array("q")  # (state of a whole window, item); (state of an item below one window, item, length)
+        for item, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if b - a < window:
+                state = [s for s, _ in auto.matches(coded[a:b])][-1]
+                short.extend((auto.at_length(state, b - a), item, b - a))
             else:
-                for state, size in self.automaton.matches(ws):
+                for state, size in auto.matches(coded[a:b]):
                     if size >= window:
-                        full.setdefault(self.automaton.at_length(state, window), set()).add(item)
-        self.full = {s: frozenset(v) for s, v in full.items()}
-        self.short: dict[int, list[tuple[int, frozenset]]] = {}
-        for (state, size), v in short.items():
-            self.short.setdefault(state, []).append((size, frozenset(v)))
+                        full.extend((auto.at_length(state, window), item))
+        self.full, self.short = Holders(full), Holders(short, 3)
+        # the nearest state on the way to the root, itself included, that is a short item
+        self.to_short = array("i", bytes(4 * len(auto.link))) if len(short) else None
+        if len(short):
+            ends_here = set(self.short.state)
+            for state in np.argsort(np.array(auto.length), kind="stable").tolist()[1:]:
+                self.to_short[state] = state if state in ends_here else self.to_short[auto.link[state]]
 
     def spans(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Disjoint spans in order, and the items whose windows occur."""
@@ -132,21 +200,25 @@ class Matcher:
         items: set = set()
         for a, b in zip(starts[long].tolist(), ends[long].tolist()):
             self._stream(ids[a:b].tolist(), a, out, items)
-        return union(out), items
+        return union(out), {self.names[k] for k in items}
 
     def _stream(self, ids: list[int], offset: int, out: list, items: set) -> None:
-        auto, spans = self.automaton, []
+        auto, window, to_short, spans, windows, ends = self.automaton, self.window, self.to_short, [], set(), set()
         for k, (state, size) in enumerate(auto.matches(ids), offset + 1):
-            if size >= self.window and (hit := self.full.get(auto.at_length(state, self.window))):
-                spans.append((k - self.window, k))
-                items |= hit
-            v = state if self.short else 0
-            while v > 0:
-                for m, hit in self.short.get(v, ()):
-                    if m <= size:
-                        spans.append((k - m, k))
-                        items |= hit
-                v = auto.link[v]
+            if size >= window:
+                windows.add(auto.at_length(state, window))
+                spans.append((k - window, k))
+            v = to_short[state] if to_short else 0
+            while v:
+                at = self.short.of(v)
+                for j in at:
+                    if self.short.size[j] <= size:
+                        spans.append((k - self.short.size[j], k))
+                        ends.add(j)
+                v = to_short[auto.link[v]]
+        items.update(self.short.item[j] for j in ends)
+        for state in windows:
+            items.update(self.full.item[j] for j in self.full.of(state))
         out += union(spans)
 
 
@@ -168,7 +240,7 @@ def matchers(items: DataFrame, item: str, text: str, window: int, block_chars: i
     blocks = max(1, -(-total // block_chars))
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        yield Matcher([(r.item, r.text.encode()) for r in part.toLocalIterator()], window)
+        yield Matcher(((r.item, r.text.encode()) for r in part.toLocalIterator()), window)
 
 
 def find_hits(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "hits", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -179,7 +251,6 @@ def find_hits(df: DataFrame, items: DataFrame, text: str = "text", item: str = "
     columns pass through, ``out`` gets underscores where the name is taken.
     """
     spark, out = df.sparkSession, free_name(df, out)
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
     for k, matcher in enumerate(matchers(items, item, item_text, window, block_chars)):
         df = df.withColumn(out, _hit_udf(spark.sparkContext.broadcast(matcher), k > 0)(own(df, text), *[F.col(out)] * (k > 0)))
     return df
@@ -206,15 +277,21 @@ def _hit_udf(shared, more: bool):
 
 
 def verdicts(df: DataFrame, hits: str = "hits", least_length: int = 1, least_percent: int = 5) -> DataFrame:
-    """Add n_words, n_hit, n_items, items_sha256 and contaminated.
+    """Add n_words, n_hit, n_items, items_sha256 and contaminated, from the struct ``hits`` that ``find_hits`` added.
 
     A text is contaminated if a span has ``least_length`` words or more and the spans cover
-    ``least_percent`` of its words or more.
+    ``least_percent`` of its words or more. Added columns get underscores where a name is taken.
     """
-    n_hit = F.aggregate(f"{hits}.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    longest = F.coalesce(F.array_max(F.transform(f"{hits}.spans", lambda s: s["end"] - s["start"])), F.lit(0))
-    df = df.withColumns({"n_words": F.col(f"{hits}.n_words"), "n_hit": n_hit, "n_items": F.size(f"{hits}.items").cast("long"), "items_sha256": F.sha2(F.array_join(f"{hits}.items", ","), 256)})
-    return df.withColumn("contaminated", (F.col("n_hit") > 0) & (longest >= least_length) & (100 * F.col("n_hit") >= least_percent * F.col("n_words")))
+    found = own(df, hits)
+    n_hit = hit_words(found["spans"])
+    longest = F.coalesce(F.array_max(F.transform(found["spans"], lambda s: s["end"] - s["start"])), F.lit(0))
+    contaminated = (n_hit > 0) & (longest >= least_length) & (100 * n_hit >= least_percent * found["n_words"])
+    new = {"n_words": found["n_words"], "n_hit": n_hit, "n_items": F.size(found["items"]).cast("long"), "items_sha256": F.sha2(F.array_join(found["items"], ","), 256), "contaminated": contaminated}
+    return df.select(*[own(df, c) for c in df.columns], *[c.alias(free_name(df, n)) for n, c in new.items()])
+
+
+def hit_words(spans):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
 def without_spans(text: str, spans: list[tuple[int, int]], longer_than: int = WINDOW) -> str:
@@ -233,17 +310,22 @@ def without_spans(text: str, spans: list[tuple[int, int]], longer_than: int = WI
     return b"".join([*parts, data[done:]]).decode()
 
 
-def trimmed_rows(df: DataFrame, items: DataFrame, text: str = "text", longer_than: int = WINDOW) -> DataFrame:
-    """All rows, with each benchmark span of ``longer_than`` words or more cut from the text; null texts stay null."""
+def trimmed_rows(df: DataFrame, items: DataFrame, text: str = "text", longer_than: int = WINDOW, most_percent: int = 5, window: int = WINDOW) -> DataFrame:
+    """All rows, with benchmark spans cut from the text: those of ``longer_than`` words or more, and all where they cover ``most_percent`` of the words or more.
+
+    Null texts stay null; a text without such a span stays as it is.
+    """
     name = free_name(df, "hits")
 
     @F.arrow_udf("string")
-    def cut(batch: pa.Array, spans: pa.Array) -> pa.Array:
-        rows = zip(utf8_rows(batch), spans.to_pylist())
-        return pa.array([t if t is None or not s else without_spans(bytes(t).decode(), [(x["start"], x["end"]) for x in s], longer_than).encode() for t, s in rows], pa.binary()).cast(pa.string())
-
-    found = find_hits(df, items, text, out=name)
-    cuts = cut.asNondeterministic()(own(found, text), F.col(name)["spans"])
+    def cut(batch: pa.Array, spans: pa.Array, least: pa.Array) -> pa.Array:
+        rows = zip(utf8_rows(batch), spans.to_pylist(), least.to_pylist())
+        return pa.array([t if t is None or not s else without_spans(bytes(t).decode(), [(x["start"], x["end"]) for x in s], n).encode() for t, s, n in rows], pa.binary()).cast(pa.string())
+
+    found = find_hits(df, items, text, out=name, window=window)
+    hits = F.col(name)
+    least = F.when(100 * hit_words(hits["spans"]) >= most_percent * hits["n_words"], 1).otherwise(longer_than).cast("int")
+    cuts = cut.asNondeterministic()(own(found, text), hits["spans"], least)
     return found.select(*[cuts.alias(c) if c == text else own(found, c) for c in df.columns])
 
 
@@ -251,8 +333,8 @@ def clean_rows(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame
     """The rows whose text is not contaminated, with the columns they had."""
     name = free_name(df, "hits")
     found = find_hits(df, items, text, out=name)
-    n_hit = F.aggregate(f"{name}.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.where((n_hit == 0) | (20 * n_hit < F.col(f"{name}.n_words"))).drop(name)
+    n_hit = hit_words(F.col(name)["spans"])
+    return found.where((n_hit == 0) | (20 * n_hit < F.col(name)["n_words"])).drop(name)
 
 
 def op9_decontamination(spark, sf_dir):

@@ -1,6 +1,7 @@
 """PII, quality, secrets, chat and decontamination against brute force, and their edge cases."""
 
 import hashlib
+import pickle
 import random
 import re
 import time
@@ -320,6 +321,53 @@ def test_decontamination_blocks_and_edges(spark):
     assert decontam.find_hits(docs(spark, texts), bench.limit(0)).where("size(hits_.spans) > 0").count() == 0
 
 
+def test_verdicts_with_clashing_names(spark):
+    df = docs(spark, ["a b c d", None]).withColumn("n_words", F.lit("mine")).withColumn("contaminated", F.lit("mine"))
+    bench = spark.createDataFrame([(1, "b c")], "item_id long, text string")
+    out = decontam.verdicts(decontam.find_hits(df, bench), "hits_")
+    assert out.columns == [*df.columns, "hits_", "n_words_", "n_hit", "n_items", "items_sha256", "contaminated_"]
+    assert [(r.doc_id, r.n_words, r["n_words_"], r.n_hit, r["contaminated_"]) for r in out.orderBy("doc_id").collect()] == [(0, "mine", 4, 2, True), (1, "mine", 0, 0, False)]
+
+
+def test_decontamination_of_long_and_repeated_texts(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    long = ("zz " * 400_000 + item + " " + "i3 i4 " * 400_000).encode()
+    start = time.time()
+    spans, ids = decontam.Matcher([("1", item.encode()), ("2", b"zz zz"), ("3", b"")]).spans(decontam.words_of(long))
+    assert spans == [(0, 400_020)] and ids == {"1", "2"} and time.time() - start < 30
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    rows = decontam.find_hits(docs(spark, [item, item]), bench).collect()
+    assert [r["hits_"]["items"] for r in rows] == [["1"], ["1"]]
+
+
+def test_matcher_is_small():
+    rng = random.Random(4)
+    items = [(str(k), " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(rng.choice([5, 60]))).encode()) for k in range(3000)]
+    size = len(pickle.dumps(decontam.Matcher(items)))
+    assert size < 35 * sum(len(t) for _, t in items)
+
+
+def test_trimmed_rows_equal_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("abcd") * rng.randrange(1, 3)
+    items = [(k, " ".join(word() for _ in range(rng.randrange(2, 9)))) for k in range(4)]
+    texts = [" ".join(word() for _ in range(rng.randrange(80))) for _ in range(60)] + [None, ""]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontam.trimmed_rows(docs(spark, texts), bench, longer_than=6, most_percent=40, window=5)
+    for r in rows.collect():
+        if texts[r.doc_id] is None:
+            assert r.text is None
+            continue
+        words = texts[r.doc_id].split()
+        n, hit, _ = brute_hits(texts[r.doc_id], [(str(i), t) for i, t in items], 5)
+        runs, left = [], []
+        for k in sorted(hit):
+            runs[-1].append(k) if runs and runs[-1][-1] == k - 1 else runs.append([k])
+        cut = {k for run in runs if len(run) >= 6 or 100 * len(hit) >= 40 * n for k in run}
+        left = [w for k, w in enumerate(words) if k not in cut]
+        assert r.text.split() == left
+
+
 def test_span_removal():
     text = "Keep this. One two, three four! And this."
     spans, _ = decontam.Matcher([("1", b"one two three four")], 3).spans(decontam.words_of(text.encode()))
