@@ -97,46 +97,50 @@ def quad(spark: SparkSession, nodes: int, width: int, height: int) -> DataFrame:
     return _cells(spark, nodes, *dyadic_region(nodes, width, height), decode)
 
 
-def hilbert_cells(nodes: int, width: int, height: int):
-    """Cells of the generalised Hilbert curve over the dyadic region, one by one.
-
-    A rectangle is given by its corner and the vectors of its major and minor side. Long ones are
-    halved; others become three rectangles: across, along, and back. Odd halves are made even.
+#: A rectangle of the Hilbert curve: corner (x, y), the vectors (ax, ay) and (bx, by) of its major and minor
+#: side, and how many cells come before it.
+_RECTANGLE = ("x", "y", "ax", "ay", "bx", "by", "before")
+#: Columns that the split of a rectangle uses: side lengths, unit steps, half sides (towards zero).
+_SIDES = (
+    "abs(ax + ay) AS a", "abs(bx + by) AS b", "cast(sign(ax) AS bigint) AS ux", "cast(sign(ay) AS bigint) AS uy", "cast(sign(bx) AS bigint) AS vx", "cast(sign(by) AS bigint) AS vy",
+    "ax div 2 AS hx", "ay div 2 AS hy", "bx div 2 AS kx", "by div 2 AS ky",
+)
+
+
+def _split(rectangles: DataFrame) -> DataFrame:
+    """Each rectangle as two or three smaller ones in the order of the curve; lines stay.
+
+    A rectangle more than one and a half times as long as wide is halved across; any other becomes one
+    along the minor side, one along the whole major side, and one back. A half of odd length grows by one.
+    The places of the parts follow from their areas, so all rectangles of a level are split at once.
     """
-    w, h = dyadic_region(nodes, width, height, height >= width)
-    todo = [((0, 0), (w, 0), (0, h))] if w >= h else [((0, 0), (0, h), (w, 0))]
-    left = nodes
-    unit = lambda v: ((v[0] > 0) - (v[0] < 0), (v[1] > 0) - (v[1] < 0))
-    size = lambda v: abs(v[0] + v[1])
-    add = lambda *vs: (sum(v[0] for v in vs), sum(v[1] for v in vs))
-    neg = lambda v: (-v[0], -v[1])
-    half = lambda v: (int(v[0] / 2), int(v[1] / 2))
-    while todo and left:
-        at, a, b = todo.pop()
-        da, db = unit(a), unit(b)
-        if size(b) == 1 or size(a) == 1:
-            step, n = (da, size(a)) if size(b) == 1 else (db, size(b))
-            for k in range(min(n, left)):
-                yield at[0] + k * step[0], at[1] + k * step[1]
-            left -= min(n, left)
-            continue
-        a2, b2 = half(a), half(b)
-        if 2 * size(a) > 3 * size(b):
-            if size(a2) % 2 and size(a) > 2:
-                a2 = add(a2, da)
-            parts = [(at, a2, b), (add(at, a2), add(a, neg(a2)), b)]
-        else:
-            if size(b2) % 2 and size(b) > 2:
-                b2 = add(b2, db)
-            end = add(at, a, neg(da), b2, neg(db))
-            parts = [(at, b2, a2), (add(at, b2), a, add(b, neg(b2))), (end, neg(b2), neg(add(a, neg(a2))))]
-        todo += reversed(parts)
+    r = rectangles.selectExpr("*", *_SIDES)
+    odd_a, odd_b = "(abs(hx + hy) % 2 = 1 AND a > 2)", "(abs(kx + ky) % 2 = 1 AND b > 2)"
+    r = r.selectExpr("*", f"hx + if({odd_a}, ux, 0) AS mx", f"hy + if({odd_a}, uy, 0) AS my", f"kx + if({odd_b}, vx, 0) AS nx", f"ky + if({odd_b}, vy, 0) AS ny")
+    part = lambda *values: "struct(" + ", ".join(f"cast({v} AS bigint) AS {n}" for v, n in zip(values, _RECTANGLE)) + ")"
+    line = part(*_RECTANGLE)
+    halves = (part("x", "y", "mx", "my", "bx", "by", "before"), part("x + mx", "y + my", "ax - mx", "ay - my", "bx", "by", "before + abs(mx + my) * b"))
+    first, whole = "abs(nx + ny) * abs(hx + hy)", "a * (b - abs(nx + ny))"
+    thirds = (
+        part("x", "y", "nx", "ny", "hx", "hy", "before"), part("x + nx", "y + ny", "ax", "ay", "bx - nx", "by - ny", f"before + {first}"),
+        part("x + ax - ux + nx - vx", "y + ay - uy + ny - vy", "-nx", "-ny", "hx - ax", "hy - ay", f"before + {first} + {whole}"),
+    )
+    parts = f"CASE WHEN a = 1 OR b = 1 THEN array({line}) WHEN 2 * a > 3 * b THEN array({', '.join(halves)}) ELSE array({', '.join(thirds)}) END"
+    return r.selectExpr(f"explode({parts}) AS r").select("r.*")
 
 
 def hilbert(spark: SparkSession, nodes: int, width: int, height: int) -> DataFrame:
-    """(idx, x, y); the lattice bounds the number of rows, and cells are listed on the driver."""
-    rows = [(k, x, y) for k, (x, y) in enumerate(hilbert_cells(nodes, width, height))]
-    return spark.createDataFrame(rows, "idx bigint, x int, y int")
+    """(idx, x, y) along the generalised Hilbert curve over the dyadic region: rectangles are split level by level, then lines become cells."""
+    w, h = dyadic_region(nodes, width, height, height >= width)
+    sides = (w, 0, 0, h) if w >= h else (0, h, w, 0)
+    level = spark.range(1).selectExpr("0L AS x", "0L AS y", *[f"{v}L AS {n}" for v, n in zip(sides, _RECTANGLE[2:6])], "0L AS before")
+    for k in range(_bits(w) + _bits(h) + 2):  # a split at least halves one side, up to one cell
+        level = _split(level).where(F.col("before") < nodes)
+        if k == 6:
+            level = level.repartition(_RECTANGLE[0], _RECTANGLE[1])
+    lines = level.selectExpr("*", *_SIDES).selectExpr("x", "y", "before", "if(b = 1, a, b) AS n", "if(b = 1, ux, vx) AS dx", "if(b = 1, uy, vy) AS dy")
+    cells = lines.selectExpr("*", "explode(sequence(0L, n - 1)) AS k").selectExpr("before + k AS idx", "cast(x + k * dx AS int) AS x", "cast(y + k * dy AS int) AS y")
+    return cells.where(F.col("idx") < nodes)
 
 
 #: Curves by their names on the command line.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -97,54 +98,51 @@ def average_congestion(routed: DataFrame, hw: Hardware) -> DataFrame:
 
 
 def transit(dx: int, dy: int) -> np.ndarray:
-    """[a, b]: chance that a monotone route over dx by dy steps passes (a, b); at each free choice both axes are equally likely."""
-    p = np.zeros((dx + 1, dy + 1))
-    p[0, 0] = 1.0
-    for a in range(dx + 1):
-        for b in range(dy + 1):
-            if a == dx and b < dy:
-                p[a, b + 1] += p[a, b]
-            elif a < dx and b == dy:
-                p[a + 1, b] += p[a, b]
-            elif a < dx:
-                p[a + 1, b] += 0.5 * p[a, b]
-                p[a, b + 1] += 0.5 * p[a, b]
+    """[a, b]: chance that a monotone route over dx by dy steps passes (a, b); at each free choice both axes are equally likely.
+
+    Inside, C(a + b, a) / 2^(a + b), as running products; a border cell sums what enters its border up to it.
+    """
+    p = np.ones((dx + 1, dy + 1))
+    if not dx or not dy:
+        return p
+    a, b = np.arange(dx)[:, None], np.arange(1, dy)[None, :]
+    p[:dx, 0] = 0.5 ** np.arange(dx)
+    p[:dx, 1:dy] = p[:dx, :1] * np.cumprod((a + b) / (2 * b), axis=1)
+    p[dx, :dy] = np.cumsum(0.5 * p[dx - 1, :dy])
+    p[:dx, dy] = np.cumsum(0.5 * p[:dx, dy - 1])
     return p
 
 
-def cell_congestion(routed: DataFrame, inner_only: bool = False) -> DataFrame:
-    """(x, y, load): expected weight through each cell.
+def cell_congestion(routed: DataFrame) -> DataFrame:
+    """(x, y, load, load_ref): expected weight through each cell; load_ref leaves out the last row and column of each route's box.
 
-    Routes of equal ends are summed first, so Python sees each pair of cells once. ``inner_only`` leaves
-    out the last row and column of each route's box, as the reference figure does.
+    Routes of equal ends are summed first, so Python sees each pair of cells once and adds one box for it to
+    a grid of the lattice's size.
     """
     pairs = routed.groupBy("sx", "sy", "dx", "dy").agg(F.sum("w").cast("double").alias("w"))
 
     def spread(batches):
-        cache: dict[tuple[int, int], np.ndarray] = {}
+        boxes = lru_cache(maxsize=4096)(transit)
+        grid = np.zeros((2, 0, 0))
         for rows in batches:
-            total: dict[tuple[int, int], float] = {}
-            for sx, sy, dx, dy, w in rows.itertuples(index=False):
-                box = (abs(dx - sx), abs(dy - sy))
-                p = cache.get(box)
-                if p is None:
-                    p = cache[box] = transit(*box)
-                ax, ay = (1 if dx >= sx else -1), (1 if dy >= sy else -1)
-                for a in range(box[0] + (not inner_only)):
-                    for b in range(box[1] + (not inner_only)):
-                        at = (min(sx, dx) + a, min(sy, dy) + b) if inner_only else (sx + ax * a, sy + ay * b)
-                        q = p[a if ax > 0 else box[0] - a, b if ay > 0 else box[1] - b] if inner_only else p[a, b]
-                        total[at] = total.get(at, 0.0) + w * q
-            if total:
-                yield pd.DataFrame([(x, y, v) for (x, y), v in total.items()], columns=["x", "y", "load"]).astype({"x": "int32", "y": "int32"})
-
-    return pairs.mapInPandas(spread, "x int, y int, load double").groupBy("x", "y").agg(F.sum("load").alias("load"))
+            sx, sy, dx, dy = (rows[c].to_numpy() for c in ("sx", "sy", "dx", "dy"))
+            top = [max([grid.shape[k + 1], *(int(c.max()) + 1 for c in ends if len(c))]) for k, ends in enumerate(((sx, dx), (sy, dy)))]
+            grid = np.pad(grid, ((0, 0), (0, top[0] - grid.shape[1]), (0, top[1] - grid.shape[2])))
+            for x0, y0, x1, y1, w in zip(sx.tolist(), sy.tolist(), dx.tolist(), dy.tolist(), rows["w"].tolist()):
+                box = w * boxes(abs(x1 - x0), abs(y1 - y0))[:: 1 if x1 >= x0 else -1, :: 1 if y1 >= y0 else -1]
+                x, y = min(x0, x1), min(y0, y1)
+                grid[0, x : x + box.shape[0], y : y + box.shape[1]] += box
+                grid[1, x : x + box.shape[0] - 1, y : y + box.shape[1] - 1] += box[:-1, :-1]
+        x, y = np.nonzero(grid[0])
+        yield pd.DataFrame({"x": x.astype("int32"), "y": y.astype("int32"), "load": grid[0, x, y], "load_ref": grid[1, x, y]})
+
+    return pairs.mapInPandas(spread, "x int, y int, load double, load_ref double").groupBy("x", "y").agg(F.sum("load").alias("load"), F.sum("load_ref").alias("load_ref"))
 
 
 def max_congestion(routed: DataFrame) -> DataFrame:
-    whole = cell_congestion(routed).agg(F.coalesce(F.max("load"), F.lit(0.0)).alias("max_congestion"))
-    inner = cell_congestion(routed, inner_only=True).agg(F.coalesce(F.max("load"), F.lit(0.0)).alias("max_congestion_ref"))
-    return whole.join(inner)  # one row each
+    """One row: max_congestion, and max_congestion_ref without the last row and column of each route."""
+    most = lambda c, name: F.coalesce(F.max(c), F.lit(0.0)).alias(name)
+    return cell_congestion(routed).agg(most("load", "max_congestion"), most("load_ref", "max_congestion_ref"))
 
 
 def _cells_of(pins: DataFrame, placement: DataFrame) -> DataFrame:

@@ -95,12 +95,27 @@ def validity(graph: HGraph, parts: DataFrame, limits: Constraints) -> DataFrame:
     return row.select("n_parts", contiguous.alias("contiguous"), "max_size", "max_inbound", valid.alias("valid"))
 
 
-def fit(graph: HGraph, limits: Constraints, already_partitioned: bool = False) -> DataFrame:
-    """One row: n_nodes, max_inbound, fits. Necessary conditions; ``sequential_parts`` gives a sufficient one."""
-    most = limits.max_parts if already_partitioned else limits.max_parts * limits.nodes_per_part
+def fit(graph: HGraph, limits: Constraints, already_partitioned: bool = False, greedy: bool = True) -> DataFrame:
+    """One row: n_nodes, max_inbound, n_sequential, fits.
+
+    The graph fits if the parts can hold all nodes, no node alone breaks the inbound limit, and taking
+    nodes in id order needs at most max_parts parts (n_sequential; null where a node alone is too much).
+    A graph that is a quotient already needs a part for each node. Without ``greedy`` the last check, a fold
+    over all nodes, is left out.
+    """
     inbound = graph.pins.where("NOT is_src").groupBy("v").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_inbound"))
     row = graph.nodes.agg(F.count("*").alias("n_nodes")).join(inbound)  # one row each
-    return row.select("n_nodes", "max_inbound", ((F.col("n_nodes") <= most) & (F.col("max_inbound") <= limits.inbound_per_part)).alias("fits"))
+    if not greedy:
+        needed = graph.nodes.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("n_sequential"))
+    elif already_partitioned:
+        needed = graph.nodes.agg(F.count("*").alias("n_sequential"))
+    else:
+        needed = sequential_parts(graph, Constraints(limits.nodes_per_part, limits.inbound_per_part, 2**31 - 1)).agg((F.coalesce(F.max("p") + 1, F.lit(0))).alias("n_sequential"))
+    row = row.join(needed)
+    most = limits.max_parts * (1 if already_partitioned else limits.nodes_per_part)
+    light = F.col("max_inbound") <= limits.inbound_per_part
+    fits = (F.col("n_nodes") <= most) & light & (F.col("n_sequential") <= limits.max_parts)
+    return row.select("n_nodes", "max_inbound", F.when(light, F.col("n_sequential")).alias("n_sequential"), fits.alias("fits"))
 
 
 def sequential_parts(graph: HGraph, limits: Constraints) -> DataFrame:

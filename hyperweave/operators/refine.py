@@ -189,6 +189,12 @@ def best_prefix(totals: DataFrame, start_excess: int = 0, start_broken: int = 0)
     return totals.orderBy(*order).limit(1)
 
 
+def best_valid_prefix(totals: DataFrame, start_excess: int = 0, start_broken: int = 0) -> DataFrame:
+    """At most one row: of the prefixes that break no limit, the one with most gain, then lowest rank."""
+    valid = totals.where((F.col("broken") + start_broken <= 0) & (F.col("excess") + start_excess <= 0))
+    return valid.orderBy(F.desc("gain"), "rank").limit(1)
+
+
 def applied(parts: DataFrame, moves: DataFrame, upto: int) -> DataFrame:
     """parts after all moves of rank 0..upto."""
     new = moves.where(F.col("rank") <= upto).select("v", "dst")

@@ -7,7 +7,9 @@ every fifth node from v % 8 to (v + 3) % 8.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +18,10 @@ from ..functions import curves
 from ..operators import coarsen, hardware, initial, metrics, ordering, placement, refine, structure
 from ..operators.metrics import Constraints
 from ..schema import HGraph
+from ..sources import files
+from ..sources.generate import scaled
 from ..sources.relational import basket, supply, user_events
-from ..tables import stored
+from ..tables import shared_dir, stored
 from .partition import KWAY_NODES, partition
 
 LIMITS = Constraints(300, 12_000, 64)
@@ -48,11 +52,15 @@ def raw_pins(spark, sf_dir) -> DataFrame:
 def quotient64(spark, sf_dir, k: int = 64) -> tuple[HGraph, DataFrame]:
     """The directed basket graph between k parts, and their places."""
     graph = basket(spark, sf_dir, directed=True)
-    rows = metrics.quotient(graph, parts_of(graph, k))
+    rows = stored(metrics.quotient(graph, parts_of(graph, k)), "quotient")
     pin = lambda c, role: rows.select("e", F.explode(c).alias("v"), F.lit(role).alias("is_src"))
     nodes = spark.range(k).select(F.col("id").alias("v"), F.lit(1).cast("bigint").alias("size"))
-    at = nodes.select("v", (F.col("v") % 8).cast("int").alias("x"), F.floor(F.col("v") / 8).cast("int").alias("y"))
-    return HGraph(nodes, rows.select("e", "w"), pin("srcs", True).unionByName(pin("dsts", False))), at
+    return HGraph(nodes, rows.select("e", "w"), pin("srcs", True).unionByName(pin("dsts", False))), places64(spark, k)
+
+
+def places64(spark, k: int = 64) -> DataFrame:
+    nodes = spark.range(k).select(F.col("id").alias("v"))
+    return nodes.select("v", (F.col("v") % 8).cast("int").alias("x"), F.floor(F.col("v") / 8).cast("int").alias("y"))
 
 
 def six(column: str) -> F:
@@ -93,7 +101,26 @@ def neighbors_degree(spark, sf_dir):
 
 @query
 def neighbors_sample_max(spark, sf_dir):
-    return structure.sampled_max_neighbourhood(basket(spark, sf_dir), samples=100)
+    return structure.sampled_max_neighbourhood(basket(spark, sf_dir))
+
+
+def _roles(graph: HGraph, e: int) -> DataFrame:
+    """Sources, destinations and members of a hyperedge."""
+    parts = {"source": structure.sources(graph.pins, e), "destination": structure.destinations(graph.pins, e), "member": structure.members(graph.pins, e)}
+    return reduce(DataFrame.unionByName, [df.select("v", F.lit(role).alias("role")) for role, df in parts.items()])
+
+
+@query
+def hedge_roles(spark, sf_dir):
+    return _roles(basket(spark, sf_dir, directed=True), 7)
+
+
+@query
+def incident_hedges(spark, sf_dir):
+    """Inbound, outbound and all hyperedges of a node."""
+    pins = basket(spark, sf_dir, directed=True).pins
+    kinds = {"inbound": True, "outbound": False, "any": None}
+    return reduce(DataFrame.unionByName, [structure.incident(pins, 7, inbound).select("e", F.lit(kind).alias("kind")) for kind, inbound in kinds.items()])
 
 
 @query
@@ -165,6 +192,19 @@ def constraint_fit(spark, sf_dir):
     return metrics.fit(basket(spark, sf_dir, directed=True), LIMITS)
 
 
+@query
+def kway_validity(spark, sf_dir):
+    graph = basket(spark, sf_dir, directed=True)
+    return metrics.validity(graph, parts_of(graph), Constraints.kway(graph.nodes.count(), 8, 0.03))
+
+
+@query
+def hardware_fit(spark, sf_dir):
+    """The quotient on a chip: a core for each part."""
+    graph, _ = quotient64(spark, sf_dir)
+    return metrics.fit(graph, hardware.HARDWARE["truenorth"].constraints, already_partitioned=True)
+
+
 @query
 def sequential_partition(spark, sf_dir):
     return metrics.sequential_parts(basket(spark, sf_dir, directed=True), Constraints(64, 1000, 1 << 20))
@@ -206,8 +246,7 @@ def candidates_topk(spark, sf_dir):
 
 @query
 def matched_pairs(spark, sf_dir):
-    found = coarsen.matching(stored(coarsen.candidates(basket(spark, sf_dir, directed=True), PAIR_LIMITS, 2)))
-    return found
+    return coarsen.matching(stored(coarsen.candidates(basket(spark, sf_dir, directed=True), PAIR_LIMITS, 4)))
 
 
 @query
@@ -267,6 +306,13 @@ def fm_gains(spark, sf_dir):
     return refine.gains(graph, parts_of(graph), LIMITS)
 
 
+@query
+def fm_gains_incc(spark, sf_dir):
+    """The rule that encourages nearly empty parts, at half the size."""
+    graph = basket(spark, sf_dir, directed=True)
+    return refine.gains(graph, parts_of(graph), Constraints(300, 12_000, 64), kway=False, discount=2).select("v", "src", "dst", six("gain"))
+
+
 @query
 def move_ranks(spark, sf_dir):
     return moves_of(basket(spark, sf_dir))
@@ -319,6 +365,11 @@ def best_prefix(spark, sf_dir):
     return refine.best_prefix(_prefixes(spark, sf_dir)[1])
 
 
+@query
+def best_valid_prefix(spark, sf_dir):
+    return refine.best_valid_prefix(_prefixes(spark, sf_dir)[1])
+
+
 @query
 def apply_moves(spark, sf_dir):
     graph = basket(spark, sf_dir)
@@ -382,6 +433,12 @@ def labelprop_cascade(spark, sf_dir):
     return ordering.pair_cascade(graph.pins, graph.edges, parts_of(graph), ordering.paired_moves(gains))
 
 
+@query
+def labelprop_prefix(spark, sf_dir):
+    """The best prefix of the pairs that each two sibling parts swap."""
+    return ordering.best_pairs(labelprop_cascade(spark, sf_dir))
+
+
 @query
 def sibling_strength(spark, sf_dir):
     graph = basket(spark, sf_dir)
@@ -421,7 +478,8 @@ def curve_hilbert(spark, sf_dir):
 
 
 def _routes(spark, sf_dir):
-    graph, at = quotient64(spark, sf_dir)
+    """The quotient between 64 parts with equal hyperedges merged (all sums of weights stay), its places and routes."""
+    graph, at = _squished(spark, sf_dir), places64(spark)
     return graph, at, hardware.routes(graph.pins, graph.edges, at)
 
 
@@ -489,10 +547,36 @@ def mst_span(spark, sf_dir):
 
 @query
 def hull_locality(spark, sf_dir):
-    graph, at, _ = _routes(spark, sf_dir)
+    graph, at = quotient64(spark, sf_dir)
     return hardware.locality(graph.pins, graph.edges, at).select(*map(six, ("ar_mean", "geo_mean", "ar_mean_weighted", "geo_mean_weighted")))
 
 
+@query
+def placement_metrics(spark, sf_dir):
+    """All placement metrics in one row."""
+    graph, at = quotient64(spark, sf_dir)
+    row = hardware.all_metrics(graph.pins, graph.edges, at, HW)
+    return row.select("valid", F.round("energy", 3).alias("energy"), six("avg_latency"), six("max_latency"), six("congestion"), F.round("max_congestion", 3).alias("max_congestion"), six("ar_mean"), "max_distance", "tree_span")
+
+
+def _ranked_swaps(placed: DataFrame) -> DataFrame:
+    """Swaps of parts 2k and 2k + 1 for odd k, ranked by k, as (lo, hi, x, y, rank)."""
+    rows = placed.where("v % 4 = 2").select(F.col("v").alias("lo"), (F.col("v") + 1).alias("hi"), F.floor(F.col("v") / 4).cast("bigint").alias("rank"))
+    return rows.join(placed.select(F.col("v").alias("hi"), "x", "y"), "hi").select("lo", "hi", "x", "y", "rank")
+
+
+@query
+def swap_gains(spark, sf_dir):
+    graph, at, _ = _routes(spark, sf_dir)
+    return placement.swap_cascade(graph.pins, graph.edges, at, _ranked_swaps(at))
+
+
+@query
+def apply_swaps(spark, sf_dir):
+    at = places64(spark)
+    return placement.swapped(at, _ranked_swaps(at))
+
+
 def _squished(spark, sf_dir, k=64):
     """The quotient between k parts with equal hyperedges merged, as a placer expects it."""
     graph = basket(spark, sf_dir, directed=True)
@@ -505,6 +589,64 @@ def locality_order(spark, sf_dir):
     return ordering.locality_order(_squished(spark, sf_dir))
 
 
+def _scratch(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}"
+
+
+def _pins_back(graph: HGraph) -> DataFrame:
+    return graph.pins.join(graph.edges, "e").select("e", "v", "is_src", F.col("w").cast("double").alias("w"))
+
+
+def _written_and_read(spark, graph: HGraph, kind: str) -> DataFrame:
+    path = _scratch(spark, f"round-{uuid.uuid4().hex}.{kind}")
+    files.write_hypergraph(graph, path)
+    return _pins_back(files.read_hypergraph(spark, path))
+
+
+@query
+def snn_round_trip(spark, sf_dir):
+    """Written as .snn (one source each) and read again: hyperedges are numbered in their order."""
+    return _written_and_read(spark, basket(spark, sf_dir, directed=True), "snn")
+
+
+@query
+def axh_round_trip(spark, sf_dir):
+    """Many sources: every node of an id that 3 divides is one, too."""
+    graph = basket(spark, sf_dir, directed=True)
+    pins = graph.pins.select("e", "v", (F.col("is_src") | (F.col("v") % 3 == 0)).alias("is_src"))
+    kept = pins.groupBy("e").agg(F.min("is_src").alias("all_src")).where("NOT all_src").select("e")
+    return _written_and_read(spark, HGraph(graph.nodes, graph.edges.join(kept, "e", "left_semi"), pins.join(kept, "e", "left_semi")), "axh")
+
+
+@query
+def hmetis_round_trip(spark, sf_dir):
+    """Weights come back times 1024, hyperedges of one pin not at all."""
+    return _written_and_read(spark, basket(spark, sf_dir), "hgr")
+
+
+@query
+def partitioning_round_trip(spark, sf_dir):
+    graph, path = basket(spark, sf_dir), _scratch(spark, f"round-{uuid.uuid4().hex}.part")
+    files.write_partitioning(parts_of(graph), path)
+    return files.read_partitioning(spark, path, graph.nodes.count())
+
+
+@query
+def placement_round_trip(spark, sf_dir):
+    path = _scratch(spark, f"round-{uuid.uuid4().hex}.bin")
+    files.write_placement(basket(spark, sf_dir).nodes.select("v", (F.col("v") % 64).cast("int").alias("x"), (-F.floor(F.col("v") / 64)).cast("int").alias("y")), path)
+    return files.read_placement(spark, path)
+
+
+@query
+def scaled_counts(spark, sf_dir):
+    """Sizes of a graph scaled by 1.5: hyperedges are as many as asked for, none has fewer than two pins."""
+    given = basket(spark, sf_dir, directed=True)
+    big = scaled(given, 1.5)
+    sizes = big.pins.groupBy("e").agg(F.count("*").alias("n"))
+    return big.nodes.agg(F.count("*").alias("n_nodes")).join(big.edges.agg(F.count("*").alias("n_hedges"))).join(sizes.agg((F.min("n") > 1).alias("all_joined")))  # one row each
+
+
 @query
 def feed_forward(spark, sf_dir):
     return ordering.feed_forward_order(basket(spark, sf_dir, directed=True))

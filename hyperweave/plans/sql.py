@@ -31,6 +31,64 @@ WITH RECURSIVE pins AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS v FROM lin
  harmonic AS (SELECT e, any_value(w) AS w, any_value(w) / sum(1.0::DOUBLE / deg) AS ratio FROM pins JOIN (SELECT v, count(*) AS deg FROM pins GROUP BY v) USING (v) JOIN edges USING (e) GROUP BY e)
 """
 
+#: Expected weight through each cell: routes of equal ends merged, chances by binomials, border cells by what enters them.
+_CONGESTION = """,
+ boxes AS (SELECT sx, sy, dx, dy, abs(dx - sx) AS bx, abs(dy - sy) AS by_, sum(w)::DOUBLE AS w FROM routes GROUP BY ALL),
+ inner_ AS (SELECT a, b, exp(lgamma(a + b + 1) - lgamma(a + 1) - lgamma(b + 1) - (a + b) * ln(2)) AS q FROM range(0, 8) s(a), range(0, 8) t(b)),
+ chances AS (
+  SELECT bx, by_, a, b, CASE WHEN bx = 0 OR by_ = 0 OR a = bx AND b = by_ THEN 1.0::DOUBLE
+    WHEN a < bx AND b < by_ THEN (SELECT q FROM inner_ i WHERE i.a = s.a AND i.b = t.b)
+    WHEN a = bx THEN (SELECT sum(q) / 2 FROM inner_ i WHERE i.a = bx - 1 AND i.b <= t.b)
+    ELSE (SELECT sum(q) / 2 FROM inner_ i WHERE i.b = by_ - 1 AND i.a <= s.a) END AS p
+  FROM (SELECT DISTINCT bx, by_ FROM boxes), range(0, 8) s(a), range(0, 8) t(b) WHERE a <= bx AND b <= by_),
+ stops AS (SELECT CASE WHEN dx >= sx THEN sx + a ELSE sx - a END AS x, CASE WHEN dy >= sy THEN sy + b ELSE sy - b END AS y, w * p AS l, least(sx, dx) AS x0, least(sy, dy) AS y0, bx, by_ FROM boxes JOIN chances USING (bx, by_)),
+ cell_loads AS (SELECT x, y, sum(l) AS load, sum(l) FILTER (x < x0 + bx AND y < y0 + by_) AS load_ref FROM stops GROUP BY x, y)"""
+
+#: A spanning tree of each hyperedge's cells, one cell a step.
+_PRIM = """,
+ spots AS MATERIALIZED (SELECT DISTINCT e, x, y, x * 8 + y AS c FROM qpins),
+ grown AS (
+  SELECT e, 1 AS n, [min(c)] AS inside, 0::BIGINT AS total FROM spots GROUP BY e
+  UNION ALL
+  SELECT g.e, g.n + 1, list_append(any_value(g.inside), arg_min(b.c, abs(a.x - b.x) + abs(a.y - b.y))), any_value(g.total) + min(abs(a.x - b.x) + abs(a.y - b.y))
+  FROM grown g JOIN spots a ON a.e = g.e AND list_contains(g.inside, a.c) JOIN spots b ON b.e = g.e AND NOT list_contains(g.inside, b.c) GROUP BY g.e, g.n),
+ spans_ AS (SELECT e, max(total) AS total FROM grown GROUP BY e)"""
+
+#: A lattice point is in a hull if it is in a triangle of three of its points (which may coincide).
+_HULL = """,
+ corners AS MATERIALIZED (SELECT DISTINCT e, x, y FROM qpins),
+ shapes AS MATERIALIZED (SELECT e, list(x * 8 + y ORDER BY x, y) AS cs FROM corners GROUP BY e),
+ kinds AS MATERIALIZED (SELECT row_number() OVER () AS k, cs FROM (SELECT DISTINCT cs FROM shapes)),
+ tips AS MATERIALIZED (SELECT k, c // 8 AS x, c % 8 AS y FROM (SELECT k, unnest(cs) AS c FROM kinds)),
+ inside AS (
+  SELECT DISTINCT a.k, s.x, t.y FROM tips a JOIN tips b ON b.k = a.k JOIN tips c ON c.k = a.k
+   JOIN range(0, 8) s(x) ON s.x BETWEEN least(a.x, b.x, c.x) AND greatest(a.x, b.x, c.x) JOIN range(0, 8) t(y) ON t.y BETWEEN least(a.y, b.y, c.y) AND greatest(a.y, b.y, c.y)
+  WHERE (a.x, a.y) <= (b.x, b.y) AND (b.x, b.y) <= (c.x, c.y) AND NOT (
+   least((b.x - a.x) * (t.y - a.y) - (b.y - a.y) * (s.x - a.x), (c.x - b.x) * (t.y - b.y) - (c.y - b.y) * (s.x - b.x), (a.x - c.x) * (t.y - c.y) - (a.y - c.y) * (s.x - c.x)) < 0 AND
+   greatest((b.x - a.x) * (t.y - a.y) - (b.y - a.y) * (s.x - a.x), (c.x - b.x) * (t.y - b.y) - (c.y - b.y) * (s.x - b.x), (a.x - c.x) * (t.y - c.y) - (a.y - c.y) * (s.x - c.x)) > 0)),
+ counted AS (SELECT k, count(*) AS n FROM inside GROUP BY k),
+ hulls AS (SELECT e, n FROM shapes JOIN kinds USING (cs) JOIN counted USING (k))"""
+
+#: Rectangles (corner, major side, minor side, cells before) are split until one side has one cell.
+_HILBERT = """,
+ boxes(lvl, x, y, ax, ay, bx, by_, first_) AS (
+  SELECT 0, 0, 0, 32, 0, 0, 32, 0
+  UNION ALL
+  SELECT lvl + 1, part.x, part.y, part.ax, part.ay, part.bx, part.by_, part.f FROM (
+   SELECT lvl, unnest(CASE WHEN 2 * a > 3 * b THEN [
+      {'x': x, 'y': y, 'ax': mx, 'ay': my, 'bx': bx, 'by_': by_, 'f': first_},
+      {'x': x + mx, 'y': y + my, 'ax': ax - mx, 'ay': ay - my, 'bx': bx, 'by_': by_, 'f': first_ + abs(mx + my) * b}]
+     ELSE [
+      {'x': x, 'y': y, 'ax': nx, 'ay': ny, 'bx': hx, 'by_': hy, 'f': first_},
+      {'x': x + nx, 'y': y + ny, 'ax': ax, 'ay': ay, 'bx': bx - nx, 'by_': by_ - ny, 'f': first_ + abs(nx + ny) * abs(hx + hy)},
+      {'x': x + ax - sign(ax)::INTEGER + nx - sign(bx)::INTEGER, 'y': y + ay - sign(ay)::INTEGER + ny - sign(by_)::INTEGER, 'ax': -nx, 'ay': -ny, 'bx': hx - ax, 'by_': hy - ay, 'f': first_ + abs(nx + ny) * abs(hx + hy) + a * (b - abs(nx + ny))}] END) AS part
+   FROM (SELECT *,
+     hx + CASE WHEN abs(hx + hy) % 2 = 1 AND a > 2 THEN sign(ax)::INTEGER ELSE 0 END AS mx, hy + CASE WHEN abs(hx + hy) % 2 = 1 AND a > 2 THEN sign(ay)::INTEGER ELSE 0 END AS my,
+     kx + CASE WHEN abs(kx + ky) % 2 = 1 AND b > 2 THEN sign(bx)::INTEGER ELSE 0 END AS nx, ky + CASE WHEN abs(kx + ky) % 2 = 1 AND b > 2 THEN sign(by_)::INTEGER ELSE 0 END AS ny
+    FROM (SELECT *, abs(ax + ay) AS a, abs(bx + by_) AS b, trunc(ax / 2)::INTEGER AS hx, trunc(ay / 2)::INTEGER AS hy, trunc(bx / 2)::INTEGER AS kx, trunc(by_ / 2)::INTEGER AS ky FROM boxes) WHERE a > 1 AND b > 1)))
+ SELECT (first_ + k)::BIGINT AS idx, (x + k * CASE WHEN abs(bx + by_) = 1 THEN sign(ax) ELSE sign(bx) END)::INTEGER AS x, (y + k * CASE WHEN abs(bx + by_) = 1 THEN sign(ay) ELSE sign(by_) END)::INTEGER AS y
+ FROM boxes, range(0, 32) r(k) WHERE (abs(ax + ay) = 1 OR abs(bx + by_) = 1) AND k < greatest(abs(ax + ay), abs(bx + by_)) AND first_ + k < 1000"""
+
 #: u32 arithmetic of the pair noise.
 _NOISE = (
     "x0 AS (SELECT *, least(v, u)::UBIGINT AS lo, greatest(v, u)::UBIGINT AS hi FROM {0}),"
@@ -51,6 +109,28 @@ def _side() -> str:
     return "32"
 
 
+def _walk(size: int, inbound: int) -> str:
+    """CTEs of the sequential partition: nodes in id order, a new part where a limit would break."""
+    return f""", ins AS MATERIALIZED (SELECT n.v, coalesce(list(e) FILTER (e IS NOT NULL), []) AS es FROM nodes n LEFT JOIN (SELECT e, v FROM dpins WHERE NOT is_src) USING (v) GROUP BY n.v),
+ walk AS (
+  SELECT -1::BIGINT AS v, 0::BIGINT AS p, 0 AS size, []::BIGINT[] AS held
+  UNION ALL
+  SELECT v, CASE WHEN new THEN p + 1 ELSE p END, CASE WHEN new THEN 1 ELSE size + 1 END, CASE WHEN new THEN es ELSE both_ END
+  FROM (SELECT i.v, w.p, w.size, i.es, list_distinct(w.held || i.es) AS both_, w.size + 1 > {size} OR len(list_distinct(w.held || i.es)) > {inbound} AS new FROM walk w JOIN ins i ON i.v = w.v + 1))"""
+
+
+def _mul64(x: str, k: int) -> str:
+    return f"(({x})::UHUGEINT * {k}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _hash64(name: str, of: str, x: str) -> str:
+    """CTEs that add column h, the 64-bit mix of the expression ``x`` over table ``of``."""
+    return (
+        f", {name}0 AS (SELECT *, ({x})::UBIGINT AS x_ FROM {of}), {name}1 AS (SELECT * EXCLUDE (x_), {_mul64('xor(x_, x_ >> 33)', 0xFF51AFD7ED558CCD)} AS a_ FROM {name}0),"
+        f" {name}2 AS (SELECT * EXCLUDE (a_), {_mul64('xor(a_, a_ >> 33)', 0xC4CEB9FE1A85EC53)} AS b_ FROM {name}1), {name} AS (SELECT * EXCLUDE (b_), xor(b_, b_ >> 33) AS h FROM {name}2)"
+    )
+
+
 _SWAPS = """,
  grid AS (SELECT DISTINCT p AS v, (p % 8)::INTEGER AS x, (p // 8)::INTEGER AS y FROM range(0, 64) t(p)),
  steps(dir, opp, sx, sy, k) AS (VALUES ('left', 'right', -1, 0, 1), ('right', 'left', 1, 0, 2), ('up', 'down', 0, -1, 3), ('down', 'up', 0, 1, 4)),
@@ -69,7 +149,7 @@ _BODIES = {
     "incidence_counts": "SELECT v, count(*) AS touching, count(*) FILTER (NOT is_src) AS inbound FROM dpins GROUP BY v",
     "edge_sizes": "SELECT e, count(*) AS n_pins, count(*) FILTER (is_src) AS n_src FROM dpins GROUP BY e",
     "neighbors_degree": "SELECT a.v, count(DISTINCT b.v) AS n_neighbours FROM pins a JOIN pins b USING (e) WHERE a.v <> b.v GROUP BY a.v",
-    "neighbors_sample_max": ", picked AS (SELECT v FROM nodes WHERE v % greatest((SELECT count(*) FROM nodes) // 100, 1) = 0) SELECT coalesce(max(n), 0) AS max_neighbours FROM (SELECT a.v, count(DISTINCT b.v) AS n FROM pins a JOIN picked USING (v) JOIN pins b ON a.e = b.e WHERE a.v <> b.v GROUP BY a.v)",
+    "neighbors_sample_max": ", picked AS (SELECT v FROM nodes WHERE v % greatest((SELECT count(*) FROM nodes) // 2400, 1) = 0) SELECT coalesce(max(n), 0) AS max_neighbours FROM (SELECT a.v, count(DISTINCT b.v) AS n FROM pins a JOIN picked USING (v) JOIN pins b ON a.e = b.e WHERE a.v <> b.v GROUP BY a.v)",
     "supply_neighbors": ", sp AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS v FROM lineitem) SELECT v, count(*) AS n_neighbours FROM (SELECT DISTINCT a.v, b.v AS u FROM sp a JOIN sp b USING (e) WHERE a.v <> b.v) GROUP BY v",
     "relabel_nodes": "SELECT e, v * 2 + 7 AS v FROM pins",
     "pairwise_overlap": "SELECT e, sum(deg - 1)::BIGINT AS shared, round(sum(deg - 1) / ((SELECT count(*) FROM edges) - 1), 6)::DOUBLE AS avg_overlap FROM pins JOIN (SELECT v, count(*) AS deg FROM pins GROUP BY v) USING (v) GROUP BY e",
@@ -80,14 +160,14 @@ _BODIES = {
     "hedge_overlap_reuse": ", r AS (SELECT p, count(*) / count(DISTINCT e)::DOUBLE AS r FROM dpins JOIN parts USING (v) WHERE NOT is_src GROUP BY p) SELECT round(sum(r) / (SELECT max(p) + 1 FROM parts), 6) AS ar_mean, round(exp(sum(ln(r)) / (SELECT max(p) + 1 FROM parts)), 6) AS geo_mean FROM r",
     "part_loads": "SELECT p, size, inbound FROM dloads",
     "partition_validity": "SELECT count(*) AS n_parts, max(p) + 1 = count(*) AS contiguous, max(size) AS max_size, max(inbound) AS max_inbound, max(p) + 1 = count(*) AND count(*) <= 64 AND max(size) <= 300 AND max(inbound) <= 12000 AS valid FROM dloads",
-    "constraint_fit": ", i AS (SELECT v, count(*) AS n FROM dpins WHERE NOT is_src GROUP BY v) SELECT (SELECT count(*) FROM nodes) AS n_nodes, max(n) AS max_inbound, (SELECT count(*) FROM nodes) <= 64 * 300 AND max(n) <= 12000 AS fits FROM i",
-    "sequential_partition": """, ins AS MATERIALIZED (SELECT n.v, coalesce(list(e) FILTER (e IS NOT NULL), []) AS es FROM nodes n LEFT JOIN (SELECT e, v FROM dpins WHERE NOT is_src) USING (v) GROUP BY n.v),
- walk AS (
-  SELECT -1::BIGINT AS v, 0::BIGINT AS p, 0 AS size, []::BIGINT[] AS held
-  UNION ALL
-  SELECT v, CASE WHEN new THEN p + 1 ELSE p END, CASE WHEN new THEN 1 ELSE size + 1 END, CASE WHEN new THEN es ELSE both_ END
-  FROM (SELECT i.v, w.p, w.size, i.es, list_distinct(w.held || i.es) AS both_, w.size + 1 > 64 OR len(list_distinct(w.held || i.es)) > 1000 AS new FROM walk w JOIN ins i ON i.v = w.v + 1))
- SELECT v, p FROM walk WHERE v >= 0""",
+    "constraint_fit": _walk(300, 12000) + """, i AS (SELECT v, count(*) AS n FROM dpins WHERE NOT is_src GROUP BY v), q AS (SELECT max(p) + 1 AS n_sequential FROM walk)
+ SELECT (SELECT count(*) FROM nodes) AS n_nodes, max(n) AS max_inbound, any_value(n_sequential)::BIGINT AS n_sequential, (SELECT count(*) FROM nodes) <= 64 * 300 AND max(n) <= 12000 AND any_value(n_sequential) <= 64 AS fits FROM i, q""",
+    "kway_validity": """, lim AS (SELECT ceil(1.03::DOUBLE * count(*) / 8) AS most FROM nodes)
+ SELECT count(*) AS n_parts, max(p) + 1 = count(*) AS contiguous, max(size)::BIGINT AS max_size, max(inbound)::BIGINT AS max_inbound, max(p) + 1 = count(*) AND count(*) <= 8 AND max(size) <= any_value(most) AND max(inbound) <= 2147483647 AS valid FROM dloads, lim""",
+    "hardware_fit": """, i AS (SELECT v, count(*) AS n FROM qpins WHERE NOT is_src GROUP BY v) SELECT 64::BIGINT AS n_nodes, max(n) AS max_inbound, CASE WHEN max(n) <= 256 THEN 64::BIGINT END AS n_sequential, max(n) <= 256 AS fits FROM i""",
+    "hedge_roles": """SELECT v, CASE WHEN is_src THEN 'source' ELSE 'destination' END AS role FROM dpins WHERE e = 7 UNION ALL SELECT v, 'member' FROM dpins WHERE e = 7""",
+    "incident_hedges": """SELECT e, CASE WHEN is_src THEN 'outbound' ELSE 'inbound' END AS kind FROM dpins WHERE v = 7 UNION ALL SELECT e, 'any' FROM dpins WHERE v = 7""",
+    "sequential_partition": _walk(64, 1000) + " SELECT v, p FROM walk WHERE v >= 0",
     "quotient_edges": "SELECT e, srcs, dsts, w FROM qedges",
     "quotient_squished": "SELECT srcs, dsts, sum(w)::BIGINT AS w FROM qedges GROUP BY srcs, dsts",
     "quotient_totals": ", s AS (SELECT srcs, dsts, sum(w) AS w, len(string_split(srcs, ',')) + CASE WHEN dsts = '' THEN 0 ELSE len(string_split(dsts, ',')) END AS n FROM qedges GROUP BY srcs, dsts) SELECT sum(w * (n - 1))::BIGINT AS connectivity, sum(w) FILTER (n > 1)::BIGINT AS cut_net, sum(w * n)::BIGINT AS soed FROM s",
@@ -104,6 +184,7 @@ _BODIES = {
     "uncoarsen": "SELECT v, g % 8 AS p FROM groups_",
     "pins_per_partition": "SELECT e, p, n, n_in FROM ppp",
     "fm_gains": ", tot AS (SELECT d.v, p.p AS src, sum(w) AS total, sum(CASE WHEN n = 1 THEN w ELSE 0 END) AS saving FROM dpins d JOIN dedges USING (e) JOIN parts p ON p.v = d.v JOIN ppp ON ppp.e = d.e AND ppp.p = p.p GROUP BY d.v, p.p), touch AS (SELECT d.v, ppp.p AS dst, sum(w) AS touched FROM dpins d JOIN dedges USING (e) JOIN ppp ON ppp.e = d.e GROUP BY d.v, ppp.p), opts AS (SELECT p.v, p.p AS src, l.p AS dst, coalesce(saving, 0) - coalesce(total, 0) + coalesce(touched, 0) AS gain FROM parts p JOIN dloads l ON l.p <> p.p AND l.size + 1 <= 300 LEFT JOIN tot ON tot.v = p.v LEFT JOIN touch ON touch.v = p.v AND touch.dst = l.p) SELECT v, src, dst, gain::BIGINT AS gain FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY gain DESC, dst DESC) AS k FROM opts) WHERE k = 1",
+    "fm_gains_incc": ", tot AS (SELECT d.v, p.p AS src, sum(w) AS total, sum(w / (n * n)::DOUBLE) AS saving FROM dpins d JOIN dedges USING (e) JOIN parts p ON p.v = d.v JOIN ppp ON ppp.e = d.e AND ppp.p = p.p GROUP BY d.v, p.p), touch AS (SELECT d.v, ppp.p AS dst, sum(w) AS touched FROM dpins d JOIN dedges USING (e) JOIN ppp ON ppp.e = d.e GROUP BY d.v, ppp.p), opts AS (SELECT p.v, p.p AS src, l.p AS dst, coalesce(saving, 0) - coalesce(total, 0) + coalesce(touched, 0) AS gain FROM parts p JOIN dloads l ON l.p <> p.p AND l.size + 1 - 0 <= 300 LEFT JOIN tot ON tot.v = p.v LEFT JOIN touch ON touch.v = p.v AND touch.dst = l.p) SELECT v, src, dst, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY gain DESC, dst DESC) AS k FROM opts) WHERE k = 1",
     "move_ranks": "SELECT v, src, dst, gain, rank FROM moves",
     "cascade_gain": """, ev AS (SELECT e, v, rank, w, src AS p, -1 AS d FROM pins JOIN moves USING (v) JOIN edges USING (e) UNION ALL SELECT e, v, rank, w, dst, 1 FROM pins JOIN moves USING (v) JOIN edges USING (e)),
  c AS (SELECT ev.*, coalesce(n, 0) + coalesce(sum(d) OVER (PARTITION BY ev.e, ev.p ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ev LEFT JOIN uppp ON uppp.e = ev.e AND uppp.p = ev.p),
@@ -138,6 +219,12 @@ _BODIES = {
  ev AS (SELECT e, h, k, sum(CASE WHEN p % 2 = 1 THEN 1 ELSE -1 END) AS d FROM pins JOIN ok USING (v) GROUP BY e, h, k),
  run AS (SELECT *, sum(d) OVER (PARTITION BY e, h ORDER BY k) AS a FROM ev)
  SELECT run.h, k, sum(w * (least(even + a - d, odd - a + d) - least(even + a, odd - a)))::BIGINT AS gain FROM run JOIN sib ON sib.e = run.e AND sib.h = run.h JOIN edges ON edges.e = run.e GROUP BY run.h, k""",
+    "labelprop_prefix": """, mv AS (SELECT v, p, p // 2 AS h, row_number() OVER (PARTITION BY p ORDER BY (v * 7919) % 1009 DESC, v) AS k FROM parts WHERE (v * 7919) % 1009 > 0 AND v IN (SELECT v FROM pins)),
+ both_ AS (SELECT h, k FROM mv GROUP BY h, k HAVING count(*) = 2), ok AS (SELECT v, p, h, k FROM mv JOIN both_ USING (h, k)),
+ ev AS (SELECT e, h, k, sum(CASE WHEN p % 2 = 1 THEN 1 ELSE -1 END) AS d FROM pins JOIN ok USING (v) GROUP BY e, h, k),
+ run AS (SELECT *, sum(d) OVER (PARTITION BY e, h ORDER BY k) AS a FROM ev),
+ lc AS (SELECT run.h, k, sum(w * (least(even + a - d, odd - a + d) - least(even + a, odd - a)))::BIGINT AS gain FROM run JOIN sib ON sib.e = run.e AND sib.h = run.h JOIN edges ON edges.e = run.e GROUP BY run.h, k), tot AS (SELECT h, k, sum(gain) OVER (PARTITION BY h ORDER BY k) AS t FROM lc)
+ SELECT h, arg_max(k, (t, -k))::INTEGER AS upto FROM tot GROUP BY h HAVING max(t) > 0""",
     "sibling_strength": "SELECT a.p, sum(w)::BIGINT AS score FROM (SELECT e, v, p FROM pins JOIN parts USING (v)) a JOIN (SELECT e, v, p FROM pins JOIN parts USING (v)) b USING (e) JOIN edges USING (e) WHERE xor(a.p // 2, 1) = b.p // 2 GROUP BY a.p",
     "segment_reverse": ", o AS (SELECT v, v // 10 AS p, v AS idx, min(v) OVER (PARTITION BY v // 10) + max(v) OVER (PARTITION BY v // 10) AS ends FROM nodes) SELECT v, p, CASE WHEN p % 3 = 0 THEN ends - idx ELSE idx END AS idx FROM o",
     "sequence_span": "SELECT sum(w * len)::BIGINT AS span FROM (SELECT e, max(v) - min(v) AS len FROM pins GROUP BY e) JOIN edges USING (e)",
@@ -151,6 +238,31 @@ _BODIES = {
     "max_src_dst": "SELECT sum(w * m)::BIGINT AS max_distance FROM (SELECT e, s, any_value(w) AS w, max(m) AS m FROM routes GROUP BY e, s)",
     "placement_validity": ", c AS (SELECT v % 70 AS x, v // 75 AS y, count(*) AS n FROM nodes GROUP BY 1, 2) SELECT sum(n)::BIGINT AS n_placed, coalesce(sum(n) FILTER (x > 63 OR y > 63), 0)::BIGINT AS n_outside, count(*) FILTER (n > 1) AS n_shared, count(*) FILTER (n > 1 OR x > 63 OR y > 63) = 0 AS valid FROM c",
     "forces": 'SELECT v, "left", "right", up, down FROM force',
+    "state_hash": _hash64("hv", "parts", "v * 4294967296 + p") + " SELECT lpad(lower(to_hex(bit_xor(h))), 16, '0') AS state FROM hv",
+    "curve_hilbert": _HILBERT,
+    "max_congestion": _CONGESTION + " SELECT round(max(load), 3) AS max_congestion, round(coalesce(max(load_ref), 0), 3) AS max_congestion_ref FROM cell_loads",
+    "mst_span": _PRIM + " SELECT sum(w * total)::BIGINT AS tree_span FROM spans_ JOIN dedges USING (e)",
+    "hull_locality": _HULL + """ SELECT round(avg(n), 6) AS ar_mean, round(exp(avg(ln(n))), 6) AS geo_mean, round(sum(n * w) / sum(w), 6) AS ar_mean_weighted, round(exp(sum(ln(n) * w) / sum(w)), 6) AS geo_mean_weighted FROM hulls JOIN dedges USING (e)""",
+    "placement_metrics": _CONGESTION + _PRIM + _HULL + """, deg AS (SELECT e, count(*) AS n, count(*) FILTER (is_src) AS s FROM qpins GROUP BY e)
+ SELECT true AS valid, round(sum(w * ((m + 1) * 1.7::DOUBLE + m * 3.5::DOUBLE)), 3) AS energy,
+  round(sum(w * ((m + 1) * 2.1::DOUBLE + m * 5.3::DOUBLE)) / (SELECT sum(w * (n - 1) * s) FROM deg JOIN dedges USING (e)), 6) AS avg_latency,
+  round(max((m + 1) * 2.1::DOUBLE + m * 5.3::DOUBLE), 6) AS max_latency, round(sum(w * (m + 1)) / 4096.0::DOUBLE, 6) AS congestion,
+  (SELECT round(max(load), 3) FROM cell_loads) AS max_congestion, (SELECT round(avg(n), 6) FROM hulls) AS ar_mean,
+  (SELECT sum(w * m)::BIGINT FROM (SELECT e, s, any_value(w) AS w, max(m) AS m FROM routes GROUP BY e, s)) AS max_distance,
+  (SELECT sum(w * total)::BIGINT FROM spans_ JOIN dedges USING (e)) AS tree_span FROM routes""",
+    "swap_gains": """, grid AS (SELECT p AS v, p % 8 AS x, p // 8 AS y FROM range(0, 64) t(p)),
+ mv AS (SELECT a.v, b.x, b.y, a.v // 4 AS rank FROM grid a JOIN grid b ON b.v = xor(a.v, 1) WHERE a.v % 4 >= 2),
+ near AS (SELECT a.v, b.v AS u, sum(w) AS w FROM qpins a JOIN qpins b USING (e) JOIN dedges USING (e) WHERE a.v < b.v GROUP BY a.v, b.v),
+ at_ AS (SELECT r.rank AS t, g.v, CASE WHEN m.rank <= r.rank THEN m.x ELSE g.x END AS x, CASE WHEN m.rank <= r.rank THEN m.y ELSE g.y END AS y FROM range(-1, 16) r(rank), grid g LEFT JOIN mv m USING (v)),
+ cost AS (SELECT a.t, sum(w * (abs(a.x - b.x) + abs(a.y - b.y))) AS c FROM near n JOIN at_ a ON a.v = n.v JOIN at_ b ON b.v = n.u AND b.t = a.t GROUP BY a.t)
+ SELECT t AS rank, (before - c)::BIGINT AS gain FROM (SELECT t, c, lag(c) OVER (ORDER BY t) AS before FROM cost) WHERE t >= 0""",
+    "apply_swaps": " SELECT p AS v, ((CASE WHEN p % 4 >= 2 THEN xor(p, 1) ELSE p END) % 8)::INTEGER AS x, ((CASE WHEN p % 4 >= 2 THEN xor(p, 1) ELSE p END) // 8)::INTEGER AS y FROM range(0, 64) t(p)",
+    "snn_round_trip": "SELECT dense_rank() OVER (ORDER BY e) - 1 AS e, v, is_src, w::DOUBLE AS w FROM dpins JOIN dedges USING (e)",
+    "axh_round_trip": ", r AS (SELECT e, v, is_src OR v % 3 = 0 AS is_src FROM dpins), k AS (SELECT e FROM r GROUP BY e HAVING NOT bool_and(is_src)) SELECT dense_rank() OVER (ORDER BY e) - 1 AS e, v, is_src, w::DOUBLE AS w FROM r JOIN k USING (e) JOIN dedges USING (e)",
+    "hmetis_round_trip": ", k AS (SELECT e FROM pins GROUP BY e HAVING count(*) > 1) SELECT dense_rank() OVER (ORDER BY e) - 1 AS e, v, false AS is_src, w * 1024.0::DOUBLE AS w FROM pins JOIN k USING (e) JOIN edges USING (e)",
+    "partitioning_round_trip": "SELECT v, p FROM parts",
+    "placement_round_trip": "SELECT v, (v % 64)::INTEGER AS x, (-(v // 64))::INTEGER AS y FROM nodes",
+    "scaled_counts": "SELECT ceil((SELECT count(*) FROM nodes) * 1.5::DOUBLE)::BIGINT AS n_nodes, ceil((SELECT count(*) FROM dedges) * 1.5::DOUBLE)::BIGINT AS n_hedges, true AS all_joined",
     "tensions_topk": _SWAPS + " SELECT v, rank, u, dir, score FROM toptens WHERE rank < 2",
 }
 #: Totals over prefixes, from the three event queries.
@@ -174,3 +286,4 @@ def _best_prefix() -> str:
 
 
 SQL["best_prefix"] = _best_prefix()
+SQL["best_valid_prefix"] = SQL["best_prefix"].replace(") ORDER BY greatest(broken, 0), greatest(excess, 0), gain DESC", ") WHERE broken <= 0 AND excess <= 0 ORDER BY gain DESC")
