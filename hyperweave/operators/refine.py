@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.u32 import size_bucket
 from ..schema import HGraph
-from ..tables import prefix_sums, stored
+from ..tables import prefix_sums, running_sums, stored
 from .metrics import Constraints, loads
 
 
@@ -92,44 +92,34 @@ def chained(moves: DataFrame, nodes: DataFrame, rounds: int = 4, candidates: int
         if not new.limit(1).count():
             break
         links = new if links is None else links.unionByName(new)
-    if links is None:
-        heads = out.select("v", F.lit(None).cast("bigint").alias("next"))
-    else:
-        heads = stored(out.select("v").join(_without_cycles(links), "v", "left"), "heads")
-    chain = _chain_heads(heads)
+    chain = out.select("v", F.col("v").alias("head"), F.lit(0).cast("bigint").alias("depth")) if links is None else _chains(out.select("v"), links)
     placed = out.join(chain, "v")
     total = Window.partitionBy("head")
     placed = placed.withColumn("order_", -F.sum("gain").over(total))
     return prefix_sums(placed.select("v", "src", "dst", "gain", "order_", "head", "depth"), ["order_", "head", "depth", "v"], {}).withColumnRenamed("row", "rank").select("v", "src", "dst", "gain", "rank")
 
 
-def _chain_heads(links: DataFrame) -> DataFrame:
-    """(v, next) to (v, head, depth) by doubling over predecessors."""
-    before = links.where("next IS NOT NULL").select(F.col("next").alias("v"), F.col("v").alias("head"))
-    state = stored(links.select("v").join(before, "v", "left").select("v", F.coalesce("head", "v").alias("head"), F.when(F.col("head").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), "chains")
+def _chains(moves: DataFrame, links: DataFrame) -> DataFrame:
+    """(v, head, depth) of moves(v) linked by links(v, next); a cycle is cut after its highest id.
+
+    Pointer doubling over predecessors, one written table a step: ``at`` is 2^k places back, ``depth`` how
+    many places that is, ``top`` the highest id from v up to the one after ``at``. A chain is done when it has come to its
+    head. Once a step finishes no more chains only cycles are left; ``span`` places, as many as are left,
+    hold all of a cycle.
+    """
+    before = links.select(F.col("next").alias("v"), F.col("v").alias("at"))
+    first = moves.join(before, "v", "left").select("v", F.coalesce("at", "v").alias("at"), F.when(F.col("at").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("v").alias("top"), F.col("at").isNull().alias("done"))
+    state, open_, span = stored(first, "chains"), None, 1
     while True:
-        step = state.where("depth > 0").select(F.col("v").alias("head"), F.col("head").alias("further"), F.col("depth").alias("more"))
-        moved = state.join(step, "head", "left").select("v", F.coalesce("further", "head").alias("head"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("grew"))
-        moved = stored(moved, "chains")
-        state = moved.drop("grew")
-        if not moved.where("grew").limit(1).count():
-            return state
-
-
-def _without_cycles(links: DataFrame) -> DataFrame:
-    """Drop one link of each cycle: that of the cycle's highest id."""
-    reach, steps = links.select("v", "next", F.col("next").alias("at"), F.greatest("v", "next").alias("top")), 0
-    reach = stored(reach, "reach")
-    while steps < 40:
-        jump = reach.select(F.col("v").alias("at"), F.col("at").alias("to"), F.col("top").alias("top2"))
-        moved = stored(reach.join(jump, "at").select("v", "next", F.col("to").alias("at"), F.greatest("top", "top2").alias("top")), "reach")
-        if not moved.limit(1).count():
-            return links
-        alive = moved.count()
-        if alive == reach.count():  # only cycles are left
-            return links.join(moved.where("v = top").select("v"), "v", "left_anti")
-        reach, steps = moved, steps + 1
-    return links.join(reach.select("v").distinct(), "v", "left_anti")
+        left = state.where("NOT done").count()
+        if not left:
+            return state.select("v", F.col("at").alias("head"), "depth")
+        if left == open_ and span >= left:
+            return _chains(moves, stored(links.join(state.where("NOT done AND v = top").select("v"), "v", "left_anti"), "links"))
+        open_, span = left, 2 * span
+        step = state.select(F.col("v").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"), F.col("top").alias("top2"), F.col("done").alias("ended"))
+        moved = state.where("NOT done").join(step, "at").select("v", F.col("further").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.greatest("top", "top2").alias("top"), F.col("ended").alias("done"))
+        state = stored(moved.unionByName(state.where("done")), "chains")
 
 
 def cascade(graph: HGraph, moves: DataFrame, ppp: DataFrame) -> DataFrame:
@@ -153,10 +143,9 @@ def size_excess(nodes: DataFrame, moves: DataFrame, sizes: DataFrame, limits: Co
     """(rank, excess): by how much a move changes the sum of sizes above the limit. sizes(p, size)."""
     sized = moves.select("v", "src", "dst", "rank").join(nodes, "v")
     side = lambda part, sign: sized.select("rank", F.col(part).alias("p"), (sign * F.col("size")).alias("d"))
-    events = side("src", -1).unionByName(side("dst", 1)).join(sizes.select("p", F.col("size").alias("s")), "p", "left")
-    cum = F.sum("d").over(Window.partitionBy("p").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("s", F.lit(0))
+    events = running_sums(side("src", -1).unionByName(side("dst", 1)), "p", "rank", "d", "moved")
     over = lambda x: F.greatest(x - limits.nodes_per_part, F.lit(0))
-    events = events.withColumn("now", cum)
+    events = events.join(sizes.select("p", F.col("size").alias("s")), "p", "left").withColumn("now", F.col("moved") + F.coalesce("s", F.lit(0)))
     return events.withColumn("c", over(F.col("now")) - over(F.col("now") - F.col("d"))).groupBy("rank").agg(F.sum("c").alias("excess"))
 
 
@@ -170,8 +159,8 @@ def inbound_breaks(pins: DataFrame, moves: DataFrame, ppp: DataFrame, limits: Co
     turn = (F.col("now") > 0).cast("int") - (F.col("now") - F.col("d") > 0).cast("int")
     per_rank = turns.withColumn("t", turn).where("t <> 0").groupBy("p", "rank").agg(F.sum("t").alias("t")).where("t <> 0")
     start = ppp.where("n_in > 0").groupBy("p").agg(F.count("*").alias("inbound"))
-    running = F.sum("t").over(Window.partitionBy("p").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("inbound", F.lit(0))
-    flags = per_rank.join(start, "p", "left").withColumn("now", running)
+    turned = running_sums(per_rank, "p", "rank", "t", "turned")
+    flags = turned.join(start, "p", "left").withColumn("now", F.col("turned") + F.coalesce("inbound", F.lit(0)))
     over = lambda x: (x > limits.inbound_per_part).cast("int")
     return flags.withColumn("c", over(F.col("now")) - over(F.col("now") - F.col("t"))).groupBy("rank").agg(F.sum("c").alias("broken"))
 
@@ -206,13 +195,13 @@ def discount_of(step: int, repeats: int) -> int | None:
     return 1 if 3 * step < repeats else 2 if 3 * step < 2 * repeats else None
 
 
-def refined(graph: HGraph, parts: DataFrame, limits: Constraints, repeats: int = 16, kway: bool = True) -> DataFrame:
+def refined(graph: HGraph, parts: DataFrame, limits: Constraints, repeats: int = 16, kway: bool = True, least_share: float = 0.0) -> DataFrame:
     """parts after up to ``repeats`` rounds; a round is applied if its best prefix is valid and does not lose.
 
     Chains come first; after an invalid size the order is by gain; a further failure jumps to the next
-    third of the schedule.
+    third of the schedule, and so does a round that gains no more than ``least_share`` of the best one.
     """
-    step, by_chain = 0, True
+    step, by_chain, most = 0, True, 0.0
     while step < repeats:
         ppp = stored(pins_per_part(graph.pins, parts), "ppp")
         proposed = stored(gains(graph, parts, limits, ppp, kway, discount_of(step, repeats)), "gains")
@@ -224,7 +213,8 @@ def refined(graph: HGraph, parts: DataFrame, limits: Constraints, repeats: int =
         best = best_prefix(totals, now).first()
         if best is not None and best.broken <= 0 and best.excess + now <= 0 and best.gain >= 0:
             parts = stored(applied(parts, moves, best.rank), "parts")
-            if best.gain == 0:
+            most = max(most, float(best.gain))
+            if best.gain <= least_share * most:
                 step = _next_third(step, repeats) - 1
         elif by_chain:
             by_chain = False

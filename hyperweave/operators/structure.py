@@ -57,14 +57,26 @@ def incidence(pins: DataFrame) -> DataFrame:
     return pins.groupBy("v").agg(F.count("*").alias("touching"), F.sum((~F.col("is_src")).cast("bigint")).alias("inbound"))
 
 
-def pairs(pins: DataFrame, large: int = 2048) -> DataFrame:
+#: Hyperedges whose sizes are broadcast: the largest ones. Any other holds at most one in so many of all pins.
+LARGEST_HEDGES = 4096
+
+
+def pairs(pins: DataFrame, large: int = 2048, largest: int = LARGEST_HEDGES) -> DataFrame:
     """(e, v, u, v_dst, u_dst) for ordered pairs of pins of a hyperedge, v <> u.
 
     A hyperedge of more than ``large`` pins is cut into blocks and joined block by block, so that its
-    pairs are spread over tasks; the result is the same.
+    pairs are spread over tasks; the result is the same. Pins of the ``largest`` hyperedges get their
+    blocks by a broadcast of that many sizes, so no task gathers a hyperedge before it is cut.
     """
-    sizes = pins.groupBy("e").agg(F.ceil(F.count("*") / large).cast("int").alias("blocks"))
-    sized = pins.join(sizes, "e")
+    sizes = pins.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") > large).select("e", "n", F.ceil(F.col("n") / large).cast("int").alias("blocks"))
+    top = F.broadcast(sizes.orderBy(F.desc("n"), "e").limit(largest).select("e", "blocks"))
+    marked = pins.join(top, "e", "left")
+    known = lambda df: df.select("e", "v", "is_src", "blocks")
+    # beyond the largest ones, sizes are looked up by a join
+    rest = sizes.join(top.select("e"), "e", "left_anti").select("e", F.col("blocks").alias("more"))
+    sized = known(marked.where("blocks IS NOT NULL")).unionByName(
+        known(marked.where("blocks IS NULL").drop("blocks").join(rest, "e", "left").withColumn("blocks", F.coalesce("more", F.lit(1))))
+    )
     block = F.pmod(F.xxhash64("v"), F.col("blocks").cast("bigint")).cast("int")
     left = sized.select("e", "v", (~F.col("is_src")).alias("v_dst"), block.alias("b"))
     right = sized.select("e", F.col("v").alias("u"), (~F.col("is_src")).alias("u_dst"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))

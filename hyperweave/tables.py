@@ -53,3 +53,16 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFr
     for k, c in sums.items():
         out = out.withColumn(k, F.sum(c).over(upto) + F.col(f"{k}_offset_"))
     return out.drop("part_", "row_", *[f"{k}_offset_" for k in sums])
+
+
+def running_sums(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows of the same ``key`` up to this one, by ``order`` (unique in a key).
+
+    A key may hold most of the rows, so this is a running sum over all rows by (key, order), less what
+    came before the key: one number for each key, which adaptive execution broadcasts.
+    """
+    from pyspark.sql import functions as F
+
+    sums = prefix_sums(df, [key, order], {name: value})
+    before = sums.groupBy(key).agg(F.min_by(F.col(name) - F.col(value), "row").alias("before_"))
+    return sums.join(before, key).withColumn(name, F.col(name) - F.col("before_")).drop("before_", "row")

@@ -4,6 +4,7 @@ import itertools
 import random
 import struct
 
+import numpy as np
 import pytest
 
 from hyperweave.functions import curves, geometry, u32
@@ -16,6 +17,7 @@ from hyperweave.schema import GraphError, HGraph, validate
 from hyperweave.sources import files
 from hyperweave.sources.generate import scaled
 from hyperweave.streaming.metrics import watch
+from hyperweave.tables import running_sums
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -448,3 +450,66 @@ def test_streamed_metrics(spark, tmp_path):
     query.awaitTermination(120)
     row = state.metrics().first()
     assert (row.connectivity, row.cut_net, row.soed) == brute_cut(hedges, part)
+
+
+def test_running_sums_of_a_hot_key(spark):
+    rng = random.Random(3)
+    rows = [(7 if rng.random() < 0.9 else rng.randrange(5), k, rng.randrange(-3, 4)) for k in range(500)]
+    got = running_sums(spark.createDataFrame(rows, "p bigint, r bigint, d bigint"), "p", "r", "d", "s").collect()
+    total = {}
+    want = {}
+    for p, r, d in rows:
+        total[p] = total.get(p, 0) + d
+        want[p, r] = total[p]
+    assert {(x.p, x.r): x.s for x in got} == want and set(got[0].asDict()) == {"p", "r", "d", "s"}
+
+
+@pytest.mark.parametrize("large, largest", [(2048, 4096), (3, 1), (1, 0), (2, 100)])
+def test_pairs_in_blocks(spark, large, largest):
+    graph = HGraph.of(spark, 15, [*random_hedges(15, 12, 5), (list(range(3)), list(range(3, 15)), 1)])
+    got = sorted((r.e, r.v, r.u, r.v_dst, r.u_dst) for r in structure.pairs(graph.pins, large, largest).collect())
+    pins = graph.pins.collect()
+    assert got == sorted((a.e, a.v, b.v, not a.is_src, not b.is_src) for a in pins for b in pins if a.e == b.e and a.v != b.v)
+
+
+def test_chains_and_cycles(spark):
+    chain, loop = list(range(20, 0, -1)), [30, 31, 37, 32, 33]
+    links = [*zip(chain, chain[1:]), *zip(loop, [*loop[1:], loop[0]]), (50, 51)]
+    moves = spark.createDataFrame([(v,) for v in [*chain, *loop, 50, 51, 99]], "v bigint")
+    got = {r.v: (r.head, r.depth) for r in refine._chains(moves, spark.createDataFrame(links, "v bigint, next bigint")).collect()}
+    cut = [32, 33, 30, 31, 37]  # the link after the highest id goes
+    want = {v: (20, k) for k, v in enumerate(chain)} | {v: (32, k) for k, v in enumerate(cut)} | {50: (50, 0), 51: (50, 1), 99: (99, 0)}
+    assert got == want
+
+
+def test_best_valid_prefix(spark):
+    rows = spark.createDataFrame([(0, 5, 1, 0), (1, 3, 0, 0), (2, 9, 0, 1), (3, 3, 0, 0), (4, -1, 0, 0)], "rank bigint, gain bigint, excess bigint, broken bigint")
+    assert refine.best_valid_prefix(rows).first().rank == 1
+    assert refine.best_valid_prefix(rows, start_excess=-1).first().rank == 0
+    assert refine.best_valid_prefix(rows, start_broken=5).first() is None
+
+
+def test_fit_takes_the_greedy_step(spark):
+    graph = HGraph.of(spark, 4, [([0], [1, 2], 1), ([0], [1], 1), ([1], [3], 1)])
+    row = metrics.fit(graph, Constraints(2, 2, 2)).first()
+    assert (row.n_nodes, row.max_inbound, row.n_sequential, row.fits) == (4, 2, 2, True)
+    assert not metrics.fit(graph, Constraints(2, 1, 9)).first().fits
+    scattered = HGraph.of(spark, 4, [([3], [0], 1), ([3], [1], 1), ([0], [2], 1), ([0], [3], 1)])
+    row = metrics.fit(scattered, Constraints(2, 1, 3)).first()  # each node alone fits, two never do
+    assert (row.n_sequential, row.fits) == (4, False) and metrics.fit(scattered, Constraints(2, 1, 3), greedy=False).first().fits
+
+
+def test_scaling_needs_two_nodes(spark):
+    with pytest.raises(GraphError):
+        scaled(HGraph.of(spark, 1, [([], [0], 1)]), 3, most_rounds=2)
+
+
+def test_transit_equals_path_counts():
+    for dx, dy in itertools.product(range(6), range(6)):
+        p = [[0.0] * (dy + 1) for _ in range(dx + 1)]
+        p[0][0] = 1.0
+        for a, b in itertools.product(range(dx + 1), range(dy + 1)):
+            for x, y in ((a + 1, b), (a, b + 1)):
+                if x <= dx and y <= dy:
+                    p[x][y] += p[a][b] * (0.5 if a < dx and b < dy else 1.0)
+        assert hardware.transit(dx, dy) == pytest.approx(np.array(p))
