@@ -58,6 +58,12 @@ def test_shard_rows(spark):
     assert sharding.shard(hot, "k", spread=64, spread_by="u").select("shard").distinct().count() > 15
 
 
+def test_shard_of_a_very_long_key(spark):
+    df = spark.createDataFrame([("k" * 2_000_000,), ("k" * 2_000_000,), ("",)], "key string")
+    rows = sharding.shard(df, "key").collect()
+    assert rows[0].slot == rows[1].slot and len(rows) == 3
+
+
 # URL filters
 
 

@@ -257,6 +257,13 @@ def test_chat_round_trip(spark):
         assert "".join(s.text for s in got[conv].segments) == got[conv].formatted
 
 
+def test_chat_of_very_long_texts(spark):
+    texts = ["<|end|>\\" * 200_000, "x" * 3_000_000, " " * 1_000_000]
+    df = spark.createDataFrame([(1, k, "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    (row,) = chat.format_chats(df).select(chat.parsed(F.col("formatted")).alias("t"), chat.loss_text(F.col("segments")).alias("loss")).collect()
+    assert [t.text for t in row.t] == texts and row.loss == "".join(texts)
+
+
 @pytest.mark.parametrize("roles, valid", [("ua", True), ("sua", True), ("uata", True), ("au", False), ("uu", False), ("u", False), ("", None), ("usa", False)])
 def test_chat_automaton(spark, roles, valid):
     names = {"u": "user", "a": "assistant", "s": "system", "t": "tool"}
