@@ -660,11 +660,11 @@ def place(spark, sf_dir):
 @query
 def partition_incc(spark, sf_dir):
     """The whole basket graph; a level that has converged or no longer shrinks ends early."""
-    return partition(basket(spark, sf_dir, directed=True), Constraints(24, 1000, 1 << 20), least_share=0.05, least_shrink=0.95)
+    return partition(basket(spark, sf_dir, directed=True), Constraints(24, 1000, 1 << 20), least_share=0.2, least_shrink=0.95)
 
 
 @query
 def partition_kway(spark, sf_dir):
     graph = basket(spark, sf_dir, directed=True)
     # a third of the nodes at most, so that tables of any size are coarsened and refined
-    return partition(graph, k=4, eps=0.1, kway_nodes=min(KWAY_NODES, graph.nodes.count() // 3), least_share=0.05)
+    return partition(graph, k=4, eps=0.1, kway_nodes=min(KWAY_NODES, graph.nodes.count() // 3), least_share=0.2)
