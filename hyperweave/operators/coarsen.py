@@ -40,6 +40,19 @@ def candidates(graph: HGraph, limits: Constraints, k: int = 4) -> DataFrame:
     return both_ways.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("v", "rank", "u", "score")
 
 
+def asymmetric(proposals: DataFrame) -> DataFrame:
+    """(v, rank, u, score) of candidates that break the symmetry which matching relies on; none, if scores are symmetric.
+
+    The partner u must hold v among its candidates, or hold no worse ones: its candidate of the same
+    rank has a higher score, or an equal one and a higher id.
+    """
+    theirs = proposals.select(F.col("v").alias("u"), "rank", F.col("u").alias("w"), F.col("score").alias("w_score"))
+    back = proposals.select(F.col("u").alias("v"), F.col("v").alias("u"), F.col("rank").alias("back"))
+    both = proposals.join(theirs, ["u", "rank"]).join(back, ["v", "u"], "left")
+    better = (F.col("w_score") > F.col("score")) | (F.col("w_score") == F.col("score")) & (F.col("w") > F.col("v"))
+    return both.where((F.col("w") != F.col("v")) & (F.col("back").isNull() | (F.col("back") > F.col("rank"))) & ~better).select("v", "rank", "u", "score")
+
+
 def match_tree(rows: pd.DataFrame) -> pd.DataFrame:
     """Heaviest matching of one tree of pointers (v -> u with score; a mutual pair or a free target is the root).
 

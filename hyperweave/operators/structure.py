@@ -5,10 +5,11 @@ Every operator is a narrow projection, one aggregation or one equi-join; pins ar
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import HGraph
+from ..tables import prefix_sums, stored
 
 
 def dedupe(pins: DataFrame, rule: int = 2) -> DataFrame:
@@ -116,8 +117,27 @@ def overlap(pins: DataFrame, n_edges: DataFrame) -> DataFrame:
     return shared.join(F.broadcast(n_edges)).select("e", "shared", F.when(F.col("n") > 1, F.col("shared") / (F.col("n") - 1)).otherwise(0.0).alias("avg_overlap"))
 
 
+def bin_of(key: str, bins: int, low: float, high: float):
+    """Number of the bin of [low, high); values outside go to the first or last one."""
+    return F.least(F.greatest(F.floor((F.col(key) - low) * bins / (high - low)), F.lit(0)), F.lit(bins - 1)).cast("int")
+
+
 def binned(df: DataFrame, key: str, bins: int, low: float, high: float, sort: bool = True) -> DataFrame:
-    """Multi-way binning: each row with its bin of [low, high), bins in order when ``sort``."""
-    number = F.least(F.greatest(F.floor((F.col(key) - low) * bins / (high - low)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    out = df.withColumn("bin", number)
+    """Multi-way binning by sorting: each row with its bin, bins in order when ``sort``."""
+    out = df.withColumn("bin", bin_of(key, bins, low, high))
     return out.repartitionByRange("bin", key).sortWithinPartitions("bin", key) if sort else out
+
+
+def scattered(df: DataFrame, key: str, bins: int, low: float, high: float) -> DataFrame:
+    """Multi-way binning by counts: each row with its bin and its place (0-based) in an array that holds bin after bin.
+
+    Partitions count their rows by bin; a place is the bin's start, plus what partitions before hold of the
+    bin, plus the row's number in its partition. There is no global sort: rows move once, to their
+    (partition, bin). They are written first, so that partitions and their order stay.
+    """
+    rows = stored(df.select("*", bin_of(key, bins, low, high).alias("bin")).withColumns({"chunk_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()}), "binned")
+    counts = stored(rows.groupBy("bin", "chunk_").agg(F.count("*").alias("n_")), "counts")
+    starts = prefix_sums(counts, ["bin", "chunk_"], {"upto_": "n_"}).select("bin", "chunk_", (F.col("upto_") - F.col("n_")).alias("start_"))
+    within = Window.partitionBy("chunk_", "bin").orderBy("at_")
+    placed = rows.withColumn("nth_", F.row_number().over(within) - 1).join(F.broadcast(starts), ["bin", "chunk_"])  # a row for each partition and bin
+    return placed.select(*df.columns, "bin", (F.col("start_") + F.col("nth_")).alias("place"))

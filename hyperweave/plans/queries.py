@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import curves
+from ..functions import curves, u32
 from ..operators import coarsen, hardware, initial, metrics, ordering, placement, refine, structure
 from ..operators.metrics import Constraints
 from ..schema import HGraph
@@ -149,6 +149,23 @@ def binning(spark, sf_dir):
     return structure.binned(rows, "l_extendedprice", 8, 0.0, 100000.0).groupBy("bin").agg(F.count("*").alias("n"), F.min("l_extendedprice").alias("low"), F.max("l_extendedprice").alias("high"))
 
 
+@query
+def binning_places(spark, sf_dir):
+    """By counts and places: each bin's rows lie side by side."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_extendedprice")
+    placed = structure.scattered(rows, "l_extendedprice", 8, 0.0, 100000.0)
+    return placed.groupBy("bin").agg(F.count("*").alias("n"), F.min("place").alias("first"), F.max("place").alias("last"), F.count_distinct("place").alias("places"))
+
+
+@query
+def hash_values(spark, sf_dir):
+    """The integer hashes and the size bucket of every node id."""
+    v = F.col("v")
+    hashes = {"h32": u32.hash_u32(v), "mad": u32.hash_u32_mad(v), "linear": u32.hash_u32_linear(v), "bucket": u32.size_bucket(v).cast("bigint")}
+    rows = basket(spark, sf_dir).nodes.select("v", *[c.alias(n) for n, c in hashes.items()], F.lpad(F.lower(F.hex(u32.hash_u64(v))), 16, "0").alias("h64"))
+    return rows
+
+
 def _cut(spark, sf_dir):
     graph = basket(spark, sf_dir)
     return metrics.cut_metrics(graph, parts_of(graph))
@@ -244,6 +261,14 @@ def candidates_topk(spark, sf_dir):
     return coarsen.candidates(basket(spark, sf_dir, directed=True), PAIR_LIMITS, 4)
 
 
+@query
+def candidate_symmetry(spark, sf_dir):
+    """How many candidates there are by rank, and how many of them break the symmetry."""
+    found = stored(candidates_topk(spark, sf_dir))
+    broken = coarsen.asymmetric(found).groupBy("rank").agg(F.count("*").alias("b"))
+    return found.groupBy("rank").agg(F.count("*").alias("n"), F.count_distinct("u").alias("partners")).join(broken, "rank", "left").select("rank", "n", "partners", F.coalesce("b", F.lit(0)).alias("broken"))
+
+
 @query
 def matched_pairs(spark, sf_dir):
     return coarsen.matching(stored(coarsen.candidates(basket(spark, sf_dir, directed=True), PAIR_LIMITS, 4)))

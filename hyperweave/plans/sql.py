@@ -239,6 +239,13 @@ _BODIES = {
     "placement_validity": ", c AS (SELECT v % 70 AS x, v // 75 AS y, count(*) AS n FROM nodes GROUP BY 1, 2) SELECT sum(n)::BIGINT AS n_placed, coalesce(sum(n) FILTER (x > 63 OR y > 63), 0)::BIGINT AS n_outside, count(*) FILTER (n > 1) AS n_shared, count(*) FILTER (n > 1 OR x > 63 OR y > 63) = 0 AS valid FROM c",
     "forces": 'SELECT v, "left", "right", up, down FROM force',
     "state_hash": _hash64("hv", "parts", "v * 4294967296 + p") + " SELECT lpad(lower(to_hex(bit_xor(h))), 16, '0') AS state FROM hv",
+    "hash_values": _hash64("hv", "nodes", "v") + """,
+ m0 AS (SELECT v, h, v::UBIGINT AS x FROM hv),
+ m1 AS (SELECT *, (xor(x, x >> 17) * 3982152891) & 4294967295 AS a, (xor(x, x >> 15) * 739982445) & 4294967295 AS c FROM m0),
+ m2 AS (SELECT *, (xor(a, a >> 11) * 2890668881) & 4294967295 AS b, (c + 695872825) & 4294967295 AS d FROM m1),
+ m3 AS (SELECT *, (xor(b, b >> 15) * 830770091) & 4294967295 AS g FROM m2)
+ SELECT v, xor(g, g >> 14)::BIGINT AS h32, xor(d, d >> 12)::BIGINT AS mad, ((x * 2654435769) & 4294967295)::BIGINT AS linear,
+  (CASE WHEN v = 0 THEN 0 ELSE floor(log2(v)) END)::BIGINT AS bucket, lpad(lower(to_hex(h)), 16, '0') AS h64 FROM m3""",
     "curve_hilbert": _HILBERT,
     "max_congestion": _CONGESTION + " SELECT round(max(load), 3) AS max_congestion, round(coalesce(max(load_ref), 0), 3) AS max_congestion_ref FROM cell_loads",
     "mst_span": _PRIM + " SELECT sum(w * total)::BIGINT AS tree_span FROM spans_ JOIN dedges USING (e)",
@@ -286,4 +293,6 @@ def _best_prefix() -> str:
 
 
 SQL["best_prefix"] = _best_prefix()
+SQL["candidate_symmetry"] = "SELECT rank, count(*) AS n, count(DISTINCT u) AS partners, 0::BIGINT AS broken FROM (" + SQL["candidates_topk"] + ") GROUP BY rank"
+SQL["binning_places"] = "SELECT bin, n, (upto - n)::BIGINT AS first, (upto - 1)::BIGINT AS last, n AS places FROM (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS upto FROM (" + SQL["binning"] + "))"
 SQL["best_valid_prefix"] = SQL["best_prefix"].replace(") ORDER BY greatest(broken, 0), greatest(excess, 0), gain DESC", ") WHERE broken <= 0 AND excess <= 0 ORDER BY gain DESC")

@@ -513,3 +513,19 @@ def test_transit_equals_path_counts():
                 if x <= dx and y <= dy:
                     p[x][y] += p[a][b] * (0.5 if a < dx and b < dy else 1.0)
         assert hardware.transit(dx, dy) == pytest.approx(np.array(p))
+
+
+def test_scattered_rows_fill_their_bins(spark):
+    rng = random.Random(2)
+    values = [rng.uniform(-1, 11) for _ in range(300)] + [5.0] * 20
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k bigint, x double").repartition(5)
+    rows = sorted(structure.scattered(df, "x", 4, 0.0, 10.0).collect(), key=lambda r: r.place)
+    assert [r.place for r in rows] == list(range(len(values))) and sorted(r.k for r in rows) == list(range(len(values)))
+    assert [r.bin for r in rows] == sorted(min(max(int(v * 4 // 10), 0), 3) for v in values)
+    assert structure.scattered(df.limit(0), "x", 4, 0.0, 10.0).count() == 0
+
+
+def test_asymmetric_candidates(spark):
+    make = lambda rows: spark.createDataFrame(rows, "v bigint, rank int, u bigint, score bigint")
+    assert coarsen.asymmetric(make([(1, 0, 2, 5), (2, 0, 3, 6), (3, 0, 2, 6)])).count() == 0
+    assert [tuple(r) for r in coarsen.asymmetric(make([(1, 0, 2, 5), (2, 0, 3, 4), (3, 0, 2, 4)])).collect()] == [(1, 0, 2, 5)]
