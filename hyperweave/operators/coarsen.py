@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.u32 import noise
 from ..schema import GraphError, HGraph
-from ..tables import prefix_sums, stored
+from ..tables import ONE_TASK, prefix_sums, stored
 from .metrics import Constraints
 from .structure import incidence, pairs
 
@@ -54,7 +54,7 @@ def asymmetric(proposals: DataFrame) -> DataFrame:
 
 
 def match_tree(rows: pd.DataFrame) -> pd.DataFrame:
-    """Heaviest matching of one tree of pointers (v -> u with score; a mutual pair or a free target is the root).
+    """Heaviest matching of each tree of pointers (v -> u with score; a mutual pair or a free target is the root).
 
     ``best[v]``: most weight in v's subtree; taking the edge to one child forgoes that child's own best.
     """
@@ -141,14 +141,16 @@ def match_levels(points: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, pairs_) if pairs_ else points.select("v", "u").limit(0)
 
 
-def matching(proposals: DataFrame, tree_rows: int = 1_000_000) -> DataFrame:
+def matching(proposals: DataFrame, tree_rows: int = 1_000_000, one_task: int = ONE_TASK) -> DataFrame:
     """pairs(v, u) from candidates(v, rank, u, score), each node at most once.
 
     One round per rank: every free node points at its best candidate that is still free. As scores are
     symmetric and ties go to the higher id, pointers form trees that end in a mutual pair or in a node
     without a pointer; a heaviest matching of each tree is taken. Trees of more than ``tree_rows`` nodes
-    get the same matching by ``match_levels``, so that no task must hold one.
+    get the same matching by ``match_levels``, so that no task must hold one. Up to ``one_task`` pointers
+    are matched as a whole: trees do not touch each other, so telling them apart changes nothing.
     """
+    form = "v bigint, u bigint, score bigint"
     spark, done = proposals.sparkSession, None
     rounds = (proposals.agg(F.max("rank")).first()[0] or 0) + 1
     for _ in range(rounds):
@@ -158,12 +160,18 @@ def matching(proposals: DataFrame, tree_rows: int = 1_000_000) -> DataFrame:
             free = free.join(taken, F.col("v") == F.col("x"), "left_anti").join(taken, F.col("u") == F.col("x"), "left_anti")
         best = free.groupBy("v").agg(F.max(F.struct("score", "u")).alias("b"))
         points = stored(best.select("v", F.col("b.u").alias("u"), F.col("b.score").alias("score")), "pointers")
-        if not points.limit(1).count():
+        n = points.count()
+        if not n:
             break
+        if n <= min(one_task, tree_rows):
+            new = points.groupBy().applyInPandas(lambda rows: match_tree(rows), form)
+            new = new.select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u"))
+            done = stored(new if done is None else done.unionByName(new), "matched")
+            continue
         roots = tree_roots(points.select("v", "u"))
         trees = points.join(roots, "v")
         large = trees.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > tree_rows).select("root")
-        small = trees.join(large, "root", "left_anti").groupBy("root").applyInPandas(lambda rows: match_tree(rows), "v bigint, u bigint, score bigint").select("v", "u")
+        small = trees.join(large, "root", "left_anti").groupBy("root").applyInPandas(lambda rows: match_tree(rows), form).select("v", "u")
         rest = stored(trees.join(large, "root", "left_semi").select("v", "u", "score"), "large")
         if rest.limit(1).count():
             small = small.unionByName(match_levels(rest))
@@ -184,9 +192,9 @@ def orphan_pairs(nodes: DataFrame, proposals: DataFrame, pins: DataFrame, limits
     return low.join(high, "k").where(fits).select("v", "u", F.least("v", "u").alias("g"))
 
 
-def compressed(groups: DataFrame, column: str = "g") -> DataFrame:
+def compressed(groups: DataFrame, column: str = "g", few: bool = False) -> DataFrame:
     """Group labels made 0..G-1 in their order, by a prefix count over the distinct labels."""
-    ids = prefix_sums(groups.select(column).distinct(), [column], {}).withColumnRenamed("row", "new_id")
+    ids = prefix_sums(groups.select(column).distinct(), [column], {}, few).withColumnRenamed("row", "new_id")
     return groups.join(ids, column).drop(column).withColumnRenamed("new_id", column)
 
 
@@ -223,4 +231,5 @@ def grouped(graph: HGraph, limits: Constraints, k: int = 4) -> DataFrame:
     if graph.nodes.join(proposals.where("rank = 0"), "v", "left_anti").limit(1).count():
         pairs_ = pairs_.unionByName(orphan_pairs(graph.nodes, proposals, graph.pins, limits).select("v", "u"))
     label = pairs_.select(F.explode(F.array("v", "u")).alias("v"), F.least("v", "u").alias("g"))
-    return stored(compressed(graph.nodes.select("v").join(label, "v", "left").select("v", F.coalesce("g", "v").alias("g"))), "groups")
+    few = graph.nodes.count() <= ONE_TASK
+    return stored(compressed(graph.nodes.select("v").join(label, "v", "left").select("v", F.coalesce("g", "v").alias("g")), few=few), "groups")

@@ -7,12 +7,12 @@ events per part, or per (part, hyperedge), so no step is quadratic in the moves.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.u32 import size_bucket
 from ..schema import HGraph
-from ..tables import prefix_sums, running_sums, stored
+from ..tables import ONE_TASK, prefix_sums, running_sums, stored
 from .metrics import Constraints, loads
 
 
@@ -57,13 +57,13 @@ def gains(graph: HGraph, parts: DataFrame, limits: Constraints, ppp: DataFrame |
     return near.unionByName(far).withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
 
 
-def ranked(moves: DataFrame) -> DataFrame:
-    """Add rank (0-based) by gain, then id. Global, but no single task sorts all rows."""
+def ranked(moves: DataFrame, few: bool = False) -> DataFrame:
+    """Add rank (0-based) by gain, then id. Global, but no single task sorts all rows (unless ``few``, see ``prefix_sums``)."""
     keyed = moves.withColumn("order_", -F.col("gain"))
-    return prefix_sums(keyed, ["order_", "v"], {}).withColumnRenamed("row", "rank").drop("order_")
+    return prefix_sums(keyed, ["order_", "v"], {}, few).withColumnRenamed("row", "rank").drop("order_")
 
 
-def chained(moves: DataFrame, nodes: DataFrame, rounds: int = 4, candidates: int = 256, penalty: float = 1e-6) -> DataFrame:
+def chained(moves: DataFrame, nodes: DataFrame, rounds: int = 4, candidates: int = 256, penalty: float = 1e-6, few: bool = False) -> DataFrame:
     """Add rank so that moves form chains: a move into a part is followed by one out of it.
 
     Each round, a move without a successor proposes to the best free move among the ``candidates``
@@ -96,7 +96,7 @@ def chained(moves: DataFrame, nodes: DataFrame, rounds: int = 4, candidates: int
     placed = out.join(chain, "v")
     total = Window.partitionBy("head")
     placed = placed.withColumn("order_", -F.sum("gain").over(total))
-    return prefix_sums(placed.select("v", "src", "dst", "gain", "order_", "head", "depth"), ["order_", "head", "depth", "v"], {}).withColumnRenamed("row", "rank").select("v", "src", "dst", "gain", "rank")
+    return prefix_sums(placed.select("v", "src", "dst", "gain", "order_", "head", "depth"), ["order_", "head", "depth", "v"], {}, few).withColumnRenamed("row", "rank").select("v", "src", "dst", "gain", "rank")
 
 
 def _chains(moves: DataFrame, links: DataFrame) -> DataFrame:
@@ -139,17 +139,17 @@ def cascade(graph: HGraph, moves: DataFrame, ppp: DataFrame) -> DataFrame:
     return moves.drop("gain").join(total, "v", "left").select("v", "src", "dst", "rank", F.coalesce("gain", F.lit(0)).alias("gain"))
 
 
-def size_excess(nodes: DataFrame, moves: DataFrame, sizes: DataFrame, limits: Constraints) -> DataFrame:
+def size_excess(nodes: DataFrame, moves: DataFrame, sizes: DataFrame, limits: Constraints, few: bool = False) -> DataFrame:
     """(rank, excess): by how much a move changes the sum of sizes above the limit. sizes(p, size)."""
     sized = moves.select("v", "src", "dst", "rank").join(nodes, "v")
     side = lambda part, sign: sized.select("rank", F.col(part).alias("p"), (sign * F.col("size")).alias("d"))
-    events = running_sums(side("src", -1).unionByName(side("dst", 1)), "p", "rank", "d", "moved")
+    events = running_sums(side("src", -1).unionByName(side("dst", 1)), "p", "rank", "d", "moved", few)
     over = lambda x: F.greatest(x - limits.nodes_per_part, F.lit(0))
     events = events.join(sizes.select("p", F.col("size").alias("s")), "p", "left").withColumn("now", F.col("moved") + F.coalesce("s", F.lit(0)))
     return events.withColumn("c", over(F.col("now")) - over(F.col("now") - F.col("d"))).groupBy("rank").agg(F.sum("c").alias("excess"))
 
 
-def inbound_breaks(pins: DataFrame, moves: DataFrame, ppp: DataFrame, limits: Constraints) -> DataFrame:
+def inbound_breaks(pins: DataFrame, moves: DataFrame, ppp: DataFrame, limits: Constraints, few: bool = False) -> DataFrame:
     """(rank, broken): change of the number of parts with more distinct inbound hyperedges than allowed."""
     dst = pins.where("NOT is_src").select("e", "v").join(moves.select("v", "src", "dst", "rank"), "v")
     side = lambda part, d: dst.select("e", "rank", F.col(part).alias("p"), F.lit(d).alias("d"))
@@ -159,20 +159,20 @@ def inbound_breaks(pins: DataFrame, moves: DataFrame, ppp: DataFrame, limits: Co
     turn = (F.col("now") > 0).cast("int") - (F.col("now") - F.col("d") > 0).cast("int")
     per_rank = turns.withColumn("t", turn).where("t <> 0").groupBy("p", "rank").agg(F.sum("t").alias("t")).where("t <> 0")
     start = ppp.where("n_in > 0").groupBy("p").agg(F.count("*").alias("inbound"))
-    turned = running_sums(per_rank, "p", "rank", "t", "turned")
+    turned = running_sums(per_rank, "p", "rank", "t", "turned", few)
     flags = turned.join(start, "p", "left").withColumn("now", F.col("turned") + F.coalesce("inbound", F.lit(0)))
     over = lambda x: (x > limits.inbound_per_part).cast("int")
     return flags.withColumn("c", over(F.col("now")) - over(F.col("now") - F.col("t"))).groupBy("rank").agg(F.sum("c").alias("broken"))
 
 
-def prefixes(moves: DataFrame, excess: DataFrame, broken: DataFrame) -> DataFrame:
+def prefixes(moves: DataFrame, excess: DataFrame, broken: DataFrame, few: bool = False) -> DataFrame:
     """(rank, gain, excess, broken): totals over all moves up to each rank."""
     rows = moves.select("rank", "gain").join(excess, "rank", "left").join(broken, "rank", "left").na.fill(0, ["excess", "broken"])
-    sums = prefix_sums(rows.toDF("rank", "g", "x", "b"), ["rank"], {"gain": "g", "excess": "x", "broken": "b"})
+    sums = prefix_sums(rows.toDF("rank", "g", "x", "b"), ["rank"], {"gain": "g", "excess": "x", "broken": "b"}, few)
     return sums.select("rank", "gain", "excess", "broken")
 
 
-def best_prefix(totals: DataFrame, start_excess: int = 0, start_broken: int = 0) -> DataFrame:
+def best_prefix(totals: DataFrame, start_excess: int | Column = 0, start_broken: int = 0) -> DataFrame:
     """At most one row: fewest broken parts (0 counts as valid), least excess, most gain, then lowest rank."""
     order = (F.greatest(F.col("broken") + start_broken, F.lit(0)), F.greatest(F.col("excess") + start_excess, F.lit(0)), F.desc("gain"), F.col("rank"))
     return totals.orderBy(*order).limit(1)
@@ -202,16 +202,17 @@ def refined(graph: HGraph, parts: DataFrame, limits: Constraints, repeats: int =
     third of the schedule, and so does a round that gains no more than ``least_share`` of the best one.
     """
     step, by_chain, most = 0, True, 0.0
+    few = 2 * graph.nodes.count() <= ONE_TASK  # a node moves once in a round, and leaves and enters one part
     while step < repeats:
         ppp = stored(pins_per_part(graph.pins, parts), "ppp")
         proposed = stored(gains(graph, parts, limits, ppp, kway, discount_of(step, repeats)), "gains")
-        order = stored((chained(proposed, graph.nodes) if by_chain else ranked(proposed)), "ranked")
+        order = stored((chained(proposed, graph.nodes, few=few) if by_chain else ranked(proposed, few)), "ranked")
         moves = stored(cascade(graph, order, ppp), "cascade")
         sizes = graph.nodes.join(parts, "v").groupBy("p").agg(F.sum("size").alias("size"))
-        totals = prefixes(moves, size_excess(graph.nodes, moves, sizes, limits), inbound_breaks(graph.pins, moves, ppp, limits))
-        now = sizes.agg(F.coalesce(F.sum(F.greatest(F.col("size") - limits.nodes_per_part, F.lit(0))), F.lit(0))).first()[0]
-        best = best_prefix(totals, now).first()
-        if best is not None and best.broken <= 0 and best.excess + now <= 0 and best.gain >= 0:
+        totals = prefixes(moves, size_excess(graph.nodes, moves, sizes, limits, few), inbound_breaks(graph.pins, moves, ppp, limits, few), few)
+        now = sizes.agg(F.coalesce(F.sum(F.greatest(F.col("size") - limits.nodes_per_part, F.lit(0))), F.lit(0)).alias("now"))
+        best = best_prefix(totals.join(F.broadcast(now)), F.col("now")).first()  # one row is broadcast
+        if best is not None and best.broken <= 0 and best.excess + best.now <= 0 and best.gain >= 0:
             parts = stored(applied(parts, moves, best.rank), "parts")
             most = max(most, float(best.gain))
             if best.gain <= least_share * most:

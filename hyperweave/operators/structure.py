@@ -81,7 +81,9 @@ def pairs(pins: DataFrame, large: int = 2048, largest: int = LARGEST_HEDGES) ->
     block = F.pmod(F.xxhash64("v"), F.col("blocks").cast("bigint")).cast("int")
     left = sized.select("e", "v", (~F.col("is_src")).alias("v_dst"), block.alias("b"))
     right = sized.select("e", F.col("v").alias("u"), (~F.col("is_src")).alias("u_dst"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
-    return left.join(right, ["e", "b"]).where("v <> u").drop("b")
+    # a join that makes many rows of few: by number of tasks, or adaptive execution would put small inputs into one
+    tasks = int(pins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(tasks, "e", "b").join(right.repartition(tasks, "e", "b"), ["e", "b"]).where("v <> u").drop("b")
 
 
 def neighbours(pins: DataFrame) -> DataFrame:

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that one task may sort or hold. Tables known to be this small skip the spread form; results are the same.
+ONE_TASK = 100_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder from ``spark.checkpoint.dir``; only a local session without one gets its own."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
@@ -31,15 +35,20 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str], few: bool = False) -> DataFrame:
     """Add ``row`` (0-based place in ``order``) and running sums {new: column}, without a one-task window.
 
     Rows are range-partitioned by ``order`` (which must be unique), each partition is summed, and
-    the few partition totals, one row each, give the offsets.
+    the few partition totals, one row each, give the offsets. With ``few`` (the caller knows that there are
+    ``ONE_TASK`` rows at most) one window does, and nothing is written.
     """
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
+    if few:
+        at = Window.orderBy(*order)
+        so_far = at.rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", (F.row_number().over(at) - 1).cast("bigint").alias("row"), *[F.sum(c).over(so_far).alias(k) for k, c in sums.items()])
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = stored(df.repartitionByRange(parts, *order).withColumn("part_", F.spark_partition_id()), "ranges")
     totals = dealt.groupBy("part_").agg(F.count("*").alias("n_"), *[F.sum(c).alias(f"{k}_total_") for k, c in sums.items()])
@@ -55,14 +64,17 @@ def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFr
     return out.drop("part_", "row_", *[f"{k}_offset_" for k in sums])
 
 
-def running_sums(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+def running_sums(df: DataFrame, key: str, order: str, value: str, name: str, few: bool = False) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows of the same ``key`` up to this one, by ``order`` (unique in a key).
 
     A key may hold most of the rows, so this is a running sum over all rows by (key, order), less what
-    came before the key: one number for each key, which adaptive execution broadcasts.
+    came before the key: one number for each key, which adaptive execution broadcasts. ``few`` as in ``prefix_sums``.
     """
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
+    if few:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
     sums = prefix_sums(df, [key, order], {name: value})
     before = sums.groupBy(key).agg(F.min_by(F.col(name) - F.col(value), "row").alias("before_"))
     return sums.join(before, key).withColumn(name, F.col(name) - F.col("before_")).drop("before_", "row")

@@ -126,6 +126,7 @@ def test_candidates_and_matching(spark):
     pairs = [(r.v, r.u) for r in coarsen.matching(spark.createDataFrame(found)).collect()]
     assert len({v for p in pairs for v in p}) == 2 * len(pairs)
     assert all((v, u) in score or (u, v) in score for v, u in pairs)
+    assert sorted(pairs) == sorted((r.v, r.u) for r in coarsen.matching(spark.createDataFrame(found), one_task=0).collect())
     capped = [(r.v, r.u) for r in coarsen.matching(spark.createDataFrame(found), tree_rows=1).collect()]
     assert len({v for p in capped for v in p}) == 2 * len(capped) > 0
     weight = lambda ps: sum(score.get((v, u), score.get((u, v), 0)) for v, u in ps)
@@ -452,10 +453,11 @@ def test_streamed_metrics(spark, tmp_path):
     assert (row.connectivity, row.cut_net, row.soed) == brute_cut(hedges, part)
 
 
-def test_running_sums_of_a_hot_key(spark):
+@pytest.mark.parametrize("few", [False, True])
+def test_running_sums_of_a_hot_key(spark, few):
     rng = random.Random(3)
     rows = [(7 if rng.random() < 0.9 else rng.randrange(5), k, rng.randrange(-3, 4)) for k in range(500)]
-    got = running_sums(spark.createDataFrame(rows, "p bigint, r bigint, d bigint"), "p", "r", "d", "s").collect()
+    got = running_sums(spark.createDataFrame(rows, "p bigint, r bigint, d bigint"), "p", "r", "d", "s", few).collect()
     total = {}
     want = {}
     for p, r, d in rows:
@@ -529,3 +531,21 @@ def test_asymmetric_candidates(spark):
     make = lambda rows: spark.createDataFrame(rows, "v bigint, rank int, u bigint, score bigint")
     assert coarsen.asymmetric(make([(1, 0, 2, 5), (2, 0, 3, 6), (3, 0, 2, 6)])).count() == 0
     assert [tuple(r) for r in coarsen.asymmetric(make([(1, 0, 2, 5), (2, 0, 3, 4), (3, 0, 2, 4)])).collect()] == [(1, 0, 2, 5)]
+
+
+def test_one_task_forms_equal_the_spread_ones(spark):
+    rng = random.Random(11)
+    hedges = random_hedges(12, 30, 8)
+    graph, limits = HGraph.of(spark, 12, hedges), Constraints(5, 14, 4)
+    parts, nodes = parts_df(spark, [v % 3 for v in range(12)]), graph.nodes
+    moves = spark.createDataFrame([(v, v % 3, (v + 1) % 3, rng.randrange(-4, 9)) for v in range(12)], "v bigint, src bigint, dst bigint, gain bigint")
+    ppp, sizes = refine.pins_per_part(graph.pins, parts), spark.createDataFrame([(p, 4) for p in range(3)], "p bigint, size bigint")
+
+    def totals(few):
+        order = refine.ranked(moves, few)
+        sums = refine.prefixes(order, refine.size_excess(nodes, order, sizes, limits, few), refine.inbound_breaks(graph.pins, order, ppp, limits, few), few)
+        return sorted(map(tuple, order.select("v", "rank").collect())), sorted(map(tuple, sums.collect()))
+
+    assert totals(True) == totals(False)
+    chains = [sorted(map(tuple, refine.chained(moves, nodes, few=few).select("v", "rank").collect())) for few in (True, False)]
+    assert chains[0] == chains[1] and [r for _, r in sorted(chains[0], key=lambda x: x[1])] == list(range(12))
