@@ -1,8 +1,8 @@
-"""The ten queries of this package, the corpus pipeline, and the SQL of those that SQL can express."""
+"""The queries of this package, the corpus pipeline, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, packing, pii, quality, secrets, sharding, simhash, urls
+from . import chat, decontam, licenses, mixing, packing, periods, pii, quality, secrets, sharding, simhash, tries, urls
 from .sql import CHAT, DECONTAMINATION
 
 
@@ -25,6 +25,9 @@ QUERIES = {
         secrets.op8_secret_scan,
         decontam.op9_decontamination,
         simhash.op10_simhash_dedup,
+        tries.op11_prefix_trie,
+        licenses.op12_license_scan,
+        periods.op13_periodic_runs,
         pipeline,
     )
 }
@@ -35,4 +38,6 @@ SQL = {
     "op4_poisson_mix": mixing.SQL,
     "op6_chat_format": CHAT,
     "op9_decontamination": DECONTAMINATION,
+    "op11_prefix_trie": tries.SQL,
+    "op12_license_scan": licenses.SQL,
 }
