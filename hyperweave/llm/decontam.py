@@ -5,12 +5,15 @@ suffix of the words so far that occurs in some item. Only runs of words in which
 known and each neighbouring pair occurs in an item are streamed: any occurrence of a window lies
 inside one such run, so nothing is lost and unrelated text costs one dictionary look-up a word.
 
-Items reach the executors as broadcasts of at most ``block_chars`` characters (or one item) each;
-a larger benchmark makes more blocks and the texts pass through one block after the other.
+Items are dealt to blocks of some ``block_chars`` characters (or one item). Tasks build the matcher of each block and
+write it; a block at a time goes to the workers, by a broadcast that is dropped before the next one. The first block's
+hits are a column; those of each further block are written by the digest of the text, so that the texts
+themselves are only read.
 """
 
 from __future__ import annotations
 
+import pickle
 from array import array
 from bisect import bisect_left
 
@@ -19,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, own, table, utf8_rows
+from .common import discard, free_name, own, table, utf8_rows, written
 
 WINDOW = 13
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
 #: A-Z to a-z; ASCII that is no letter or digit to a space; all other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 HITS = "n_words: long, spans: array<struct<start: long, end: long>>, items: array<string>"
@@ -99,11 +102,14 @@ class SuffixAutomaton:
             p = self.link[p]
         return new
 
-    def at_length(self, state: int, size: int) -> int:
-        """The state of the suffix of ``size`` words of any string of ``state`` that is that long."""
-        while self.length[self.link[state]] >= size:
-            state = self.link[state]
-        return state
+    def of_length(self, size: int) -> array:
+        """For each state with strings of ``size`` words or more, the state of their last ``size`` words; 0 for the others."""
+        link, length = self.link, self.length
+        out = array("i", bytes(4 * len(link)))
+        for state in np.argsort(np.array(length), kind="stable").tolist()[1:]:
+            if length[state] >= size:
+                out[state] = out[link[state]] or state
+        return out
 
     def matches(self, words):
         """(state, length of the longest match) after each word; the automaton is frozen."""
@@ -163,15 +169,16 @@ class Matcher:
         self.pairs = np.unique((flat[:-1] * (len(self.ids) + 1) + flat[1:])[inner])
         self.automaton = auto = SuffixAutomaton(coded[a:b] for a, b in zip(bounds, bounds[1:]))
         auto.freeze(len(self.ids))
+        self.whole = auto.of_length(window)
         full, short = array("q"), array("q")  # (state of a whole window, item); (state of an item below one window, item, length)
         for item, (a, b) in enumerate(zip(bounds, bounds[1:])):
             if b - a < window:
                 state = [s for s, _ in auto.matches(coded[a:b])][-1]
-                short.extend((auto.at_length(state, b - a), item, b - a))
+                short.extend((state, item, b - a))
             else:
-                for state, size in auto.matches(coded[a:b]):
-                    if size >= window:
-                        full.extend((auto.at_length(state, window), item))
+                seen = {self.whole[state] for state, size in auto.matches(coded[a:b]) if size >= window}
+                for state in seen:
+                    full.extend((state, item))
         self.full, self.short = Holders(full), Holders(short, 3)
         # the nearest state on the way to the root, itself included, that is a short item
         self.to_short = array("i", bytes(4 * len(auto.link))) if len(short) else None
@@ -200,13 +207,13 @@ class Matcher:
         items: set = set()
         for a, b in zip(starts[long].tolist(), ends[long].tolist()):
             self._stream(ids[a:b].tolist(), a, out, items)
-        return union(out), {self.names[k] for k in items}
+        return union(out), {self.names[k] for k in items} - {None}
 
     def _stream(self, ids: list[int], offset: int, out: list, items: set) -> None:
-        auto, window, to_short, spans, windows, ends = self.automaton, self.window, self.to_short, [], set(), set()
+        auto, window, whole, to_short, spans, windows, ends = self.automaton, self.window, self.whole, self.to_short, [], set(), set()
         for k, (state, size) in enumerate(auto.matches(ids), offset + 1):
             if size >= window:
-                windows.add(auto.at_length(state, window))
+                windows.add(whole[state])
                 spans.append((k - window, k))
             v = to_short[state] if to_short else 0
             while v:
@@ -233,47 +240,92 @@ def union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def matchers(items: DataFrame, item: str, text: str, window: int, block_chars: int):
-    """Matchers over disjoint parts of the items; rows with null or no words have no window."""
-    rows = items.select(own(items, item).cast("string").alias("item"), own(items, text).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
+def matchers(items: DataFrame, item: str, text: str, window: int, block_chars: int) -> DataFrame:
+    """(block, matcher), written: pickled matchers over disjoint parts of the items, each built by a task; texts that are null have no window."""
+    rows = items.select(own(items, item).cast("string").alias("item"), own(items, text).alias("text")).where(F.col("text").isNotNull())
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_chars))
-    for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        yield Matcher(((r.item, r.text.encode()) for r in part.toLocalIterator()), window)
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(max(1, -(-total // block_chars))))
+
+    def build(part: pa.Table) -> pa.Table:
+        names = part.column("item").to_pylist()
+        made = Matcher(zip(names, utf8_rows(part.column("text"))), window)
+        return pa.table({"block": [part.column("block")[0].as_py()], "matcher": pa.array([pickle.dumps(made, -1)], pa.binary())})
+
+    return written(rows.withColumn("block", block).groupBy("block").applyInArrow(build, "block long, matcher binary"), "matchers")
 
 
 def find_hits(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "hits", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Add struct ``out`` with HITS: words, disjoint word spans under a window, sorted item ids.
 
-    Null texts have no words; null items, null item ids and items without words have no window;
-    repeated rows and items count once per row and once per id; empty tables give no hits. Other
-    columns pass through, ``out`` gets underscores where the name is taken.
+    Null texts have no words; null items and items without words have no window; items with a null id count as hits but
+    are not listed; repeated rows and items count once per row and once per id; empty tables give no hits. A very
+    long text or item is read whole, in time that grows with its words. Other columns pass through, ``out`` gets underscores where the
+    name is taken.
     """
     spark, out = df.sparkSession, free_name(df, out)
-    for k, matcher in enumerate(matchers(items, item, item_text, window, block_chars)):
-        df = df.withColumn(out, _hit_udf(spark.sparkContext.broadcast(matcher), k > 0)(own(df, text), *[F.col(out)] * (k > 0)))
-    return df
+    made = matchers(items, item, item_text, window, block_chars)
+    blocks = [r.block for r in made.select("block").orderBy("block").collect()]  # a row for each block
+    if not blocks:
+        return df.withColumn(out, _hit_udf(spark.sparkContext.broadcast(pickle.dumps(Matcher([], window))))(own(df, text)))
+    load = lambda k: spark.sparkContext.broadcast(bytes(made.where(F.col("block") == k).first().matcher))
+    hits, digest = [], F.md5(own(df, text))
+    for k in blocks[1:]:
+        shared = load(k)
+        some = df.select(digest.alias("text"), _hit_udf(shared)(own(df, text)).alias("found")).where(F.size("found.spans") > 0)
+        hits.append(written(some.groupBy("text").agg(F.any_value("found").alias("found")), "block-hits"))
+        shared.destroy()
+    found = df.withColumn(out, _hit_udf(load(blocks[0]))(own(df, text)))
+    if not hits:
+        return found
+    key, more = free_name(found, "digest"), free_name(found, "more")
+    rest = hits[0]
+    for h in hits[1:]:
+        rest = rest.unionByName(h)
+    rest = written(rest.groupBy(F.col("text").alias(key)).agg(F.collect_list("found").alias(more)), "more-hits")  # at most one a block
+    for h in hits:
+        discard(h)
+    joined = found.withColumn(key, F.md5(own(found, text))).join(rest, key, "left")
+    return joined.select(*[(_union_udf()(F.col(out), F.col(more)) if c == out else own(joined, c)).alias(c) for c in found.columns])
+
+
+_KIND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+_matcher: list = [None, None]
+
+
+def _loaded(shared) -> Matcher:
+    """The matcher of a broadcast; a worker keeps the last one."""
+    if _matcher[0] is not shared.value:
+        _matcher[:] = [shared.value, pickle.loads(shared.value)]
+    return _matcher[1]
+
+
+def _hit_udf(shared):
+    """An Arrow UDF for one block of items."""
+
+    def row(matcher: Matcher, text: bytes | None) -> dict:
+        words = words_of(text or b"")
+        spans, ids = matcher.spans(words)
+        return {"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(ids)}
 
+    def hits(batch: pa.Array) -> pa.Array:
+        matcher = _loaded(shared)
+        return pa.array([row(matcher, t) for t in utf8_rows(batch)], _KIND)
 
-def _hit_udf(shared, more: bool):
-    """An Arrow UDF for one block of items; ``more``: it also takes the struct of the blocks before."""
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    return F.arrow_udf(hits, f"struct<{HITS}>").asNondeterministic()
 
-    def row(text: bytes | None, before: dict | None) -> dict:
-        words = words_of(text or b"")
-        spans, ids = shared.value.spans(words)
-        if before:
-            spans, ids = union([*spans, *((s["start"], s["end"]) for s in before["spans"])]), ids | set(before["items"])
-        return {"n_words": len(words), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(ids)}
 
-    def first(batch: pa.Array) -> pa.Array:
-        return pa.array([row(t, None) for t in utf8_rows(batch)], kind)
+def _union_udf():
+    """An Arrow UDF that adds the hits of further blocks (null: none) to those of the first."""
+
+    def both(first: dict, more: list | None) -> dict:
+        every = [first, *(more or [])]
+        spans = union([(s["start"], s["end"]) for h in every for s in h["spans"]])
+        return {"n_words": first["n_words"], "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted({x for h in every for x in h["items"]})}
 
-    def later(batch: pa.Array, before: pa.Array) -> pa.Array:
-        return pa.array([row(t, h) for t, h in zip(utf8_rows(batch), before.to_pylist())], kind)
+    def joined(first: pa.Array, more: pa.Array) -> pa.Array:
+        return pa.array([both(a, b) for a, b in zip(first.to_pylist(), more.to_pylist())], _KIND)
 
-    return F.arrow_udf(later if more else first, f"struct<{HITS}>").asNondeterministic()
+    return F.arrow_udf(joined, f"struct<{HITS}>").asNondeterministic()
 
 
 def verdicts(df: DataFrame, hits: str = "hits", least_length: int = 1, least_percent: int = 5) -> DataFrame:

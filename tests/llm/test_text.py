@@ -321,11 +321,30 @@ def test_decontamination_blocks_and_edges(spark):
     b = {r.doc_id: r["hits_"] for r in many.collect()}
     assert a == b
     for k, text in enumerate(texts):
-        n, hit, ids = brute_hits(text or "", [(str(i), t) for i, t in items], 4)
+        n, hit, ids = brute_hits(text or "", [*((str(i), t) for i, t in items), (None, "aa bb")], 4)
+        ids.discard(None)  # an item without an id hits, but has no name to list
         assert (a[k]["n_words"], {p for s in a[k]["spans"] for p in range(s["start"], s["end"])}, set(a[k]["items"])) == (n, hit, ids)
     kept = decontam.clean_rows(docs(spark, texts), bench.where("item_id = 0"))
     assert len(texts) - 1 not in {r.doc_id for r in kept.collect()} and kept.columns == docs(spark, []).columns
     assert decontam.find_hits(docs(spark, texts), bench.limit(0)).where("size(hits_.spans) > 0").count() == 0
+    assert decontam.find_hits(docs(spark, []), bench).collect() == []
+    assert decontam.find_hits(docs(spark, []), bench, window=4, block_chars=40).collect() == []
+
+
+@pytest.mark.parametrize("words", ["a", "a b c"])
+def test_decontamination_is_linear_on_repeated_words(words):
+    n = len(words.split())
+    item, text = f"{words} " * (20_000 // n), f"{words} " * (200_000 // n) + "end"
+    start = time.time()
+    spans, ids = decontam.Matcher([("1", item.encode())]).spans(decontam.words_of(text.encode()))
+    assert spans == [(0, 200_000 // n * n)] and ids == {"1"} and time.time() - start < 20
+
+
+def test_items_without_an_id_hit(spark, tmp_path):
+    spark.createDataFrame([(None, "w1 w2 w3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "w0 w1 w2 w3"), (2, "w1 w2")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in decontam.op9_decontamination(spark, str(tmp_path)).collect()}
+    assert (rows[1].n_hit, rows[1].n_items, rows[1].contaminated) == (3, 0, True) and rows[2].n_hit == 0
 
 
 def test_verdicts_with_clashing_names(spark):
