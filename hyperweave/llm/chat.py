@@ -75,7 +75,7 @@ def format_chats(df: DataFrame, template: Template = Template(), conv: str = "co
     Null texts and roles count as empty strings, null turns come first, a null conversation id is a
     conversation of its own; repeated rows are repeated turns; ties on turn are ordered by role, then
     text. ``valid``: the automaton saw no violation and ended in a final state; rows are formatted
-    either way. Extra columns of ``df`` are not read. A conversation, being one string, must fit a
+    either way. An empty table gives no rows. Extra columns of ``df`` are not read. A conversation, being one string, must fit a
     row: it is the unit of output here.
     """
     item = F.struct(own(df, turn).alias("turn"), F.coalesce(own(df, role), F.lit("")).alias("role"), F.coalesce(own(df, text), F.lit("")).alias("text"))

@@ -133,7 +133,8 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii", threshold: flo
     """Add array ``out`` of struct(kind, start, end, score).
 
     Null and empty texts give an empty array; repeated rows give equal arrays; spans of different
-    kinds may overlap and tie on start (then in the order of KINDS); other columns pass through.
+    kinds may overlap and tie on start (then in the order of KINDS); other columns pass through; an
+    empty table stays empty. A very long text is read whole, in a few times its size of memory.
     """
 
     @F.arrow_udf("array<struct<kind: string, start: long, end: long, score: double>>")

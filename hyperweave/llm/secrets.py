@@ -133,7 +133,8 @@ def ownership(found: DataFrame, owner: str, repository: str, spans: str = "secre
 def judged(df: DataFrame, text: str, owner: str, repository: str, examples_from: int = 3, repositories_from: int = 100, heavy_values: int = HEAVY_VALUES) -> DataFrame:
     """Each row of ``df`` without its text, with arrays ``secrets`` (SPANS) and ``verdicts`` (verdict, n_owners, n_repositories; same order).
 
-    Rows without candidates get empty arrays; repeated rows are judged one by one; the two arrays get
+    Rows without candidates, null texts among them, get empty arrays; an empty table stays empty; a very long
+    text is read whole and its spans are one row's array; repeated rows are judged one by one; the two arrays get
     underscores where a name is taken. Candidates are found once and written to the shared folder;
     texts are never shuffled. Verdicts of values with more than 1 / ``heavy_values`` of all spans come
     by a broadcast of fewer than ``heavy_values`` rows, the others by a join on the hash.

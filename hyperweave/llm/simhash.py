@@ -63,7 +63,7 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", shingle: int = SHINGLE) -> DataFrame:
-    """Add BIGINT ``out`` (the 64 bits as a signed number). Null and wordless texts get 0."""
+    """Add BIGINT ``out`` (the 64 bits as a signed number). Null and wordless texts get 0; a very long text is read whole; an empty table stays empty."""
 
     @F.arrow_udf("long")
     def prints(batch: pa.Array) -> pa.Array:

@@ -359,7 +359,22 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
         assert r["shard"] == table[sharding.number_of(str(r.doc_id)) % sharding.SLOTS]
 
 
+def test_stages_of_empty_tables(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    rng = random.Random(3)
+    some = [(k, " ".join(f"w{rng.randrange(10**5)}" for _ in range(80)), "en", "src", 1) for k in range(4)]
+    for name, rows, items in (("none", [], [(1, "a b c")]), ("items", some, [])):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, f"{tmp_path}/{name}")
+            assert out.columns[: len(docs.columns)] == docs.columns
+            assert out.count() == len(rows) if k < 3 else rows or not out.count()
+        assert corpus_pipeline.run(spark, f"{tmp_path}/{name}").columns[:5] == docs.columns
+
+
 def test_queries_have_the_agreed_names():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in queries.QUERIES and set(queries.SQL) <= set(queries.QUERIES)
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5

@@ -271,6 +271,12 @@ def test_chat_automaton(spark, roles, valid):
     assert [r.valid for r in chat.format_chats(df).collect()] == ([] if valid is None else [valid])
 
 
+def test_chats_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string, formatted string")
+    out = chat.format_chats(none)
+    assert out.collect() == [] and out.columns == ["conv_id", "formatted", "segments", "valid", "violations"]
+
+
 def test_template_rules():
     with pytest.raises(ValueError):
         chat.Template(lead="##", turn="##t", text="##x", end="##e")
