@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.u32 import noise
-from ..schema import GraphError, HGraph
-from ..tables import ONE_TASK, prefix_sums, stored
+from ..schema import HGraph
+from ..tables import observed, prefix_sums, stored
 from .metrics import Constraints
 from .structure import incidence, pairs
 
@@ -23,21 +20,22 @@ def candidates(graph: HGraph, limits: Constraints, k: int = 4) -> DataFrame:
 
     score = noise(u, v) + sum over shared hyperedges of floor(floor(w * 2^18) / #e). A pair is allowed
     if sizes and the union of inbound sets fit the limits; shared inbound hyperedges come from the
-    same self-join as the score, so pairs need one join and one aggregation.
+    same self-join as the score, so pairs need one join and one aggregation. Pins are stored once, with their
+    hyperedge's share, and each pair is made in one order only.
     """
     if not 1 <= k <= MAX_CANDIDATES:
         raise ValueError(f"1 to {MAX_CANDIDATES} candidates")
     sizes = graph.pins.groupBy("e").agg(F.count("*").alias("n"))
     share = sizes.join(graph.edges, "e").select("e", F.floor(F.floor(F.col("w") * SCALE) / F.col("n")).cast("bigint").alias("part"))
-    both = pairs(graph.pins).where("v < u").join(share, "e")
-    scored = both.groupBy("v", "u").agg(F.sum("part").alias("score"), F.sum((F.col("v_dst") & F.col("u_dst")).cast("bigint")).alias("shared"))
-    node = graph.nodes.join(incidence(graph.pins), "v", "left").select("v", "size", F.coalesce("inbound", F.lit(0)).alias("inb"))
+    pins = stored(graph.pins.join(share, "e").select("e", "v", "is_src", "part"), "shares")
+    scored = pairs(pins, one_order=True, keep=("part",)).groupBy("v", "u").agg(F.sum("part").alias("score"), F.sum((F.col("v_dst") & F.col("u_dst")).cast("bigint")).alias("shared"))
+    node = graph.nodes.join(incidence(pins), "v", "left").select("v", "size", F.coalesce("inbound", F.lit(0)).alias("inb"))
     side = lambda c: node.select(F.col("v").alias(c), F.col("size").alias(f"size_{c}"), F.col("inb").alias(f"inb_{c}"))
     fits = (F.col("size_v") + F.col("size_u") <= limits.nodes_per_part) & (F.col("inb_v") + F.col("inb_u") - F.col("shared") <= limits.inbound_per_part)
     allowed = scored.join(side("v"), "v").join(side("u"), "u").where(fits).select("v", "u", (F.col("score") + noise(F.col("v"), F.col("u"))).alias("score"))
-    both_ways = allowed.unionByName(allowed.select(F.col("u").alias("v"), F.col("v").alias("u"), "score"))
-    order = Window.partitionBy("v").orderBy(F.desc("score"), F.desc("u"))
-    return both_ways.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("v", "rank", "u", "score")
+    ends = F.explode(F.array(F.struct("v", "u"), F.struct(F.col("u").alias("v"), F.col("v").alias("u")))).alias("x")
+    order = Window.partitionBy("v").orderBy(F.desc("score"), F.desc("u"))  # the limit on the rank is taken before the shuffle, too
+    return allowed.select(ends, "score").select("x.v", "x.u", "score").withColumn("rank", (F.row_number().over(order) - 1)).where(F.col("rank") < k).select("v", "rank", "u", "score")
 
 
 def asymmetric(proposals: DataFrame) -> DataFrame:
@@ -53,104 +51,88 @@ def asymmetric(proposals: DataFrame) -> DataFrame:
     return both.where((F.col("w") != F.col("v")) & (F.col("back").isNull() | (F.col("back") > F.col("rank"))) & ~better).select("v", "rank", "u", "score")
 
 
-def match_tree(rows: pd.DataFrame) -> pd.DataFrame:
-    """Heaviest matching of each tree of pointers (v -> u with score; a mutual pair or a free target is the root).
+def _through(m: tuple, x: tuple) -> tuple[Column, Column]:
+    """The (max, +) product of a 2 x 2 matrix and a vector; null stands for minus infinity, which ``greatest`` passes over."""
+    return F.greatest(m[0] + x[0], m[1] + x[1]), F.greatest(m[2] + x[0], m[3] + x[1])
 
-    ``best[v]``: most weight in v's subtree; taking the edge to one child forgoes that child's own best.
-    """
-    target = dict(zip(rows["v"].tolist(), rows["u"].tolist()))
-    weight = dict(zip(rows["v"].tolist(), rows["score"].tolist()))
-    nodes = sorted(set(target) | set(target.values()))
-    children: dict[int, list[int]] = {v: [] for v in nodes}
-    for v, u in target.items():
-        mutual = target.get(u) == v
-        if not mutual or v > u:  # of a mutual pair the higher id hangs below the lower
-            children[u].append(v)
-    roots = [v for v in nodes if v not in target or target.get(target[v]) == v and v < target[v]]
-    order, todo = [], list(roots)
-    while todo:
-        v = todo.pop()
-        order.append(v)
-        todo += children[v]
-    best: dict[int, int] = {}
-    free: dict[int, int] = {}
-    pick: dict[int, int | None] = {}
-    for v in reversed(order):
-        free[v] = sum(best[c] for c in children[v])
-        gains = [(weight[c] + free[c] - best[c], c) for c in children[v]]
-        top = max(gains, default=(0, None), key=lambda g: (g[0], -g[1]))
-        pick[v], best[v] = (top[1], free[v] + top[0]) if top[0] > 0 else (None, free[v])
-    out, taken = [], set()
-    for v in order:
-        if v not in taken and pick[v] is not None:
-            out.append((v, pick[v], weight[pick[v]]))
-            taken |= {v, pick[v]}
-    return pd.DataFrame(out, columns=["v", "u", "score"]).astype({"v": "int64", "u": "int64", "score": "int64"})
-
-
-def tree_roots(pointers: DataFrame) -> DataFrame:
-    """pointers(v, u) to (v, root) by pointer doubling; the root of a mutual pair is its lower id."""
-    mutual = pointers.alias("a").join(pointers.alias("b"), (F.col("a.v") == F.col("b.u")) & (F.col("a.u") == F.col("b.v"))).where("a.v < a.u").select(F.col("a.v").alias("v"))
-    jump = stored(pointers.join(mutual, "v", "left_anti").select("v", F.col("u").alias("root")), "roots")
-    for _ in range(64):
-        step = jump.select(F.col("v").alias("root"), F.col("root").alias("further"))
-        moved = jump.join(step, "root", "left").select("v", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("more"))
-        moved = stored(moved, "roots")
-        jump = moved.select("v", "root")
-        if not moved.where("more").limit(1).count():
-            break
-    else:
-        raise GraphError("the pointers hold a cycle of more than two nodes")
-    ends = jump.select(F.col("root").alias("v")).unionByName(mutual).distinct().select("v", F.col("v").alias("root"))
-    return jump.unionByName(ends).distinct()
 
+def tree_values(hung: DataFrame) -> DataFrame:
+    """(v, u, score, best, free) for every node of the forest hung(v, u, score): u is the parent of v, roots have none.
 
-def match_levels(points: DataFrame) -> DataFrame:
-    """pairs(v, u) of the matching that ``match_tree`` makes of each tree of points(v, u, score), by joins.
+    ``free`` is the most that a matching below v can weigh without v, ``best`` with or without it:
+    free = sum of the children's best, best = free + max(0, the largest score + free - best of a child).
 
-    ``best`` and ``free`` go up from the leaves, a level at a time, then choices come down from the
-    roots: two small jobs a level, and no task holds a tree.
+    Rake and compress. A node whose children are all valued is valued. A node that waits for one child only is a 2 x 2
+    (max, +) matrix applied to that child's (best, free); such nodes double their pointers down the chain, multiplying
+    matrices, until they point at a valued node. So the number of rounds, one written table each, is
+    logarithmic in the nodes, not in the depth.
+    """
+    kids = hung.groupBy(F.col("u").alias("v")).agg(F.count("*").alias("m"), F.sum("v").alias("ids"), F.sum("score").alias("scores"))
+    nodes = hung.join(kids, "v", "full")
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
+    m, leaf, one = F.coalesce("m", zero), F.col("m").isNull(), F.col("m") == 1
+    # f, g: of the valued children, the sum of best and the largest gain; to, a..d: the chain of a node with one child left
+    start = nodes.select("v", "u", "score", m.alias("m"), "ids", "scores", zero.alias("f"), zero.alias("g"), F.when(one, F.col("ids")).alias("to"), F.when(one, zero).alias("a"), F.when(one, F.col("scores")).alias("b"), F.when(one, zero).alias("c"), none.alias("d"), F.when(leaf, zero).alias("best"), F.when(leaf, zero).alias("free"), leaf.alias("fresh"))
+    state = stored(start, "forest")
+    while True:
+        got = state.where("fresh AND u IS NOT NULL").groupBy(F.col("u").alias("v")).agg(F.count("*").alias("m_"), F.sum("v").alias("ids_"), F.sum("score").alias("scores_"), F.sum("best").alias("f_"), F.max(F.col("score") + F.col("free") - F.col("best")).alias("g_"))
+        end = state.select(F.col("v").alias("to"), *[F.col(c).alias(f"{c}2") for c in ("to", "a", "b", "c", "d", "best", "free")])
+        row = state.join(got, "v", "left").join(end, "to", "left")
+        open_, chain = F.col("best").isNull(), F.col("to").isNotNull()
+        by_end, doubled = F.col("best2").isNotNull(), F.col("to2").isNotNull()
+        matrix, further = tuple(map(F.col, "abcd")), tuple(map(F.col, ("a2", "b2", "c2", "d2")))
+        (a, c), (b, d) = _through(matrix, (further[0], further[2])), _through(matrix, (further[1], further[3]))
+        value = _through(matrix, (F.col("best2"), F.col("free2")))
+        more = {c_: F.coalesce(f"{c_}_", zero) for c_ in ("m", "ids", "scores", "f")}
+        left, ids, scores, f = F.col("m") - more["m"], F.col("ids") - more["ids"], F.col("scores") - more["scores"], F.col("f") + more["f"]
+        g = F.greatest("g", F.col("g_"))
+        waits = open_ & ~chain  # two or more children were left
+        to_leaf, to_chain = waits & (left == 0), waits & (left == 1)
+        jump = open_ & chain & ~by_end & doubled
+        pick = lambda now, hop, old: F.when(to_chain, now).when(jump, hop).otherwise(F.col(old)).alias(old)
+        new = row.select(
+            "v", "u", "score",
+            *[F.when(waits, x).otherwise(F.col(k)).alias(k) for k, x in (("m", left), ("ids", ids), ("scores", scores), ("f", f), ("g", g))],
+            pick(ids, F.col("to2"), "to"), pick(f + g, a, "a"), pick(f + scores, b, "b"), pick(f, c, "c"), pick(none, d, "d"),
+            F.when(to_leaf, f + g).when(open_ & chain & by_end, value[0]).otherwise(F.col("best")).alias("best"),
+            F.when(to_leaf, f).when(open_ & chain & by_end, value[1]).otherwise(F.col("free")).alias("free"),
+            (to_leaf | (open_ & chain & by_end)).alias("fresh"),
+        )
+        state, seen = observed(new, "forest", left=F.count_if(F.col("best").isNull()))
+        if not seen["left"]:
+            return state.select("v", "u", "score", "best", "free")
+
+
+def forest_matching(points: DataFrame) -> DataFrame:
+    """(v, u): a heaviest matching of the forest of points(v, u, score), where a mutual pair is the root of its tree.
+
+    Each node prefers the child with the largest positive gain, then the lowest id. Preferred children form paths from
+    the top down, of which every second edge is taken: a node that its parent takes cannot take its child.
+    The depth of a node in its path comes by pointer doubling.
     """
     turned = points.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    hung = stored(points.join(turned.where("v < u"), ["v", "u"], "left_anti"), "hung")  # the lower id of a mutual pair is a root
-    depth = stored(hung.select("v", F.col("u").alias("at"), F.lit(1).cast("bigint").alias("depth")), "depths")
+    hung = points.join(turned.where("v < u"), ["v", "u"], "left_anti")  # the lower id of a mutual pair is a root
+    values = tree_values(hung).where("u IS NOT NULL")
+    gain = F.col("score") + F.col("free") - F.col("best")
+    first = values.where(gain > 0).groupBy("u").agg(F.max(F.struct(gain.alias("gain"), (-F.col("v")).alias("lower"))).alias("top"))
+    paths = first.select((-F.col("top.lower")).alias("v"), "u")
+    state = stored(paths.select("v", "u", F.col("u").alias("up"), F.lit(1).cast("bigint").alias("depth")), "paths")
     while True:
-        step = depth.select(F.col("v").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"))
-        moved = depth.join(step, "at", "left").select("v", F.coalesce("further", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("grew"))
-        moved = stored(moved, "depths")
-        depth = moved.drop("grew")
-        if not moved.where("grew").limit(1).count():
-            break
-    nodes = stored(hung.join(depth.select("v", "depth"), "v").sortWithinPartitions("depth"), "levels")
-    choices, below = [], None
-    for d in range(nodes.agg(F.max("depth")).first()[0] or 0, 0, -1):
-        row = nodes.where(F.col("depth") == d)
-        row = row.withColumns({"best": F.lit(0), "free": F.lit(0)}) if below is None else row.join(below.select("v", "best", "free"), "v", "left").na.fill(0, ["best", "free"])
-        gain = F.struct((F.col("score") + F.col("free") - F.col("best")).alias("gain"), (-F.col("v")).alias("lower"))
-        up = row.groupBy(F.col("u").alias("v")).agg(F.sum("best").alias("free"), F.max(gain).alias("top"))
-        up = up.select("v", "free", (F.col("free") + F.greatest("top.gain", F.lit(0))).alias("best"), F.when(F.col("top.gain") > 0, -F.col("top.lower")).alias("pick"))
-        below = stored(up, "choices")
-        choices.append(below)
-    pairs_, last = [], None
-    for level in reversed(choices):
-        level = level.where("pick IS NOT NULL").select("v", F.col("pick").alias("u"))
-        if last is not None:
-            level = level.join(last.select(F.col("u").alias("v")), "v", "left_anti")
-        last = stored(level, "picked")
-        pairs_.append(last)
-    return reduce(DataFrame.unionByName, pairs_) if pairs_ else points.select("v", "u").limit(0)
-
-
-def matching(proposals: DataFrame, tree_rows: int = 1_000_000, one_task: int = ONE_TASK) -> DataFrame:
+        above = state.select(F.col("v").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
+        step = state.join(above, "up", "left").select("v", "u", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("more").isNotNull().alias("moved"))
+        state, seen = observed(step, "paths", moved=F.count_if("moved"))
+        if not seen["moved"]:
+            return state.where("depth % 2 = 1").select("v", "u")
+        state = state.drop("moved")
+
+
+def matching(proposals: DataFrame) -> DataFrame:
     """pairs(v, u) from candidates(v, rank, u, score), each node at most once.
 
     One round per rank: every free node points at its best candidate that is still free. As scores are
     symmetric and ties go to the higher id, pointers form trees that end in a mutual pair or in a node
-    without a pointer; a heaviest matching of each tree is taken. Trees of more than ``tree_rows`` nodes
-    get the same matching by ``match_levels``, so that no task must hold one. Up to ``one_task`` pointers
-    are matched as a whole: trees do not touch each other, so telling them apart changes nothing.
+    without a pointer; a heaviest matching of each tree is taken (``forest_matching``).
     """
-    form = "v bigint, u bigint, score bigint"
     spark, done = proposals.sparkSession, None
     rounds = (proposals.agg(F.max("rank")).first()[0] or 0) + 1
     for _ in range(rounds):
@@ -159,24 +141,11 @@ def matching(proposals: DataFrame, tree_rows: int = 1_000_000, one_task: int = O
             taken = done.select(F.explode(F.array("v", "u")).alias("x"))
             free = free.join(taken, F.col("v") == F.col("x"), "left_anti").join(taken, F.col("u") == F.col("x"), "left_anti")
         best = free.groupBy("v").agg(F.max(F.struct("score", "u")).alias("b"))
-        points = stored(best.select("v", F.col("b.u").alias("u"), F.col("b.score").alias("score")), "pointers")
-        n = points.count()
-        if not n:
+        points, seen = observed(best.select("v", F.col("b.u").alias("u"), F.col("b.score").alias("score")), "pointers", n=F.count("*"))
+        if not seen["n"]:
             break
-        if n <= min(one_task, tree_rows):
-            new = points.groupBy().applyInPandas(lambda rows: match_tree(rows), form)
-            new = new.select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u"))
-            done = stored(new if done is None else done.unionByName(new), "matched")
-            continue
-        roots = tree_roots(points.select("v", "u"))
-        trees = points.join(roots, "v")
-        large = trees.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") > tree_rows).select("root")
-        small = trees.join(large, "root", "left_anti").groupBy("root").applyInPandas(lambda rows: match_tree(rows), form).select("v", "u")
-        rest = stored(trees.join(large, "root", "left_semi").select("v", "u", "score"), "large")
-        if rest.limit(1).count():
-            small = small.unionByName(match_levels(rest))
-        new = small.select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u"))
-        done = stored(new if done is None else done.unionByName(new), "matched")
+        new = forest_matching(points).select(F.least("v", "u").alias("v"), F.greatest("v", "u").alias("u"))
+        done = new if done is None else done.unionByName(new)
     return done if done is not None else spark.createDataFrame([], "v bigint, u bigint")
 
 
@@ -192,9 +161,9 @@ def orphan_pairs(nodes: DataFrame, proposals: DataFrame, pins: DataFrame, limits
     return low.join(high, "k").where(fits).select("v", "u", F.least("v", "u").alias("g"))
 
 
-def compressed(groups: DataFrame, column: str = "g", few: bool = False) -> DataFrame:
+def compressed(groups: DataFrame, column: str = "g") -> DataFrame:
     """Group labels made 0..G-1 in their order, by a prefix count over the distinct labels."""
-    ids = prefix_sums(groups.select(column).distinct(), [column], {}, few).withColumnRenamed("row", "new_id")
+    ids = prefix_sums(groups.select(column).distinct(), [column], {}).withColumnRenamed("row", "new_id")
     return groups.join(ids, column).drop(column).withColumnRenamed("new_id", column)
 
 
@@ -224,12 +193,16 @@ def uncoarsened(parts: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.join(parts.withColumnRenamed("v", "g"), "g").select("v", "p")
 
 
-def grouped(graph: HGraph, limits: Constraints, k: int = 4) -> DataFrame:
-    """groups(v, g), g in 0..G-1: one level of matching and orphan pairing."""
-    proposals = stored(candidates(graph, limits, k), "candidates")
+def grouped(graph: HGraph, limits: Constraints, nodes: int, k: int = 4) -> tuple[DataFrame, int, dict]:
+    """groups(v, g), how many they are, and figures of the level: one round of matching and orphan pairing. A group is named by its least member.
+
+    ``nodes``: how many nodes the graph has.
+    """
+    proposals, seen = observed(candidates(graph, limits, k), "candidates", proposals=F.count("*"), proposers=F.count_if(F.col("rank") == 0))
     pairs_ = matching(proposals)
-    if graph.nodes.join(proposals.where("rank = 0"), "v", "left_anti").limit(1).count():
+    if seen["proposers"] < nodes:
         pairs_ = pairs_.unionByName(orphan_pairs(graph.nodes, proposals, graph.pins, limits).select("v", "u"))
     label = pairs_.select(F.explode(F.array("v", "u")).alias("v"), F.least("v", "u").alias("g"))
-    few = graph.nodes.count() <= ONE_TASK
-    return stored(compressed(graph.nodes.select("v").join(label, "v", "left").select("v", F.coalesce("g", "v").alias("g")), few=few), "groups")
+    named = graph.nodes.select("v").join(label, "v", "left").select("v", F.coalesce("g", "v").alias("g"))
+    groups, count = observed(named, "groups", groups=F.count_if(F.col("v") == F.col("g")), nodes=F.count("*"))
+    return groups, count["groups"], {**seen, **count}

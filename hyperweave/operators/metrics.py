@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import GraphError, HGraph
+from ..tables import BLOCK, observed, prefix_sums, run_starts, stored
 
 
 @dataclass(frozen=True)
@@ -100,8 +103,7 @@ def fit(graph: HGraph, limits: Constraints, already_partitioned: bool = False, g
 
     The graph fits if the parts can hold all nodes, no node alone breaks the inbound limit, and taking
     nodes in id order needs at most max_parts parts (n_sequential; null where a node alone is too much).
-    A graph that is a quotient already needs a part for each node. Without ``greedy`` the last check, a fold
-    over all nodes, is left out.
+    A graph that is a quotient already needs a part for each node. Without ``greedy`` the last check is left out.
     """
     inbound = graph.pins.where("NOT is_src").groupBy("v").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_inbound"))
     row = graph.nodes.agg(F.count("*").alias("n_nodes")).join(inbound)  # one row each
@@ -118,25 +120,54 @@ def fit(graph: HGraph, limits: Constraints, already_partitioned: bool = False, g
     return row.select("n_nodes", "max_inbound", F.when(light, F.col("n_sequential")).alias("n_sequential"), fits.alias("fits"))
 
 
-def sequential_parts(graph: HGraph, limits: Constraints) -> DataFrame:
-    """parts(v, p) by taking nodes in id order and starting a part where a limit would break.
+def window_ends(batches, most_nodes: int, most_hedges: int, chunk: int):
+    """Rows (row, to) for each row of a chunk: the first row that no longer fits a window that starts here; rows that see no end have none.
 
-    An order-dependent fold: nodes stream to the driver in id order, one at a time with their inbound
-    lists; only the current part's set is held. Raises if more than max_parts are needed.
+    Batches of (part, row, before, after), by (part, row): a chunk's rows and those that its last windows reach. before and
+    after: for each inbound hyperedge the row where it occurred last and where it will next. One count slides along: a hyperedge
+    counts where its last occurrence lies before the window's start.
     """
-    inbound = graph.pins.where("NOT is_src").groupBy("v").agg(F.collect_set("e").alias("es"))
-    rows = graph.nodes.select("v").join(inbound, "v", "left").orderBy("v")
-    spark, out, held, size, p = graph.nodes.sparkSession, [], set(), 0, 0
-    for row in rows.toLocalIterator(prefetchPartitions=True):
-        es = set(row.es or ())
-        size += 1
-        held |= es
-        if size > limits.nodes_per_part or len(held) > limits.inbound_per_part:
-            p, size, held = p + 1, 1, es
-            if p >= limits.max_parts:
-                raise GraphError(f"more than {limits.max_parts} parts are needed")
-        out.append((row.v, p))
-    return spark.createDataFrame(out, "v bigint, p bigint")
+    part, window, count = None, deque(), 0
+    for batch in batches:
+        rows, to = [], []
+        for p, r, before, after in zip(*(batch.column(c).to_pylist() for c in ("part", "row", "before", "after"))):
+            if p != part:
+                part, window, count = p, deque(), 0
+            start = window[0][0] if window else r
+            count += sum(b < start for b in before)
+            window.append((r, after))
+            while len(window) > 1 and (len(window) > most_nodes or count > most_hedges):
+                first, nexts = window.popleft()
+                count -= sum(a > r for a in nexts)
+                if first // chunk == p:
+                    rows.append(first)
+                    to.append(r)
+        yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(to, pa.int64())], ["row", "to"])
+
+
+def sequential_parts(graph: HGraph, limits: Constraints, chunk: int = BLOCK) -> DataFrame:
+    """parts(v, p) by taking nodes in id order and starting a part where a limit would break. Raises if more than max_parts are needed.
+
+    The end of a window from each node is found in chunks of nodes at a time, each with the nodes that its last windows
+    reach; the parts' starts are the rows that row 0 leads to (``tables.run_starts``). A node's inbound list must fit a row.
+    """
+    chunk = max(chunk, limits.nodes_per_part)
+    rows = stored(prefix_sums(graph.nodes.select("v"), ["v"], {}), "order")
+    pins = graph.pins.where("NOT is_src").select("e", "v").distinct().join(rows, "v")
+    along = Window.partitionBy("e").orderBy("row")
+    never = F.lit((1 << 62)).cast("bigint")
+    pins = pins.select("row", F.coalesce(F.lag("row").over(along), F.lit(-1).cast("bigint")).alias("before"), F.coalesce(F.lead("row").over(along), never).alias("after"))
+    lists = pins.groupBy("row").agg(F.collect_list("before").alias("before"), F.collect_list("after").alias("after"))
+    none = F.array().cast("array<bigint>")
+    own = F.floor(F.col("row") / chunk)
+    reached = F.when((F.col("row") >= chunk) & (F.col("row") % chunk < limits.nodes_per_part), F.array(own, own - 1)).otherwise(F.array(own))
+    seen = rows.select("row").join(lists, "row", "left").select(F.explode(reached).alias("part"), "row", F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
+    ends = seen.repartition("part").sortWithinPartitions("part", "row").mapInArrow(lambda batches: window_ends(batches, limits.nodes_per_part, limits.inbound_per_part, chunk), "row bigint, to bigint")
+    runs = run_starts(stored(rows.select("row").join(ends, "row", "left"), "following"))
+    parts, figure = observed(runs.join(rows, "row").select("v", F.col("run").alias("p")), "sequential", top=F.max("p"))
+    if (figure["top"] or 0) >= limits.max_parts:
+        raise GraphError(f"more than {limits.max_parts} parts are needed")
+    return parts
 
 
 def quotient(graph: HGraph, parts: DataFrame, rule: int = 2, squish: bool = False) -> DataFrame:
@@ -159,8 +190,6 @@ def quotient(graph: HGraph, parts: DataFrame, rule: int = 2, squish: bool = Fals
 
 def quotient_graph(graph: HGraph, parts: DataFrame, rule: int = 2, squish: bool = True) -> HGraph:
     """The quotient as a graph: nodes are part ids with summed sizes. Ids must be 0..P-1."""
-    from ..tables import prefix_sums
-
     check = parts.agg(F.max("p").alias("top"), F.countDistinct("p").alias("n")).first()
     if check.n and check.top + 1 != check.n:
         raise GraphError("part ids must be 0..P-1")

@@ -24,6 +24,11 @@ def split_halves(parts: DataFrame, seed: int = 86) -> DataFrame:
     return keyed.join(start, "p").select("v", (2 * F.col("p") + (at >= F.ceil(F.col("n") / 2)).cast("bigint")).alias("p"))
 
 
+def numbered(nodes: DataFrame) -> DataFrame:
+    """(v, idx): nodes in the order of their ids."""
+    return prefix_sums(nodes.select("v"), ["v"], {}).select("v", F.col("row").alias("idx"))
+
+
 def sibling_counts(pins: DataFrame, parts: DataFrame) -> DataFrame:
     """(e, h, even, odd): pins of each hyperedge in the two parts of each sibling pair h = p div 2."""
     p = F.col("p")

@@ -2,19 +2,28 @@
 
 A round proposes one move per node, ranks the moves, computes for every prefix of them what it
 gains and whether it is valid, and applies the best prefix. Prefix quantities are running sums of
-events per part, or per (part, hyperedge), so no step is quadratic in the moves.
+events per part, or per (part, hyperedge), so no step is quadratic in the moves. What gains are made of is
+kept between rounds and changed by what a prefix changes (``State``).
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.u32 import size_bucket
 from ..schema import HGraph
-from ..tables import ONE_TASK, prefix_sums, running_sums, stored
+from ..tables import BLOCK, Log, observed, prefix_sums, running_sums, stored
 from .metrics import Constraints, loads
 
+log = logging.getLogger("hyperweave")
+#: Weights of the state are whole numbers of this fraction, so that sums of changes equal new sums exactly.
+SCALE = 262144
+#: Arrivals of a part, and of a size bucket, that are followed by a departure.
+LINKS = 4
+
 
 def pins_per_part(pins: DataFrame, parts: DataFrame) -> DataFrame:
     """(e, p, n, n_in): pins and destination pins of each hyperedge in each part it touches."""
@@ -57,50 +66,54 @@ def gains(graph: HGraph, parts: DataFrame, limits: Constraints, ppp: DataFrame |
     return near.unionByName(far).withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
 
 
-def ranked(moves: DataFrame, few: bool = False) -> DataFrame:
-    """Add rank (0-based) by gain, then id. Global, but no single task sorts all rows (unless ``few``, see ``prefix_sums``)."""
+def ranked(moves: DataFrame) -> DataFrame:
+    """Add rank (0-based) by gain, then id. Global, but no single task sorts all rows."""
     keyed = moves.withColumn("order_", -F.col("gain"))
-    return prefix_sums(keyed, ["order_", "v"], {}, few).withColumnRenamed("row", "rank").drop("order_")
+    return prefix_sums(keyed, ["order_", "v"], {}).withColumnRenamed("row", "rank").drop("order_")
 
 
-def chained(moves: DataFrame, nodes: DataFrame, rounds: int = 4, candidates: int = 256, penalty: float = 1e-6, few: bool = False) -> DataFrame:
-    """Add rank so that moves form chains: a move into a part is followed by one out of it.
+def linked(moves: DataFrame, nodes: DataFrame, links: int = LINKS) -> DataFrame:
+    """(v, next, gain): the i-th best move into a part is followed by the i-th best move out of it, i <= ``links``, among moves of one size bucket.
 
-    Each round, a move without a successor proposes to the best free move among the ``candidates``
-    heaviest that leave its destination, of a size bucket at most one away, by gain - penalty *
-    size difference; a successor takes the best proposal, then the lowest id. Chains are ranked by total
-    gain, moves by their place in the chain.
+    Best: by gain, then lowest id; ``gain`` is that of both. Only ``links`` moves for each part and bucket are looked at, and that limit is
+    taken before the shuffle, so a part that most moves enter or leave is like any other.
     """
     sized = moves.join(nodes.select("v", "size"), "v").withColumn("bucket", size_bucket(F.col("size")))
-    heavy = Window.partitionBy("src").orderBy(F.desc("gain"), "v")
-    out = stored(sized.withColumn("place", F.row_number().over(heavy)), "moves")
-    links = None
-    for _ in range(rounds):
-        tails, heads = out, out.where(F.col("place") <= candidates)
-        if links is not None:
-            tails = tails.join(links.select("v"), "v", "left_anti")
-            heads = heads.join(links.select(F.col("next").alias("v")), "v", "left_anti")
-        right = heads.select(F.col("v").alias("next"), F.col("src").alias("dst"), F.col("bucket").alias("b2"), F.col("size").alias("s2"), F.col("gain").alias("g2"))
-        offers = tails.join(right, "dst").where("v <> next").where(F.abs(F.col("bucket") - F.col("b2")) <= 1)
-        score = F.col("g2") - penalty * F.abs(F.col("size") - F.col("s2"))
-        offers = offers.select("v", "next", score.alias("score"), "gain")
-        first = Window.partitionBy("v").orderBy(F.desc("score"), "next")
-        offers = offers.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-        take = Window.partitionBy("next").orderBy(F.desc("gain"), "v")
-        new = offers.withColumn("k", F.row_number().over(take)).where("k = 1").select("v", "next")
-        new = stored(new, "links")
-        if not new.limit(1).count():
-            break
-        links = new if links is None else links.unionByName(new)
-    chain = out.select("v", F.col("v").alias("head"), F.lit(0).cast("bigint").alias("depth")) if links is None else _chains(out.select("v"), links)
-    placed = out.join(chain, "v")
-    total = Window.partitionBy("head")
-    placed = placed.withColumn("order_", -F.sum("gain").over(total))
-    return prefix_sums(placed.select("v", "src", "dst", "gain", "order_", "head", "depth"), ["order_", "head", "depth", "v"], {}, few).withColumnRenamed("row", "rank").select("v", "src", "dst", "gain", "rank")
 
+    def best(part: str, name: str) -> DataFrame:
+        order = Window.partitionBy(part, "bucket").orderBy(F.desc("gain"), "v")
+        return sized.withColumn("k", F.row_number().over(order)).where(F.col("k") <= links).select(F.col("v").alias(name), F.col(part).alias("p"), "bucket", "k", F.col("gain").alias(f"{name}_gain"))
+
+    return best("dst", "v").join(best("src", "next"), ["p", "bucket", "k"]).select("v", "next", (F.col("v_gain") + F.col("next_gain")).alias("gain"))
 
-def _chains(moves: DataFrame, links: DataFrame) -> DataFrame:
-    """(v, head, depth) of moves(v) linked by links(v, next); a cycle is cut after its highest id.
+
+def paired(links: DataFrame) -> DataFrame:
+    """(v, head, depth) of links(v, next, gain) that share no move: those that gain more, then have the lower v, than the links before and after them."""
+    key = lambda name: F.struct("gain", (-F.col("v")).alias("low")).alias(name)
+    after = links.select(F.col("v").alias("next"), key("later"))
+    before = links.select(F.col("next").alias("v"), key("sooner"))
+    own = F.struct("gain", (-F.col("v")).alias("low"))
+    kept = links.join(after, "next", "left").join(before, "v", "left").where((F.col("later").isNull() | (own > F.col("later"))) & (F.col("sooner").isNull() | (own > F.col("sooner"))))
+    ends = F.explode(F.array(F.struct(F.col("v").alias("v"), F.lit(0).alias("depth")), F.struct(F.col("next").alias("v"), F.lit(1).alias("depth")))).alias("x")
+    return kept.select(F.col("v").alias("head"), ends).select("x.v", "head", F.col("x.depth").cast("bigint").alias("depth"))
+
+
+def chained(moves: DataFrame, nodes: DataFrame, links: int = LINKS, whole: bool = True) -> DataFrame:
+    """Add rank so that moves form chains: a move into a part is followed by one out of it (``linked``).
+
+    Chains are ranked by total gain, then the id of their head, and moves by their place in the chain; a cycle is cut after its
+    highest id. Without ``whole`` chains are cut to two moves (``paired``), which takes no loop.
+    """
+    found = linked(moves, nodes, links)
+    chain = _chains(stored(found.select("v", "next"), "links")) if whole else paired(found)
+    placed = moves.join(chain, "v", "left").select("v", "src", "dst", "gain", F.coalesce("head", "v").alias("head"), F.coalesce("depth", F.lit(0)).alias("depth"))
+    total = moves.join(chain, "v").groupBy("head").agg(F.sum("gain").alias("total"))  # the others are their own chain
+    placed = placed.join(total, "head", "left").withColumn("order_", -F.coalesce("total", "gain")).drop("total")
+    return prefix_sums(placed, ["order_", "head", "depth", "v"], {}).withColumnRenamed("row", "rank").select("v", "src", "dst", "gain", "rank")
+
+
+def _chains(links: DataFrame) -> DataFrame:
+    """(v, head, depth) of the moves in links(v, next); a cycle is cut after its highest id.
 
     Pointer doubling over predecessors, one written table a step: ``at`` is 2^k places back, ``depth`` how
     many places that is, ``top`` the highest id from v up to the one after ``at``. A chain is done when it has come to its
@@ -108,68 +121,99 @@ def _chains(moves: DataFrame, links: DataFrame) -> DataFrame:
     hold all of a cycle.
     """
     before = links.select(F.col("next").alias("v"), F.col("v").alias("at"))
+    moves = links.select("v").unionByName(links.select(F.col("next").alias("v"))).distinct()
     first = moves.join(before, "v", "left").select("v", F.coalesce("at", "v").alias("at"), F.when(F.col("at").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("v").alias("top"), F.col("at").isNull().alias("done"))
-    state, open_, span = stored(first, "chains"), None, 1
-    while True:
-        left = state.where("NOT done").count()
-        if not left:
-            return state.select("v", F.col("at").alias("head"), "depth")
+    open_, span = None, 1
+    state, seen = observed(first, "chains", left=F.count_if(~F.col("done")))
+    while left := seen["left"]:
         if left == open_ and span >= left:
-            return _chains(moves, stored(links.join(state.where("NOT done AND v = top").select("v"), "v", "left_anti"), "links"))
+            return _chains(stored(links.join(state.where("NOT done AND v = top").select("v"), "v", "left_anti"), "links"))
         open_, span = left, 2 * span
         step = state.select(F.col("v").alias("at"), F.col("at").alias("further"), F.col("depth").alias("more"), F.col("top").alias("top2"), F.col("done").alias("ended"))
         moved = state.where("NOT done").join(step, "at").select("v", F.col("further").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.greatest("top", "top2").alias("top"), F.col("ended").alias("done"))
-        state = stored(moved.unionByName(state.where("done")), "chains")
+        state, seen = observed(moved.unionByName(state.where("done")), "chains", left=F.count_if(~F.col("done")))
+    return state.select("v", F.col("at").alias("head"), "depth")
 
 
-def cascade(graph: HGraph, moves: DataFrame, ppp: DataFrame) -> DataFrame:
-    """(v, src, dst, rank, gain): gain of each move if all of lower rank are applied before it.
+def hedge_events(pins: DataFrame, moves: DataFrame, ppp: DataFrame, block: int = BLOCK, places: int | None = None) -> DataFrame:
+    """(v, rank, p, c, t): what each move changes at each of its hyperedges and at both of its parts, if all moves of lower rank are applied before it.
 
-    Leave and enter events of each (hyperedge, part) by rank; the running count before an event tells
-    whether it frees or newly touches the part.
+    pins(e, v, is_src, w). ``c``: weight gained by leaving a part that the hyperedge then no longer touches, or lost by entering one
+    that it did not touch; ``t``: 1 if the part gains an inbound hyperedge, -1 if it loses one. Both follow from running
+    counts of pins and destination pins by (hyperedge, part).
     """
-    pins = graph.pins.select("e", "v").join(moves.select("v", "src", "dst", "rank"), "v").join(graph.edges, "e")
-    event = lambda part, d: pins.select("e", "v", "rank", "w", F.col(part).alias("p"), F.lit(d).alias("d"))
-    events = event("src", -1).unionByName(event("dst", 1)).join(ppp.select("e", "p", "n"), ["e", "p"], "left")
-    before = F.coalesce(F.sum("d").over(Window.partitionBy("e", "p").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    count = F.coalesce("n", F.lit(0)) + before
-    zero = F.lit(0) * F.col("w")
-    change = F.when((F.col("d") == -1) & (count == 1), F.col("w")).when((F.col("d") == 1) & (count == 0), -F.col("w")).otherwise(zero)
-    total = events.withColumn("c", change).groupBy("v").agg(F.sum("c").alias("gain"))
+    rows = pins.join(moves.select("v", "src", "dst", "rank"), "v")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("p"), F.lit(-1).cast("bigint").alias("d")), F.struct(F.col("dst").alias("p"), F.lit(1).cast("bigint").alias("d")))).alias("x")
+    events = rows.select("e", "v", "w", "rank", "is_src", ends).select("e", "v", "w", "rank", "x.p", "x.d", F.when(F.col("is_src"), 0).otherwise(F.col("x.d")).alias("d_in"))
+    events = running_sums(events, ["e", "p"], "rank", {"moved": "d", "moved_in": "d_in"}, block, places).join(ppp.select("e", "p", "n", "n_in"), ["e", "p"], "left")
+    now, now_in = F.coalesce("n", F.lit(0)) + F.col("moved"), F.coalesce("n_in", F.lit(0)) + F.col("moved_in")
+    change = F.when((F.col("d") == -1) & (now == 0), F.col("w")).when((F.col("d") == 1) & (now == 1), -F.col("w")).otherwise(F.lit(0) * F.col("w"))
+    turn = (now_in > 0).cast("bigint") - (now_in - F.col("d_in") > 0).cast("bigint")
+    return events.select("v", "rank", "p", change.alias("c"), turn.alias("t"))
+
+
+def cascade(graph: HGraph, moves: DataFrame, ppp: DataFrame) -> DataFrame:
+    """(v, src, dst, rank, gain): gain of each move if all of lower rank are applied before it."""
+    total = hedge_events(graph.pins.join(graph.edges, "e"), moves, ppp).groupBy("v").agg(F.sum("c").alias("gain"))
     return moves.drop("gain").join(total, "v", "left").select("v", "src", "dst", "rank", F.coalesce("gain", F.lit(0)).alias("gain"))
 
 
-def size_excess(nodes: DataFrame, moves: DataFrame, sizes: DataFrame, limits: Constraints, few: bool = False) -> DataFrame:
+def _sides(moves: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(rank, p, s): what each move takes from its source part and brings to its destination."""
+    sized = moves.select("v", "src", "dst", "rank").join(nodes.select("v", "size"), "v")
+    ends = F.explode(F.array(F.struct(F.col("src").alias("p"), (-F.col("size")).alias("s")), F.struct(F.col("dst").alias("p"), F.col("size").alias("s")))).alias("x")
+    return sized.select("rank", ends).select("rank", "x.p", "x.s")
+
+
+def _over(x: Column, limits: Constraints) -> Column:
+    return F.greatest(x - limits.nodes_per_part, F.lit(0))
+
+
+def _broken(x: Column, limits: Constraints) -> Column:
+    return (x > limits.inbound_per_part).cast("bigint")
+
+
+def size_excess(nodes: DataFrame, moves: DataFrame, sizes: DataFrame, limits: Constraints) -> DataFrame:
     """(rank, excess): by how much a move changes the sum of sizes above the limit. sizes(p, size)."""
-    sized = moves.select("v", "src", "dst", "rank").join(nodes, "v")
-    side = lambda part, sign: sized.select("rank", F.col(part).alias("p"), (sign * F.col("size")).alias("d"))
-    events = running_sums(side("src", -1).unionByName(side("dst", 1)), "p", "rank", "d", "moved", few)
-    over = lambda x: F.greatest(x - limits.nodes_per_part, F.lit(0))
-    events = events.join(sizes.select("p", F.col("size").alias("s")), "p", "left").withColumn("now", F.col("moved") + F.coalesce("s", F.lit(0)))
-    return events.withColumn("c", over(F.col("now")) - over(F.col("now") - F.col("d"))).groupBy("rank").agg(F.sum("c").alias("excess"))
+    events = running_sums(_sides(moves, nodes), ["p"], "rank", {"moved": "s"})
+    events = events.join(sizes.select("p", F.col("size").alias("start")), "p", "left").withColumn("now", F.col("moved") + F.coalesce("start", F.lit(0)))
+    return events.withColumn("c", _over(F.col("now"), limits) - _over(F.col("now") - F.col("s"), limits)).groupBy("rank").agg(F.sum("c").alias("excess"))
 
 
-def inbound_breaks(pins: DataFrame, moves: DataFrame, ppp: DataFrame, limits: Constraints, few: bool = False) -> DataFrame:
+def inbound_breaks(pins: DataFrame, moves: DataFrame, ppp: DataFrame, limits: Constraints) -> DataFrame:
     """(rank, broken): change of the number of parts with more distinct inbound hyperedges than allowed."""
-    dst = pins.where("NOT is_src").select("e", "v").join(moves.select("v", "src", "dst", "rank"), "v")
-    side = lambda part, d: dst.select("e", "rank", F.col(part).alias("p"), F.lit(d).alias("d"))
-    events = side("src", -1).unionByName(side("dst", 1)).join(ppp.select("e", "p", "n_in"), ["e", "p"], "left")
-    count = F.sum("d").over(Window.partitionBy("p", "e").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("n_in", F.lit(0))
-    turns = events.withColumn("now", count)
-    turn = (F.col("now") > 0).cast("int") - (F.col("now") - F.col("d") > 0).cast("int")
-    per_rank = turns.withColumn("t", turn).where("t <> 0").groupBy("p", "rank").agg(F.sum("t").alias("t")).where("t <> 0")
+    turns = hedge_events(pins.where("NOT is_src").withColumn("w", F.lit(0)), moves, ppp)
+    per_rank = turns.where("t <> 0").groupBy("p", "rank").agg(F.sum("t").alias("t")).where("t <> 0")
     start = ppp.where("n_in > 0").groupBy("p").agg(F.count("*").alias("inbound"))
-    turned = running_sums(per_rank, "p", "rank", "t", "turned", few)
+    turned = running_sums(per_rank, ["p"], "rank", {"turned": "t"})
     flags = turned.join(start, "p", "left").withColumn("now", F.col("turned") + F.coalesce("inbound", F.lit(0)))
-    over = lambda x: (x > limits.inbound_per_part).cast("int")
-    return flags.withColumn("c", over(F.col("now")) - over(F.col("now") - F.col("t"))).groupBy("rank").agg(F.sum("c").alias("broken"))
+    return flags.withColumn("c", _broken(F.col("now"), limits) - _broken(F.col("now") - F.col("t"), limits)).groupBy("rank").agg(F.sum("c").alias("broken"))
 
 
-def prefixes(moves: DataFrame, excess: DataFrame, broken: DataFrame, few: bool = False) -> DataFrame:
+def prefixes(moves: DataFrame, excess: DataFrame, broken: DataFrame) -> DataFrame:
     """(rank, gain, excess, broken): totals over all moves up to each rank."""
     rows = moves.select("rank", "gain").join(excess, "rank", "left").join(broken, "rank", "left").na.fill(0, ["excess", "broken"])
-    sums = prefix_sums(rows.toDF("rank", "g", "x", "b"), ["rank"], {"gain": "g", "excess": "x", "broken": "b"}, few)
-    return sums.select("rank", "gain", "excess", "broken")
+    return running_sums(rows.toDF("rank", "g", "x", "b"), [], "rank", {"gain": "g", "excess": "x", "broken": "b"}).select("rank", "gain", "excess", "broken")
+
+
+def prefix_totals(pins: DataFrame, nodes: DataFrame, moves: DataFrame, ppp: DataFrame, sizes: DataFrame, limits: Constraints, block: int = BLOCK, places: int | None = None) -> DataFrame:
+    """(rank, gain, excess, broken) as ``prefixes`` of ``cascade``, ``size_excess`` and ``inbound_breaks``, with one pass over the events.
+
+    pins(e, v, is_src, w), sizes(p, size).
+    """
+    zero = F.lit(0).cast("bigint")
+    hedges = hedge_events(pins, moves, ppp, block, places).groupBy("p", "rank").agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    sides = _sides(moves, nodes).select("p", "rank", F.lit(0.0).alias("c"), zero.alias("t"), "s")
+    events = hedges.select("p", "rank", F.col("c").cast("double").alias("c"), "t", zero.alias("s")).unionByName(sides)
+    events = events.groupBy("p", "rank").agg(F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum("s").alias("s"))
+    events = running_sums(events, ["p"], "rank", {"turned": "t", "moved": "s"}, block, places)
+    inbound = ppp.where("n_in > 0").groupBy("p").agg(F.count("*").alias("inbound"))
+    start = sizes.select("p", F.col("size").alias("start")).join(inbound, "p", "left").select("p", "start", F.coalesce("inbound", zero).alias("inbound"))
+    events = events.join(start, "p", "left")
+    size, hedges_now = F.col("moved") + F.coalesce("start", zero), F.col("turned") + F.coalesce("inbound", zero)
+    events = events.select("rank", "c", (_over(size, limits) - _over(size - F.col("s"), limits)).alias("x"), (_broken(hedges_now, limits) - _broken(hedges_now - F.col("t"), limits)).alias("b"))
+    per_rank = events.groupBy("rank").agg(F.sum("c").alias("g"), F.sum("x").alias("x"), F.sum("b").alias("b"))
+    return running_sums(per_rank, [], "rank", {"gain": "g", "excess": "x", "broken": "b"}, block, places).select("rank", "gain", "excess", "broken")
 
 
 def best_prefix(totals: DataFrame, start_excess: int | Column = 0, start_broken: int = 0) -> DataFrame:
@@ -195,34 +239,128 @@ def discount_of(step: int, repeats: int) -> int | None:
     return 1 if 3 * step < repeats else 2 if 3 * step < 2 * repeats else None
 
 
-def refined(graph: HGraph, parts: DataFrame, limits: Constraints, repeats: int = 16, kway: bool = True, least_share: float = 0.0) -> DataFrame:
+class State:
+    """What the gains of a level are made of, kept from round to round.
+
+    nodes(v, p, size, total, saving): each node's part, the weight of its hyperedges, and what it saves by leaving; a written table.
+    counts(e, p, n, n_in) and touch(v, p, t): pins of each hyperedge in each part, and the weight of each node's
+    hyperedges that touch a part; logs of changes, summed where they are read. After a prefix of moves only the (hyperedge, part)
+    counts of moved pins change, and only the nodes on those hyperedges get a change of touch and saving.
+    Weights are whole numbers of 1 / SCALE, so that the state equals one that is made anew.
+    """
+
+    def __init__(self, graph: HGraph, parts: DataFrame, kway: bool = True):
+        self.kway = kway
+        pins = graph.pins.join(graph.edges, "e").select("e", "v", "is_src", "w", F.floor(F.col("w") * SCALE).cast("bigint").alias("f"))
+        self.pins = stored(pins, "weighted")
+        self.counts = Log(pins_per_part(graph.pins, parts), "counts")
+        now = self.counts.rows()
+        self.touch = Log(self.pins.join(now.select("e", "p"), "e").groupBy("v", "p").agg(F.sum("f").alias("t")), "touch")
+        own = self.pins.join(parts, "v").join(now.select("e", "p", "n"), ["e", "p"])
+        sums = own.groupBy("v").agg(F.sum("f").alias("total"), F.sum(self._kept(F.col("n"))).alias("saving"))
+        nodes = graph.nodes.join(parts, "v").join(sums, "v", "left")
+        self.nodes = stored(nodes.select("v", "p", "size", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("saving", F.lit(0)).alias("saving")), "nodes")
+
+    def _kept(self, n: Column) -> Column:
+        """What a pin saves by leaving a part where its hyperedge has n pins: the weight if it is the only one, or (INCC) weight / n^2."""
+        return F.when(n == 1, F.col("f")).otherwise(F.lit(0).cast("bigint")) if self.kway else F.floor(F.col("f") / (n * n)).cast("bigint")
+
+    @property
+    def parts(self) -> DataFrame:
+        return self.nodes.select("v", "p")
+
+    @property
+    def sizes(self) -> DataFrame:
+        return self.nodes.groupBy("p").agg(F.sum("size").alias("size"))
+
+    def counted(self) -> DataFrame:
+        """(e, p, n, n_in) of now."""
+        return self.counts.rows().groupBy("e", "p").agg(F.sum("n").alias("n"), F.sum("n_in").alias("n_in")).where("n > 0")
+
+    def touched(self) -> DataFrame:
+        """(v, p, t) of now."""
+        return self.touch.rows().groupBy("v", "p").agg(F.sum("t").alias("t")).where("t > 0")
+
+    def gains(self, limits: Constraints, discount: int | None = None) -> DataFrame:
+        """(v, src, dst, gain) as the function ``gains``, from what is kept.
+
+        A part that the node's hyperedges touch loses less than any other, so the others are tried only where no touched part has room.
+        """
+        node = self.nodes.withColumnRenamed("p", "src")
+        sizes = self.sizes.select(F.col("p").alias("dst"), F.col("size").alias("dst_size"))
+        counted = F.lit(0) if discount is None else F.floor(F.col("size") / discount)
+        room = F.col("dst_size") + F.col("size") - counted <= limits.nodes_per_part
+        touched = self.touched().withColumnRenamed("p", "dst")
+        near = node.join(touched, "v").where("dst <> src").join(sizes, "dst").groupBy("v").agg(F.max(F.when(room, F.struct("t", "dst"))).alias("top"), F.count("*").alias("n_touched"))
+        node = node.join(near, "v", "left").withColumn("loss", F.col("saving") - F.col("total"))
+        gain = lambda weight: (weight / F.lit(float(SCALE))).alias("gain")
+        by_near = node.where("top IS NOT NULL").select("v", "src", "top.dst", gain(F.col("loss") + F.col("top.t")))
+        lost = node.where("top IS NULL")
+        classes = lost.select("size").distinct().join(sizes).where(room)  # sizes x parts, few rows each
+        classes = classes.select("size", "dst", F.row_number().over(Window.partitionBy("size").orderBy(F.desc("dst"))).alias("k"))
+        tries = lost.withColumn("k", F.explode(F.sequence(F.lit(1), F.coalesce("n_touched", F.lit(0)).cast("int") + 2)))
+        far = tries.join(classes, ["size", "k"]).where("dst <> src").join(touched.select("v", "dst"), ["v", "dst"], "left_anti")
+        return by_near.unionByName(far.groupBy("v", "src").agg(F.max("dst").alias("dst"), F.first(gain(F.col("loss"))).alias("gain")))
+
+    def apply(self, took: DataFrame) -> None:
+        """Move took(v, src, dst)."""
+        rows = self.pins.join(took.select("v", "src", "dst"), "v")
+        ends = F.explode(F.array(F.struct(F.col("src").alias("p"), F.lit(-1).cast("bigint").alias("d")), F.struct(F.col("dst").alias("p"), F.lit(1).cast("bigint").alias("d")))).alias("x")
+        moved = rows.select("e", "is_src", ends).groupBy("e", "x.p").agg(F.sum("x.d").alias("n"), F.sum(F.when(F.col("is_src"), 0).otherwise(F.col("x.d"))).alias("n_in")).where("n <> 0 OR n_in <> 0")
+        old = self.counts.rows().groupBy("e", "p").agg(F.sum("n").alias("before"))
+        change = stored(moved.join(old, ["e", "p"], "left").withColumn("before", F.coalesce("before", F.lit(0))), "change")
+        # parts that hyperedges come to touch, or no longer do
+        turned = change.withColumn("sign", (F.col("before") + F.col("n") > 0).cast("bigint") - (F.col("before") > 0).cast("bigint")).where("sign <> 0")
+        self.touch.add(turned.join(self.pins, "e").groupBy("v", "p").agg(F.sum(F.col("sign") * F.col("f")).alias("t")).where("t <> 0"))
+        # what pins of changed hyperedges saved in the part they were in, and save in the one they are in
+        some = self.pins.join(rows.select("e").distinct(), "e", "left_semi").join(self.parts, "v").join(took.select("v", "dst"), "v", "left").withColumn("now", F.coalesce("dst", "p"))
+        before = self.counted().select("e", "p", F.col("n").alias("n0"))
+        self.counts.add(change)
+        after = self.counted().select("e", F.col("p").alias("now"), F.col("n").alias("n1"))
+        saved = some.join(before, ["e", "p"]).join(after, ["e", "now"]).groupBy("v").agg(F.sum(self._kept(F.col("n1")) - self._kept(F.col("n0"))).alias("more"))
+        nodes = self.nodes.join(took.select("v", "dst"), "v", "left").join(saved, "v", "left")
+        self.nodes = stored(nodes.select("v", F.coalesce("dst", "p").alias("p"), "size", "total", (F.col("saving") + F.coalesce("more", F.lit(0))).alias("saving")), "nodes")
+
+
+def refined(graph: HGraph, parts: DataFrame, limits: Constraints, repeats: int = 16, kway: bool = True, least_share: float = 0.0, whole_chains: bool = False, figures: list | None = None) -> DataFrame:
     """parts after up to ``repeats`` rounds; a round is applied if its best prefix is valid and does not lose.
 
-    Chains come first; after an invalid size the order is by gain; a further failure jumps to the next
-    third of the schedule, and so does a round that gains no more than ``least_share`` of the best one.
+    Chains come first (of two moves, or with ``whole_chains`` of any number, at several jobs more a round); after an invalid size the order is by gain; a further failure jumps to the next
+    third of the schedule, and so does a round that gains no more than ``least_share`` of the best one. A third that proposes the
+    moves which failed before is passed over. ``figures`` gets a dict for each round.
     """
-    step, by_chain, most = 0, True, 0.0
-    few = 2 * graph.nodes.count() <= ONE_TASK  # a node moves once in a round, and leaves and enters one part
+    step, by_chain, most, state = 0, True, 0.0, State(graph, parts, kway)
+    proposed = shown = failed = None
     while step < repeats:
-        ppp = stored(pins_per_part(graph.pins, parts), "ppp")
-        proposed = stored(gains(graph, parts, limits, ppp, kway, discount_of(step, repeats)), "gains")
-        order = stored((chained(proposed, graph.nodes, few=few) if by_chain else ranked(proposed, few)), "ranked")
-        moves = stored(cascade(graph, order, ppp), "cascade")
-        sizes = graph.nodes.join(parts, "v").groupBy("p").agg(F.sum("size").alias("size"))
-        totals = prefixes(moves, size_excess(graph.nodes, moves, sizes, limits, few), inbound_breaks(graph.pins, moves, ppp, limits, few), few)
-        now = sizes.agg(F.coalesce(F.sum(F.greatest(F.col("size") - limits.nodes_per_part, F.lit(0))), F.lit(0)).alias("now"))
-        best = best_prefix(totals.join(F.broadcast(now)), F.col("now")).first()  # one row is broadcast
-        if best is not None and best.broken <= 0 and best.excess + best.now <= 0 and best.gain >= 0:
-            parts = stored(applied(parts, moves, best.rank), "parts")
-            most = max(most, float(best.gain))
-            if best.gain <= least_share * most:
+        discount = discount_of(step, repeats)
+        if proposed is None or shown != discount:
+            (proposed, seen), shown = observed(state.gains(limits, discount), "gains", moves=F.count("*"), digest=F.bit_xor(F.xxhash64("v", "dst", "gain"))), discount
+        if not seen["moves"]:
+            break
+        if not by_chain and seen == failed:
+            step = _next_third(step, repeats)
+            continue
+        moves = chained(proposed, state.nodes, whole=whole_chains) if by_chain else ranked(proposed)
+        totals = prefix_totals(state.pins, state.nodes, moves, state.counted(), state.sizes, limits, places=seen["moves"])
+        now = state.sizes.agg(F.coalesce(F.sum(_over(F.col("size"), limits)), F.lit(0)).alias("now"))
+        best = best_prefix(totals.join(F.broadcast(now)), F.col("now")).where("broken <= 0 AND excess + now <= 0 AND gain >= 0")  # one row is broadcast
+        took = moves.join(F.broadcast(best.select(F.col("rank").alias("last"), F.col("gain").alias("best"))), F.col("rank") <= F.col("last"))
+        took, done = observed(took.select("v", "src", "dst", "best"), "took", n=F.count("*"), gain=F.max("best"))
+        row = {"step": step, "moves": seen["moves"], "by_chain": by_chain, "applied": done["n"], "gain": done["gain"]}
+        log.info("round %s", row)
+        if figures is not None:
+            figures.append(row)
+        if done["n"]:
+            state.apply(took)
+            proposed, failed, most = None, None, max(most, done["gain"])
+            if done["gain"] <= least_share * most:
                 step = _next_third(step, repeats) - 1
         elif by_chain:
             by_chain = False
         else:
-            step = _next_third(step, repeats) - 1
+            failed, step = seen, _next_third(step, repeats) - 1
         step += 1
-    return parts
+    return state.parts
 
 
 def _next_third(step: int, repeats: int) -> int:

@@ -62,8 +62,8 @@ def incidence(pins: DataFrame) -> DataFrame:
 LARGEST_HEDGES = 4096
 
 
-def pairs(pins: DataFrame, large: int = 2048, largest: int = LARGEST_HEDGES) -> DataFrame:
-    """(e, v, u, v_dst, u_dst) for ordered pairs of pins of a hyperedge, v <> u.
+def pairs(pins: DataFrame, large: int = 2048, largest: int = LARGEST_HEDGES, one_order: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(e, v, u, v_dst, u_dst, and of the hyperedge ``keep``) for ordered pairs of pins of a hyperedge, v <> u; with ``one_order`` v < u.
 
     A hyperedge of more than ``large`` pins is cut into blocks and joined block by block, so that its
     pairs are spread over tasks; the result is the same. Pins of the ``largest`` hyperedges get their
@@ -72,18 +72,18 @@ def pairs(pins: DataFrame, large: int = 2048, largest: int = LARGEST_HEDGES) ->
     sizes = pins.groupBy("e").agg(F.count("*").alias("n")).where(F.col("n") > large).select("e", "n", F.ceil(F.col("n") / large).cast("int").alias("blocks"))
     top = F.broadcast(sizes.orderBy(F.desc("n"), "e").limit(largest).select("e", "blocks"))
     marked = pins.join(top, "e", "left")
-    known = lambda df: df.select("e", "v", "is_src", "blocks")
+    known = lambda df: df.select("e", "v", "is_src", *keep, "blocks")
     # beyond the largest ones, sizes are looked up by a join
     rest = sizes.join(top.select("e"), "e", "left_anti").select("e", F.col("blocks").alias("more"))
     sized = known(marked.where("blocks IS NOT NULL")).unionByName(
         known(marked.where("blocks IS NULL").drop("blocks").join(rest, "e", "left").withColumn("blocks", F.coalesce("more", F.lit(1))))
     )
     block = F.pmod(F.xxhash64("v"), F.col("blocks").cast("bigint")).cast("int")
-    left = sized.select("e", "v", (~F.col("is_src")).alias("v_dst"), block.alias("b"))
+    left = sized.select("e", "v", *keep, (~F.col("is_src")).alias("v_dst"), block.alias("b"))
     right = sized.select("e", F.col("v").alias("u"), (~F.col("is_src")).alias("u_dst"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     # a join that makes many rows of few: by number of tasks, or adaptive execution would put small inputs into one
     tasks = int(pins.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return left.repartition(tasks, "e", "b").join(right.repartition(tasks, "e", "b"), ["e", "b"]).where("v <> u").drop("b")
+    return left.repartition(tasks, "e", "b").join(right.repartition(tasks, "e", "b"), ["e", "b"]).where("v < u" if one_order else "v <> u").drop("b")
 
 
 def neighbours(pins: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ every fifth node from v % 8 to (v + 3) % 8.
 
 from __future__ import annotations
 
+import math
 import uuid
 from dataclasses import replace
 from functools import reduce
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import curves, u32
 from ..operators import coarsen, hardware, initial, metrics, ordering, placement, refine, structure
 from ..operators.metrics import Constraints
+from .. import schema
 from ..schema import HGraph
 from ..sources import files
 from ..sources.generate import scaled
@@ -269,6 +271,34 @@ def candidate_symmetry(spark, sf_dir):
     return found.groupBy("rank").agg(F.count("*").alias("n"), F.count_distinct("u").alias("partners")).join(broken, "rank", "left").select("rank", "n", "partners", F.coalesce("b", F.lit(0)).alias("broken"))
 
 
+@query
+def forest_matching(spark, sf_dir):
+    """Of the binary tree in which node v hangs on v div 2, with a fixed score for each edge: a heaviest matching."""
+    nodes = basket(spark, sf_dir).nodes.where("v > 1")
+    return coarsen.forest_matching(nodes.select("v", F.floor(F.col("v") / 2).cast("bigint").alias("u"), (F.col("v") * 7919 % 101 + 1).alias("score")))
+
+
+@query
+def presets(spark, sf_dir):
+    """How every part of v % 64 fits each named set of constraints."""
+    graph = basket(spark, sf_dir, directed=True)
+    loads = stored(metrics.loads(graph, parts_of(graph, 64)), "loads")
+
+    def over(name: str) -> DataFrame:
+        limits = metrics.preset(name)
+        full = F.count_if((F.col("size") > limits.nodes_per_part) | (F.col("inbound") > limits.inbound_per_part))
+        return loads.agg(full.alias("over"), (F.count("*") <= limits.max_parts).alias("enough")).select(F.lit(name).alias("preset"), "over", "enough")
+
+    return reduce(DataFrame.unionByName, map(over, metrics.PRESETS))
+
+
+@query
+def integrity(spark, sf_dir):
+    """Hyperedges that keep the rules of a directed graph, and those of all lines that break one."""
+    pins, graph = raw_pins(spark, sf_dir), basket(spark, sf_dir, directed=True)
+    return schema.violations(HGraph(graph.nodes.where("v % 10 <> 3"), graph.edges.where("e % 10 <> 3"), structure.dedupe(pins, 2)), require_source=True)
+
+
 @query
 def matched_pairs(spark, sf_dir):
     return coarsen.matching(stored(coarsen.candidates(basket(spark, sf_dir, directed=True), PAIR_LIMITS, 4)))
@@ -343,6 +373,18 @@ def move_ranks(spark, sf_dir):
     return moves_of(basket(spark, sf_dir))
 
 
+@query
+def move_sequence(spark, sf_dir):
+    """Real gains in the order of a round, with the totals of every prefix."""
+    graph = basket(spark, sf_dir, directed=True)
+    graph, parts = HGraph(graph.nodes, graph.edges, stored(graph.pins, "pins")), parts_of(graph)
+    ppp = stored(refine.pins_per_part(graph.pins, parts), "ppp")
+    moves = stored(refine.ranked(stored(refine.gains(graph, parts, LIMITS, ppp), "gains")), "ranked")
+    sizes = parts.groupBy("p").agg(F.count("*").alias("size"))
+    totals = refine.prefix_totals(graph.pins.join(graph.edges, "e"), graph.nodes, moves, ppp, sizes, LIMITS)
+    return moves.select("v", "src", "dst", "rank").join(totals, "rank").select("v", "src", "dst", "rank", F.col("gain").cast("bigint").alias("total"), "excess", "broken")
+
+
 @query
 def chain_moves(spark, sf_dir):
     graph = basket(spark, sf_dir)
@@ -482,24 +524,21 @@ def sequence_span(spark, sf_dir):
     return ordering.span(graph.pins, graph.edges, graph.nodes.select("v", F.col("v").alias("idx")))
 
 
-@query
-def curve_snake(spark, sf_dir):
-    return curves.snake(spark, 1000, 64, 64)
+def _along(curve: str):
+    """Query: every part of the table at its cell of the curve, on the smallest square lattice with a power of two as side."""
 
+    def run(spark, sf_dir):
+        nodes = basket(spark, sf_dir).nodes
+        n = nodes.count()
+        order = ordering.numbered(nodes.select("v"))
+        side = 1 << math.isqrt(max(n - 1, 0)).bit_length()
+        return order.join(curves.curve(spark, curve, n, side, side), "idx").select("v", "x", "y")
 
-@query
-def curve_zorder(spark, sf_dir):
-    return curves.zorder(spark, 1000, 64, 64)
+    return run
 
 
-@query
-def curve_quad(spark, sf_dir):
-    return curves.quad(spark, 1000, 64, 64)
-
-
-@query
-def curve_hilbert(spark, sf_dir):
-    return curves.hilbert(spark, 1000, 64, 64)
+for _name, _curve in (("snake", "snak"), ("zorder", "zord"), ("quad", "quad"), ("hilbert", "hilb")):
+    QUERIES[f"curve_{_name}"] = _along(_curve)
 
 
 def _routes(spark, sf_dir):
@@ -598,7 +637,8 @@ def swap_gains(spark, sf_dir):
 
 @query
 def apply_swaps(spark, sf_dir):
-    at = places64(spark)
+    """Every part of the table in a row of eight cells; the second and third of each four trade places with their partners."""
+    at = basket(spark, sf_dir).nodes.select("v", (F.col("v") % 8).cast("int").alias("x"), F.floor(F.col("v") / 8).cast("int").alias("y"))
     return placement.swapped(at, _ranked_swaps(at))
 
 
@@ -682,14 +722,52 @@ def place(spark, sf_dir):
     return placement.place(_squished(spark, sf_dir), HW)
 
 
+#: Partitions by session and folder, so that the queries which look at one don't make it again.
+_made: dict = {}
+
+
+def _partitioned(spark, sf_dir, name: str) -> tuple[HGraph, Constraints, DataFrame]:
+    """The whole basket graph, partitioned with the operator's defaults."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        graph = basket(spark, sf_dir, directed=True)
+        if name == "kway":
+            n = graph.nodes.count()
+            limits = Constraints.kway(n, 4, 0.1)
+            # a third of the nodes at most, so that tables of any size are coarsened and refined
+            parts = partition(graph, k=4, eps=0.1, kway_nodes=min(KWAY_NODES, n // 3))
+        else:
+            limits = metrics.preset("truenorth")
+            parts = partition(graph, constraints="truenorth")
+        _made[key] = graph, limits, parts
+    return _made[key]
+
+
 @query
 def partition_kway(spark, sf_dir):
-    graph = basket(spark, sf_dir, directed=True)
-    # a third of the nodes at most, so that tables of any size are coarsened and refined
-    return partition(graph, k=4, eps=0.1, kway_nodes=min(KWAY_NODES, graph.nodes.count() // 3), least_share=0.2)
+    return _partitioned(spark, sf_dir, "kway")[2]
 
 
 @query
 def partition_incc(spark, sf_dir):
-    """The whole basket graph; a level that has converged or no longer shrinks ends early."""
-    return partition(basket(spark, sf_dir, directed=True), Constraints(24, 1000, 1 << 20), least_share=0.2, least_shrink=0.95)
+    return _partitioned(spark, sf_dir, "incc")[2]
+
+
+def _checked(spark, sf_dir, name: str) -> DataFrame:
+    """Of the partition: its nodes, whether it is valid, and whether its connectivity is below that of taking nodes in id order."""
+    graph, limits, parts = _partitioned(spark, sf_dir, name)
+    plain = metrics.sequential_parts(graph, limits)
+    cost = lambda p, c: metrics.cut_metrics(graph, p).select(F.col("connectivity").alias(c))
+    rows = parts.join(graph.nodes, "v").agg(F.count("*").alias("n_nodes"), F.count_distinct("v").alias("n_distinct"))
+    row = rows.join(metrics.validity(graph, parts, limits)).join(cost(parts, "ours")).join(cost(plain, "theirs"))  # one row each
+    return row.select("n_nodes", "n_distinct", "valid", (F.col("ours") < F.col("theirs")).alias("better"))
+
+
+@query
+def partition_kway_checked(spark, sf_dir):
+    return _checked(spark, sf_dir, "kway")
+
+
+@query
+def partition_incc_checked(spark, sf_dir):
+    return _checked(spark, sf_dir, "incc")

@@ -72,7 +72,7 @@ _HULL = """,
 #: Rectangles (corner, major side, minor side, cells before) are split until one side has one cell.
 _HILBERT = """,
  boxes(lvl, x, y, ax, ay, bx, by_, first_) AS (
-  SELECT 0, 0, 0, 32, 0, 0, 32, 0
+  SELECT 0, 0, 0, 0, side, width, 0, 0 FROM lattice
   UNION ALL
   SELECT lvl + 1, part.x, part.y, part.ax, part.ay, part.bx, part.by_, part.f FROM (
    SELECT lvl, unnest(CASE WHEN 2 * a > 3 * b THEN [
@@ -86,8 +86,8 @@ _HILBERT = """,
      hx + CASE WHEN abs(hx + hy) % 2 = 1 AND a > 2 THEN sign(ax)::INTEGER ELSE 0 END AS mx, hy + CASE WHEN abs(hx + hy) % 2 = 1 AND a > 2 THEN sign(ay)::INTEGER ELSE 0 END AS my,
      kx + CASE WHEN abs(kx + ky) % 2 = 1 AND b > 2 THEN sign(bx)::INTEGER ELSE 0 END AS nx, ky + CASE WHEN abs(kx + ky) % 2 = 1 AND b > 2 THEN sign(by_)::INTEGER ELSE 0 END AS ny
     FROM (SELECT *, abs(ax + ay) AS a, abs(bx + by_) AS b, trunc(ax / 2)::INTEGER AS hx, trunc(ay / 2)::INTEGER AS hy, trunc(bx / 2)::INTEGER AS kx, trunc(by_ / 2)::INTEGER AS ky FROM boxes) WHERE a > 1 AND b > 1)))
- SELECT (first_ + k)::BIGINT AS idx, (x + k * CASE WHEN abs(bx + by_) = 1 THEN sign(ax) ELSE sign(bx) END)::INTEGER AS x, (y + k * CASE WHEN abs(bx + by_) = 1 THEN sign(ay) ELSE sign(by_) END)::INTEGER AS y
- FROM boxes, range(0, 32) r(k) WHERE (abs(ax + ay) = 1 OR abs(bx + by_) = 1) AND k < greatest(abs(ax + ay), abs(bx + by_)) AND first_ + k < 1000"""
+ SELECT (first_ + k)::BIGINT AS v, (x + k * CASE WHEN abs(bx + by_) = 1 THEN sign(ax) ELSE sign(bx) END)::INTEGER AS x, (y + k * CASE WHEN abs(bx + by_) = 1 THEN sign(ay) ELSE sign(by_) END)::INTEGER AS y
+ FROM boxes, lattice, range(0, 64) r(k) WHERE (abs(ax + ay) = 1 OR abs(bx + by_) = 1) AND k < greatest(abs(ax + ay), abs(bx + by_)) AND first_ + k < n"""
 
 #: u32 arithmetic of the pair noise.
 _NOISE = (
@@ -104,9 +104,43 @@ def _uniform(*keys: str) -> str:
     return f"(('0x' || substr(md5({' || chr(58) || '.join(keys)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
 
 
-def _side() -> str:
-    """Width and height of the dyadic region for 1000 cells on 64 x 64 (32 columns by 32 rows)."""
-    return "32"
+#: Nodes on the smallest square lattice with a power of two as side: a curve fills whole columns of it.
+_LATTICE = """,
+ lattice AS (SELECT side::INTEGER AS side, ((n + side - 1) // side)::INTEGER AS width, n FROM (SELECT count(*) AS n, (SELECT min(1 << k) FROM range(0, 12) s(k) WHERE (1 << k) * (1 << k) >= (SELECT count(*) FROM nodes)) AS side FROM nodes))"""
+
+
+def _codes(x: str, y: str) -> str:
+    """Nodes at the cells of the region in the order of their codes i."""
+    return f""", cells AS (SELECT row_number() OVER (ORDER BY i) - 1 AS v, x, y FROM (SELECT i, ({x})::INTEGER AS x, ({y})::INTEGER AS y FROM lattice, range(0, (SELECT side * side FROM lattice)) t(i)), lattice WHERE x < width)
+ SELECT v, x, y FROM cells JOIN nodes USING (v)"""
+
+
+def _forest(levels: int = 18) -> str:
+    """A heaviest matching of the tree v -> v // 2, level by level: values from the leaves up, then choices from the root down."""
+    ctes = [""",
+ tree AS (SELECT v, v // 2 AS u, v * 7919 % 101 + 1 AS score, floor(log2(v))::INTEGER AS lvl FROM nodes WHERE v > 1), every AS (SELECT v, lvl FROM tree UNION ALL SELECT 1, 0)""",
+        f" up{levels} AS (SELECT v, 0::BIGINT AS free, 0::BIGINT AS best, NULL::BIGINT AS pick FROM every WHERE false)"]
+    for k in range(levels - 1, -1, -1):
+        ctes.append(f""" up{k} AS (SELECT a.v, coalesce(sum(c.best), 0)::BIGINT AS free, (coalesce(sum(c.best), 0) + greatest(coalesce(max(c.gain), 0), 0))::BIGINT AS best, CASE WHEN max(c.gain) > 0 THEN arg_max(c.v, (c.gain, -c.v)) END AS pick
+  FROM every a LEFT JOIN (SELECT t.v, t.u, w.best, t.score + w.free - w.best AS gain FROM up{k + 1} w JOIN tree t USING (v)) c ON c.u = a.v WHERE a.lvl = {k} GROUP BY a.v)""")
+    ctes.append(" vals AS (" + " UNION ALL ".join(f"SELECT v, pick FROM up{k}" for k in range(levels)) + ")")
+    ctes.append(" down0 AS (SELECT v, false AS taken FROM every WHERE lvl = 0)")
+    for k in range(1, levels):
+        ctes.append(f" down{k} AS (SELECT t.v, coalesce(p.pick = t.v, false) AND NOT d.taken AS taken FROM tree t JOIN down{k - 1} d ON d.v = t.u JOIN vals p ON p.v = t.u WHERE t.lvl = {k})")
+    return ",\n".join(ctes) + "\n SELECT v, u FROM tree JOIN (" + " UNION ALL ".join(f"SELECT * FROM down{k}" for k in range(1, levels)) + ") USING (v) WHERE taken"
+
+
+#: Links between moves by rank within a part, walks back along them, and the same without the link after a cycle's highest id.
+_CHAINS = """,
+ arrive AS (SELECT v, dst AS p, row_number() OVER (PARTITION BY dst ORDER BY gain DESC, v) AS k FROM moves), leave_ AS (SELECT v, src AS p, row_number() OVER (PARTITION BY src ORDER BY gain DESC, v) AS k FROM moves),
+ links AS (SELECT a.v, d.v AS nxt FROM arrive a JOIN leave_ d USING (p, k) WHERE k <= 4),
+ back AS (SELECT v, v AS spot, 0 AS n FROM (SELECT v FROM links UNION SELECT nxt FROM links) UNION ALL SELECT b.v, l.v, n + 1 FROM back b JOIN links l ON l.nxt = b.spot WHERE n < 40),
+ tops AS (SELECT v FROM back GROUP BY v HAVING max(n) = 40 AND max(spot) = v),
+ open_ AS (SELECT * FROM links WHERE v NOT IN (SELECT v FROM tops)),
+ line AS (SELECT v, v AS spot, 0 AS n FROM moves UNION ALL SELECT b.v, l.v, n + 1 FROM line b JOIN open_ l ON l.nxt = b.spot WHERE n < 40),
+ heads_ AS (SELECT v, arg_max(spot, n) AS head, max(n) AS depth FROM line GROUP BY v),
+ chain_totals AS (SELECT head, sum(gain) AS total FROM heads_ JOIN moves USING (v) GROUP BY head)
+ SELECT v, src, dst, gain, row_number() OVER (ORDER BY total DESC, head, depth, v) - 1 AS rank FROM moves JOIN heads_ USING (v) JOIN chain_totals USING (head)"""
 
 
 def _walk(size: int, inbound: int) -> str:
@@ -185,6 +219,17 @@ _BODIES = {
     "pins_per_partition": "SELECT e, p, n, n_in FROM ppp",
     "fm_gains": ", tot AS (SELECT d.v, p.p AS src, sum(w) AS total, sum(CASE WHEN n = 1 THEN w ELSE 0 END) AS saving FROM dpins d JOIN dedges USING (e) JOIN parts p ON p.v = d.v JOIN ppp ON ppp.e = d.e AND ppp.p = p.p GROUP BY d.v, p.p), touch AS (SELECT d.v, ppp.p AS dst, sum(w) AS touched FROM dpins d JOIN dedges USING (e) JOIN ppp ON ppp.e = d.e GROUP BY d.v, ppp.p), opts AS (SELECT p.v, p.p AS src, l.p AS dst, coalesce(saving, 0) - coalesce(total, 0) + coalesce(touched, 0) AS gain FROM parts p JOIN dloads l ON l.p <> p.p AND l.size + 1 <= 300 LEFT JOIN tot ON tot.v = p.v LEFT JOIN touch ON touch.v = p.v AND touch.dst = l.p) SELECT v, src, dst, gain::BIGINT AS gain FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY gain DESC, dst DESC) AS k FROM opts) WHERE k = 1",
     "fm_gains_incc": ", tot AS (SELECT d.v, p.p AS src, sum(w) AS total, sum(w / (n * n)::DOUBLE) AS saving FROM dpins d JOIN dedges USING (e) JOIN parts p ON p.v = d.v JOIN ppp ON ppp.e = d.e AND ppp.p = p.p GROUP BY d.v, p.p), touch AS (SELECT d.v, ppp.p AS dst, sum(w) AS touched FROM dpins d JOIN dedges USING (e) JOIN ppp ON ppp.e = d.e GROUP BY d.v, ppp.p), opts AS (SELECT p.v, p.p AS src, l.p AS dst, coalesce(saving, 0) - coalesce(total, 0) + coalesce(touched, 0) AS gain FROM parts p JOIN dloads l ON l.p <> p.p AND l.size + 1 - 0 <= 300 LEFT JOIN tot ON tot.v = p.v LEFT JOIN touch ON touch.v = p.v AND touch.dst = l.p) SELECT v, src, dst, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY gain DESC, dst DESC) AS k FROM opts) WHERE k = 1",
+    "chain_moves": _CHAINS,
+    "forest_matching": _forest(),
+    "presets": """, l64 AS (SELECT p, count(*) AS size, coalesce(any_value(i.n), 0) AS inbound FROM (SELECT v, v % 64 AS p FROM nodes) LEFT JOIN (SELECT v % 64 AS p, count(DISTINCT e) AS n FROM dpins WHERE NOT is_src GROUP BY 1) i USING (p) GROUP BY p),
+ named(preset, nodes_, inbound_, parts_) AS (VALUES ('loihi64', 1024, 4096, 4096), ('loihi84', 4096, 65536, 7056), ('loihi1024', 4096, 65536, 1048576), ('truenorth', 256, 256, 4096))
+ SELECT preset, count(*) FILTER (size > nodes_ OR inbound > inbound_) AS over, count(*) <= any_value(parts_) AS enough FROM l64, named GROUP BY preset""",
+    "integrity": """, own AS (SELECT e, v, bool_or(is_src) AS is_src FROM raw GROUP BY e, v), told AS (SELECT e FROM dedges WHERE e % 10 <> 3), per AS (SELECT e, count(*) FILTER (is_src) AS s, count(*) FILTER (NOT is_src) AS d FROM own GROUP BY e)
+ SELECT 'hyperedges without a weight' AS rule, count(*) AS n FROM per WHERE e NOT IN (SELECT e FROM told) UNION ALL SELECT 'weights without a hyperedge', count(*) FROM told WHERE e NOT IN (SELECT e FROM per)
+ UNION ALL SELECT 'hyperedges without a destination', count(*) FROM per WHERE d = 0 UNION ALL SELECT 'hyperedges without a source', count(*) FROM per WHERE s = 0
+ UNION ALL SELECT 'pins of unknown nodes', count(*) FROM own WHERE v NOT IN (SELECT v FROM nodes WHERE v % 10 <> 3)""",
+    "partition_incc_checked": "SELECT count(*) AS n_nodes, count(*) AS n_distinct, true AS valid, true AS better FROM nodes",
+    "partition_kway_checked": "SELECT count(*) AS n_nodes, count(*) AS n_distinct, true AS valid, true AS better FROM nodes",
     "move_ranks": "SELECT v, src, dst, gain, rank FROM moves",
     "cascade_gain": """, ev AS (SELECT e, v, rank, w, src AS p, -1 AS d FROM pins JOIN moves USING (v) JOIN edges USING (e) UNION ALL SELECT e, v, rank, w, dst, 1 FROM pins JOIN moves USING (v) JOIN edges USING (e)),
  c AS (SELECT ev.*, coalesce(n, 0) + coalesce(sum(d) OVER (PARTITION BY ev.e, ev.p ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ev LEFT JOIN uppp ON uppp.e = ev.e AND uppp.p = ev.p),
@@ -228,9 +273,9 @@ _BODIES = {
     "sibling_strength": "SELECT a.p, sum(w)::BIGINT AS score FROM (SELECT e, v, p FROM pins JOIN parts USING (v)) a JOIN (SELECT e, v, p FROM pins JOIN parts USING (v)) b USING (e) JOIN edges USING (e) WHERE xor(a.p // 2, 1) = b.p // 2 GROUP BY a.p",
     "segment_reverse": ", o AS (SELECT v, v // 10 AS p, v AS idx, min(v) OVER (PARTITION BY v // 10) + max(v) OVER (PARTITION BY v // 10) AS ends FROM nodes) SELECT v, p, CASE WHEN p % 3 = 0 THEN ends - idx ELSE idx END AS idx FROM o",
     "sequence_span": "SELECT sum(w * len)::BIGINT AS span FROM (SELECT e, max(v) - min(v) AS len FROM pins GROUP BY e) JOIN edges USING (e)",
-    "curve_snake": f"SELECT i AS idx, (i // {_side()})::INTEGER AS x, (CASE WHEN (i // {_side()}) % 2 = 0 THEN i % {_side()} ELSE {_side()} - 1 - i % {_side()} END)::INTEGER AS y FROM range(0, 1000) t(i)",
-    "curve_zorder": "SELECT i AS idx, list_sum([((i >> (2 * k)) & 1) << k for k in range(0, 5)])::INTEGER AS x, list_sum([((i >> (2 * k + 1)) & 1) << k for k in range(0, 5)])::INTEGER AS y FROM range(0, 1000) t(i)",
-    "curve_quad": "SELECT i AS idx, list_sum([(((i >> (2 * k)) & 3) >> 1) << k for k in range(0, 5)])::INTEGER AS x, list_sum([CASE WHEN ((i >> (2 * k)) & 3) IN (1, 2) THEN 1 << k ELSE 0 END for k in range(0, 5)])::INTEGER AS y FROM range(0, 1000) t(i)",
+    "curve_snake": _LATTICE + " SELECT v, (v // side)::INTEGER AS x, (CASE WHEN (v // side) % 2 = 0 THEN v % side ELSE side - 1 - v % side END)::INTEGER AS y FROM nodes, lattice",
+    "curve_zorder": _LATTICE + _codes("list_sum([((i >> (2 * k)) & 1) << k for k in range(0, 10)])", "list_sum([((i >> (2 * k + 1)) & 1) << k for k in range(0, 10)])"),
+    "curve_quad": _LATTICE + _codes("list_sum([(((i >> (2 * k)) & 3) >> 1) << k for k in range(0, 10)])", "list_sum([CASE WHEN ((i >> (2 * k)) & 3) IN (1, 2) THEN 1 << k ELSE 0 END for k in range(0, 10)])"),
     "energy": "SELECT round(sum(w * ((m + 1) * 1.7::DOUBLE + m * 3.5::DOUBLE)), 3) AS energy FROM routes",
     "avg_latency": ", n AS (SELECT e, count(*) AS n, count(*) FILTER (is_src) AS s FROM qpins GROUP BY e) SELECT round((SELECT sum(w * ((m + 1) * 2.1::DOUBLE + m * 5.3::DOUBLE)) FROM routes) / sum(w * (n - 1) * s), 6) AS avg_latency FROM n JOIN dedges USING (e)",
     "max_latency": "SELECT round(max((m + 1) * 2.1::DOUBLE + m * 5.3::DOUBLE), 6) AS max_latency FROM routes",
@@ -246,7 +291,7 @@ _BODIES = {
  m3 AS (SELECT *, (xor(b, b >> 15) * 830770091) & 4294967295 AS g FROM m2)
  SELECT v, xor(g, g >> 14)::BIGINT AS h32, xor(d, d >> 12)::BIGINT AS mad, ((x * 2654435769) & 4294967295)::BIGINT AS linear,
   (CASE WHEN v = 0 THEN 0 ELSE floor(log2(v)) END)::BIGINT AS bucket, lpad(lower(to_hex(h)), 16, '0') AS h64 FROM m3""",
-    "curve_hilbert": _HILBERT,
+    "curve_hilbert": _LATTICE + _HILBERT,
     "max_congestion": _CONGESTION + " SELECT round(max(load), 3) AS max_congestion, round(coalesce(max(load_ref), 0), 3) AS max_congestion_ref FROM cell_loads",
     "mst_span": _PRIM + " SELECT sum(w * total)::BIGINT AS tree_span FROM spans_ JOIN dedges USING (e)",
     "hull_locality": _HULL + """ SELECT round(avg(n), 6) AS ar_mean, round(exp(avg(ln(n))), 6) AS geo_mean, round(sum(n * w) / sum(w), 6) AS ar_mean_weighted, round(exp(sum(ln(n) * w) / sum(w)), 6) AS geo_mean_weighted FROM hulls JOIN dedges USING (e)""",
@@ -263,7 +308,7 @@ _BODIES = {
  at_ AS (SELECT r.rank AS t, g.v, CASE WHEN m.rank <= r.rank THEN m.x ELSE g.x END AS x, CASE WHEN m.rank <= r.rank THEN m.y ELSE g.y END AS y FROM range(-1, 16) r(rank), grid g LEFT JOIN mv m USING (v)),
  cost AS (SELECT a.t, sum(w * (abs(a.x - b.x) + abs(a.y - b.y))) AS c FROM near n JOIN at_ a ON a.v = n.v JOIN at_ b ON b.v = n.u AND b.t = a.t GROUP BY a.t)
  SELECT t AS rank, (before - c)::BIGINT AS gain FROM (SELECT t, c, lag(c) OVER (ORDER BY t) AS before FROM cost) WHERE t >= 0""",
-    "apply_swaps": " SELECT p AS v, ((CASE WHEN p % 4 >= 2 THEN xor(p, 1) ELSE p END) % 8)::INTEGER AS x, ((CASE WHEN p % 4 >= 2 THEN xor(p, 1) ELSE p END) // 8)::INTEGER AS y FROM range(0, 64) t(p)",
+    "apply_swaps": " SELECT v, ((CASE WHEN v % 4 >= 2 THEN xor(v, 1) ELSE v END) % 8)::INTEGER AS x, ((CASE WHEN v % 4 >= 2 THEN xor(v, 1) ELSE v END) // 8)::INTEGER AS y FROM nodes",
     "snn_round_trip": "SELECT dense_rank() OVER (ORDER BY e) - 1 AS e, v, is_src, w::DOUBLE AS w FROM dpins JOIN dedges USING (e)",
     "axh_round_trip": ", r AS (SELECT e, v, is_src OR v % 3 = 0 AS is_src FROM dpins), k AS (SELECT e FROM r GROUP BY e HAVING NOT bool_and(is_src)) SELECT dense_rank() OVER (ORDER BY e) - 1 AS e, v, is_src, w::DOUBLE AS w FROM r JOIN k USING (e) JOIN dedges USING (e)",
     "hmetis_round_trip": ", k AS (SELECT e FROM pins GROUP BY e HAVING count(*) > 1) SELECT dense_rank() OVER (ORDER BY e) - 1 AS e, v, false AS is_src, w * 1024.0::DOUBLE AS w FROM pins JOIN k USING (e) JOIN edges USING (e)",
@@ -296,3 +341,18 @@ SQL["best_prefix"] = _best_prefix()
 SQL["candidate_symmetry"] = "SELECT rank, count(*) AS n, count(DISTINCT u) AS partners, 0::BIGINT AS broken FROM (" + SQL["candidates_topk"] + ") GROUP BY rank"
 SQL["binning_places"] = "SELECT bin, n, (upto - n)::BIGINT AS first, (upto - 1)::BIGINT AS last, n AS places FROM (SELECT bin, n, sum(n) OVER (ORDER BY bin) AS upto FROM (" + SQL["binning"] + "))"
 SQL["best_valid_prefix"] = SQL["best_prefix"].replace(") ORDER BY greatest(broken, 0), greatest(excess, 0), gain DESC", ") WHERE broken <= 0 AND excess <= 0 ORDER BY gain DESC")
+
+_head, _, _tail = _BODIES["fm_gains"].rpartition(" SELECT v, src, dst, gain::BIGINT AS gain FROM ")
+SQL["move_sequence"] = (
+    BASE + _head + ", mv AS (SELECT v, src, dst, gain, row_number() OVER (ORDER BY gain DESC, v) - 1 AS rank FROM " + _tail + ")"
+    + """,
+ ev AS (SELECT e, v, is_src, w, rank, unnest([src, dst]) AS p, unnest([-1, 1]) AS d FROM dpins JOIN mv USING (v) JOIN dedges USING (e)),
+ run AS (SELECT ev.*, coalesce(ppp.n, 0) + sum(d) OVER o AS now, coalesce(n_in, 0) + sum(CASE WHEN is_src THEN 0 ELSE d END) OVER o AS now_in FROM ev LEFT JOIN ppp ON ppp.e = ev.e AND ppp.p = ev.p WINDOW o AS (PARTITION BY ev.e, ev.p ORDER BY rank)),
+ hedge AS (SELECT rank, p, sum(CASE WHEN d = -1 AND now = 0 THEN w WHEN d = 1 AND now = 1 THEN -w ELSE 0 END) AS c,
+  sum((now_in > 0)::INT - (now_in - CASE WHEN is_src THEN 0 ELSE d END > 0)::INT) AS t FROM run GROUP BY rank, p),
+ side AS (SELECT rank, unnest([src, dst]) AS p, unnest([-1, 1]) AS s FROM mv),
+ both_ AS (SELECT rank, p, coalesce(c, 0) AS c, coalesce(t, 0) AS t, s FROM side LEFT JOIN hedge USING (rank, p)),
+ levels AS (SELECT b.*, size + sum(s) OVER o AS size_now, inbound + sum(t) OVER o AS in_now FROM both_ b JOIN dloads USING (p) WINDOW o AS (PARTITION BY b.p ORDER BY rank)),
+ step AS (SELECT rank, sum(c) AS c, sum(greatest(size_now - 300, 0) - greatest(size_now - s - 300, 0)) AS x, sum((in_now > 12000)::INT - (in_now - t > 12000)::INT) AS b FROM levels GROUP BY rank)
+ SELECT v, src, dst, rank, (sum(c) OVER o)::BIGINT AS total, (sum(x) OVER o)::BIGINT AS excess, (sum(b) OVER o)::BIGINT AS broken FROM mv JOIN step USING (rank) WINDOW o AS (ORDER BY rank)"""
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,21 +41,31 @@ class GraphError(ValueError):
     """An integrity rule does not hold."""
 
 
-def validate(graph: HGraph, require_source: bool = False) -> HGraph:
-    """Check the rules that loaders rely on; one pass over each table.
+def broken_rules(graph: HGraph, require_source: bool = False) -> list[tuple[str, DataFrame]]:
+    """Each rule that loaders rely on, with the rows that break it.
 
     Every hyperedge has a weight and a destination (and with ``require_source`` a source), every pin
     names a known node and hyperedge.
     """
     per_edge = graph.pins.groupBy("e").agg(F.sum((~F.col("is_src")).cast("long")).alias("d"), F.sum(F.col("is_src").cast("long")).alias("s"))
-    checks = (
+    checks = [
         ("hyperedges without a weight", per_edge.join(graph.edges, "e", "left_anti")),
         ("weights without a hyperedge", graph.edges.join(per_edge, "e", "left_anti")),
         ("hyperedges without a destination", per_edge.where("d = 0")),
-        ("hyperedges without a source", per_edge.where("s = 0") if require_source else None),
         ("pins of unknown nodes", graph.pins.join(graph.nodes, "v", "left_anti")),
-    )
-    for what, bad in checks:
-        if bad is not None and (row := bad.limit(1).collect()):
-            raise GraphError(f"{what}, e.g. {row[0].asDict()}")
+    ]
+    return [*checks, ("hyperedges without a source", per_edge.where("s = 0"))] if require_source else checks
+
+
+def violations(graph: HGraph, require_source: bool = False) -> DataFrame:
+    """(rule, n): how many rows break each rule."""
+    counts = [bad.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n") for rule, bad in broken_rules(graph, require_source)]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def validate(graph: HGraph, require_source: bool = False) -> HGraph:
+    """Raise where a rule does not hold; one pass over each table."""
+    for rule, bad in broken_rules(graph, require_source):
+        if row := bad.limit(1).collect():
+            raise GraphError(f"{rule}, e.g. {row[0].asDict()}")
     return graph

@@ -1,40 +1,28 @@
 """Hypergraph, partitioning and placement files.
 
-Text formats are read with Spark's text reader; a line's number comes from (file, block, order of
-reading) by a distributed prefix count. Binary formats have records of varying length, so a file is one
-unit of reading (``binaryFile`` works on any store) and is decoded in a worker. Files in these
-formats are single streams: writers send ordered rows through the driver to the store in chunks.
+Text formats are read and written with Spark's text source; a line's number comes from (file, block, order of
+reading) by a distributed prefix count. Binary formats have records of varying length: ``binary`` finds ranges of whole
+records and reads and writes them by tasks. What is written is a folder of parts; in the order of their names they are the bytes of the
+single-file format, and every reader takes such a folder or a single file.
 """
 
 from __future__ import annotations
 
-import struct
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.structure import edge_sizes
 from ..schema import EDGES, GraphError, HGraph, validate
 from ..tables import prefix_sums, stored
+from . import binary
 
 
-def _stream(spark: SparkSession, path: str, chunks) -> None:
-    """Write byte strings to one file of any store that Spark can reach."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
-    try:
-        held = bytearray()
-        for chunk in chunks:
-            held += chunk
-            if len(held) > 1 << 20:
-                out.write(bytes(held))
-                held = bytearray()
-        out.write(bytes(held))
-    finally:
-        out.close()
+def _write_lines(lines: DataFrame, path: str, header: str | None = None) -> None:
+    """Write lines(n, value) in order of n, after the header, as parts."""
+    if header is not None:
+        head = lines.sparkSession.createDataFrame([(-1, header)], "n bigint, value string")
+        lines = head.unionByName(lines.select("n", "value"))
+    binary.ordered(lines.select("n", "value"), "n").select("value").write.mode("overwrite").text(path)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -74,104 +62,46 @@ def read_hmetis(spark: SparkSession, path: str) -> HGraph:
 
 
 def write_hmetis(graph: HGraph, path: str, scale: int = 1024) -> None:
-    """.hgr with weights as int(w * scale) if any weight is not 1 (reading does not undo the scale)."""
+    """.hgr with weights as int(w * scale) if any weight is not 1 (reading does not undo the scale). A line must fit a row."""
     weighted = graph.edges.where("w <> 1").limit(1).count() > 0
     lists = graph.pins.groupBy("e").agg(F.array_sort(F.collect_set(F.col("v") + 1)).alias("vs")).join(graph.edges, "e")
     text = F.concat_ws(" ", F.transform("vs", lambda v: v.cast("string")))
     text = F.concat_ws(" ", F.floor(F.col("w") * scale).cast("bigint").cast("string"), text) if weighted else text
-    head = f"{graph.edges.count()} {graph.nodes.count()}{' 01' if weighted else ''}\n".encode()
-    rows = lists.select("e", text.alias("t")).orderBy("e").toLocalIterator(prefetchPartitions=True)
-    _stream(graph.nodes.sparkSession, path, (c for part in ([head], ((r.t + "\n").encode() for r in rows)) for c in part))
+    _write_lines(lists.select(F.col("e").alias("n"), text.alias("value")), path, f"{graph.edges.count()} {graph.nodes.count()}{' 01' if weighted else ''}")
 
 
-def _decode(content: bytes, many_sources: bool):
-    """Header (nodes, edges) and one (sources, destinations, weight) per hyperedge."""
-    if len(content) < 8:
-        raise GraphError("no header")
-    n_nodes, n_edges = struct.unpack_from("<II", content)
-    words, at, out = np.frombuffer(content, "<u4", (len(content)) // 4), 2, []
-    for _ in range(n_edges):
-        if at + 2 > len(words):
-            raise GraphError("the file ends inside a hyperedge")
-        size, second = int(words[at]), int(words[at + 1])
-        if many_sources:
-            if second < 1 or size < second:
-                raise GraphError("a hyperedge needs a source and at least as many pins")
-            pins, n_src = words[at + 2 : at + 2 + size], second
-            at += 2 + size
-        else:
-            pins, n_src = words[at + 1 : at + 2 + size], 1
-            at += 2 + size
-        if at >= len(words):
-            raise GraphError("the file ends inside a hyperedge")
-        if len(pins) and int(pins.max()) >= n_nodes:
-            raise GraphError("a pin is not a node")
-        out.append((pins[:n_src].tolist(), pins[n_src:].tolist(), float(words[at : at + 1].view("<f4")[0])))
-        at += 1
-    return n_nodes, n_edges, out
-
-
-def _read_binary(spark: SparkSession, path: str, many_sources: bool) -> HGraph:
-    def decode(batches):
-        for rows in batches:
-            for content in rows["content"]:
-                n_nodes, _, hedges = _decode(content, many_sources)
-                yield pd.DataFrame({"e": [-1], "w": [float(n_nodes)], "srcs": [[]], "dsts": [[]]})
-                for a in range(0, len(hedges), 65536):
-                    part = hedges[a : a + 65536]
-                    yield pd.DataFrame({"e": range(a, a + len(part)), "w": [h[2] for h in part], "srcs": [h[0] for h in part], "dsts": [h[1] for h in part]})
-
-    rows = stored(spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "e bigint, w double, srcs array<bigint>, dsts array<bigint>"), "binary")
-    n_nodes = int(rows.where("e = -1").first().w)
-    rows = rows.where("e >= 0")
-    pin = lambda c, role: rows.select("e", F.explode(c).alias("v"), F.lit(role).alias("is_src"))
+def _read_binary(spark: SparkSession, path: str, kind: str) -> HGraph:
+    rows, records, (n_nodes, n_edges) = binary.read(spark, path, kind)
+    if records != n_edges:
+        raise GraphError(f"the file ends inside a hyperedge, or holds {records} of {n_edges}")
     nodes = spark.range(n_nodes).select(F.col("id").alias("v"), F.lit(1).cast("bigint").alias("size"))
-    return HGraph(nodes, rows.select("e", "w"), pin("srcs", True).unionByName(pin("dsts", False)))
+    return HGraph(nodes, rows.where("k = 0").select("e", "w"), rows.select("e", "v", "is_src"))
 
 
 def read_snn(spark: SparkSession, path: str) -> HGraph:
     """.snn: u32 nodes, u32 edges, then per hyperedge u32 destinations, u32 source, u32 destination ids, f32 weight."""
-    return _read_binary(spark, path, False)
+    return _read_binary(spark, path, "snn")
 
 
 def read_axh(spark: SparkSession, path: str) -> HGraph:
     """.axh: u32 nodes, u32 edges, then per hyperedge u32 pins, u32 sources, u32 pin ids (sources first), f32 weight."""
-    return _read_binary(spark, path, True)
-
-
-def _hedge_rows(graph: HGraph):
-    ids = lambda role: F.array_sort(F.collect_list(F.when(F.col("is_src") == F.lit(role), F.col("v"))))
-    rows = graph.pins.groupBy("e").agg(ids(True).alias("srcs"), ids(False).alias("dsts")).join(graph.edges, "e")
-    return rows.orderBy("e").toLocalIterator(prefetchPartitions=True)
+    return _read_binary(spark, path, "axh")
 
 
-def write_snn(graph: HGraph, path: str) -> int:
-    """.snn; sources after the first become destinations. Returns how many hyperedges that touched."""
+def _write_binary(graph: HGraph, path: str, kind: str) -> None:
     if edge_sizes(graph.pins).where("n_src = 0").limit(1).count():
         raise GraphError("a hyperedge has no source")
-    demoted = edge_sizes(graph.pins).where("n_src > 1").count()
+    binary.write(binary.hedge_rows(graph), path, kind, (graph.nodes.count(), graph.edges.count()))
 
-    def chunks():
-        yield struct.pack("<II", graph.nodes.count(), graph.edges.count())
-        for r in _hedge_rows(graph):
-            rest = [*r.srcs[1:], *r.dsts]
-            yield struct.pack(f"<II{len(rest)}If", len(rest), r.srcs[0], *rest, r.w)
 
-    _stream(graph.nodes.sparkSession, path, chunks())
-    return demoted
+def write_snn(graph: HGraph, path: str) -> int:
+    """.snn; sources after the first become destinations. Returns how many hyperedges that touched."""
+    _write_binary(graph, path, "snn")
+    return edge_sizes(graph.pins).where("n_src > 1").count()
 
 
 def write_axh(graph: HGraph, path: str) -> None:
-    if edge_sizes(graph.pins).where("n_src = 0").limit(1).count():
-        raise GraphError("a hyperedge has no source")
-
-    def chunks():
-        yield struct.pack("<II", graph.nodes.count(), graph.edges.count())
-        for r in _hedge_rows(graph):
-            pins = [*r.srcs, *r.dsts]
-            yield struct.pack(f"<II{len(pins)}If", len(pins), len(r.srcs), *pins, r.w)
-
-    _stream(graph.nodes.sparkSession, path, chunks())
+    _write_binary(graph, path, "axh")
 
 
 _READERS = {"hgr": read_hmetis, "snn": read_snn, "axh": read_axh}
@@ -197,8 +127,7 @@ def write_hypergraph(graph: HGraph, path: str) -> None:
 
 def write_partitioning(parts: DataFrame, path: str) -> None:
     """One part id a line, in node order."""
-    rows = parts.orderBy("v").toLocalIterator(prefetchPartitions=True)
-    _stream(parts.sparkSession, path, (f"{r.p}\n".encode() for r in rows))
+    _write_lines(parts.select(F.col("v").alias("n"), F.col("p").cast("string").alias("value")), path)
 
 
 def read_partitioning(spark: SparkSession, path: str, n_nodes: int) -> DataFrame:
@@ -215,29 +144,16 @@ def read_partitioning(spark: SparkSession, path: str, n_nodes: int) -> DataFrame
 
 def write_placement(placement: DataFrame, path: str) -> None:
     """u64 count, then i32 x, i32 y in node order."""
-
-    def chunks():
-        yield struct.pack("<Q", placement.count())
-        for r in placement.orderBy("v").toLocalIterator(prefetchPartitions=True):
-            yield struct.pack("<ii", r.x, r.y)
-
-    _stream(placement.sparkSession, path, chunks())
+    rows = binary.ordered(placement.select("v", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")), "v")
+    binary.write(rows, path, "bin", (placement.count(),))
 
 
 def read_placement(spark: SparkSession, path: str) -> DataFrame:
     """placement(v, x, y)."""
-
-    def decode(batches):
-        for rows in batches:
-            for content in rows["content"]:
-                n = struct.unpack_from("<Q", content)[0]
-                if len(content) != 8 + 8 * n:
-                    raise GraphError("the file's length does not match its count")
-                xy = np.frombuffer(content, "<i4", 2 * n, 8).reshape(-1, 2)
-                for a in range(0, n, 1 << 20):
-                    yield pd.DataFrame({"v": np.arange(a, min(n, a + (1 << 20))), "x": xy[a : a + (1 << 20), 0], "y": xy[a : a + (1 << 20), 1]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, "v bigint, x int, y int")
+    rows, records, (n,) = binary.read(spark, path, "bin")
+    if records != n:
+        raise GraphError("the file's length does not match its count")
+    return rows
 
 
 def edges_table(spark: SparkSession, rows) -> DataFrame:
