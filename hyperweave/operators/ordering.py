@@ -5,12 +5,12 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.u32 import uniform
 from ..schema import GraphError, HGraph
-from ..tables import prefix_sums, stored
+from ..tables import prefix_sums, running_sums, stored
 
 #: A feed-forward order is one sequential walk over the whole graph; larger graphs use ``locality_order``.
 MOST_WALK_PINS = 20_000_000
@@ -50,30 +50,32 @@ def label_gains(pins: DataFrame, edges: DataFrame, parts: DataFrame) -> DataFram
 
 
 def paired_moves(gains: DataFrame) -> DataFrame:
-    """(h, k, v, src, dst): k-th best mover of the even part swaps with the k-th best of the odd one."""
-    order = Window.partitionBy("p").orderBy(F.desc("gain"), "v")
-    ranked = gains.where("gain > 0").withColumn("k", F.row_number().over(order)).withColumn("h", F.shiftright("p", 1))
+    """(h, k, v, src, dst): k-th best mover of the even part swaps with the k-th best of the odd one.
+
+    Places within a part come from one order over all parts, so the two halves of the whole graph are spread like any others.
+    """
+    placed = prefix_sums(gains.where("gain > 0").withColumn("order_", -F.col("gain")), ["p", "order_", "v"], {})
+    placed = stored(placed.select("v", "p", "row"), "movers")
+    first = placed.groupBy("p").agg(F.min("row").alias("first"))
+    ranked = placed.join(first, "p").select("v", "p", (F.col("row") - F.col("first") + 1).alias("k"), F.shiftright("p", 1).alias("h"))
     even = ranked.where("p % 2 = 0").select("h", "k", F.col("v").alias("a"))
     odd = ranked.where("p % 2 = 1").select("h", "k", F.col("v").alias("b"))
     both = even.join(odd, ["h", "k"])
-    one = lambda v, s, d: both.select("h", "k", F.col(v).alias("v"), (2 * F.col("h") + s).alias("src"), (2 * F.col("h") + d).alias("dst"))
-    return one("a", 0, 1).unionByName(one("b", 1, 0))
+    ends = F.explode(F.array(*[F.struct(F.col(v).alias("v"), (2 * F.col("h") + s).alias("src"), (2 * F.col("h") + d).alias("dst")) for v, s, d in (("a", 0, 1), ("b", 1, 0))])).alias("x")
+    return both.select("h", "k", ends).select("h", "k", "x.*")
 
 
 def pair_cascade(pins: DataFrame, edges: DataFrame, parts: DataFrame, moves: DataFrame) -> DataFrame:
     """(h, k, gain): gain of each paired swap if the pairs before it are done; exact, by running counts."""
     events = pins.select("e", "v").join(moves, "v").groupBy("e", "h", "k").agg(F.sum(F.when(F.col("dst") % 2 == 0, 1).otherwise(-1)).alias("d"))
-    counts = sibling_counts(pins, parts)
-    after = F.sum("d").over(Window.partitionBy("e", "h").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    at = events.withColumn("after", after).join(counts, ["e", "h"]).join(edges, "e")
+    at = running_sums(events, ["e", "h"], "k", {"after": "d"}).join(sibling_counts(pins, parts), ["e", "h"]).join(edges, "e")
     cost = lambda d: F.least(F.col("even") + d, F.col("odd") - d)
     return at.groupBy("h", "k").agg(F.sum(F.col("w") * (cost(F.col("after") - F.col("d")) - cost(F.col("after")))).alias("gain"))
 
 
 def best_pairs(swaps: DataFrame) -> DataFrame:
     """(h, upto): the prefix of each sibling pair's swaps with the most gain, if positive; the shortest of equal ones."""
-    total = F.sum("gain").over(Window.partitionBy("h").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    best = swaps.withColumn("total", total).groupBy("h").agg(F.max(F.struct("total", (-F.col("k")).alias("k"))).alias("b"))
+    best = running_sums(swaps, ["h"], "k", {"total": "gain"}).groupBy("h").agg(F.max(F.struct("total", (-F.col("k")).alias("k"))).alias("b"))
     return best.where("b.total > 0").select("h", (-F.col("b.k")).alias("upto"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.curves import curve
 from ..schema import GraphError, HGraph
-from ..tables import prefix_sums, stored
+from ..tables import observed, prefix_sums, running_sums, stored
 from .hardware import Hardware, max_source_distance, routes, weighted_tree_span
 from .ordering import feed_forward_order, locality_order
 from .structure import pairs
@@ -55,11 +55,12 @@ def tensions(force: DataFrame, placement: DataFrame, hw: Hardware, k: int = 4) -
     return both.select("v", "u", "dir", score.alias("score")).where("score > 0").withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("v", "rank", "u", "dir", "score")
 
 
-def exclusive(swaps: DataFrame, placement: DataFrame, rounds: int = 4) -> DataFrame:
-    """(lo, hi, x, y, score): swaps in which each node and each cell takes part at most once.
+def exclusive(swaps: DataFrame, placement: DataFrame) -> DataFrame:
+    """(lo, hi, x, y, score): swaps in which each node and each cell takes part at most once, as if claimed one by one from the best score down.
 
-    Repeated local maxima: a swap is taken if it is the best (score, then lower ids) at each of the two
-    cells that it touches. ``hi`` is null for a move into an empty cell, (x, y) is the other cell.
+    Ties go to the lower ids. Each round takes every swap that is the best at both of the cells that it touches and drops those that
+    touch its cells; the best swap of all is always taken, and rounds go on until none is left, so the result is that of the
+    one-by-one claim. ``hi`` is null for a move into an empty cell, (x, y) is the other cell.
     """
     step = reduce(lambda acc, d: acc.when(F.col("dir") == d[0], F.struct(F.lit(d[1]).alias("sx"), F.lit(d[2]).alias("sy"))), DIRECTIONS[1:], F.when(F.col("dir") == DIRECTIONS[0][0], F.struct(F.lit(DIRECTIONS[0][1]).alias("sx"), F.lit(DIRECTIONS[0][2]).alias("sy"))))
     at = swaps.join(placement, "v").withColumn("st", step)
@@ -67,19 +68,18 @@ def exclusive(swaps: DataFrame, placement: DataFrame, rounds: int = 4) -> DataFr
                    F.array(F.struct("x", "y"), F.struct((F.col("x") + F.col("st.sx")).alias("x"), (F.col("y") + F.col("st.sy")).alias("y"))).alias("cells"), (F.col("v") == F.least("v", F.coalesce("u", "v"))).alias("first"))
     # a swap proposed from both sides is one; the cell of ``lo`` comes first
     cells = F.when(F.col("first"), F.col("cells")).otherwise(F.reverse("cells"))
-    left = stored(at.select("lo", "hi", "score", cells.alias("cells")).groupBy("lo", "hi", "cells").agg(F.max("score").alias("score")), "swaps")
-    done = None
-    for _ in range(rounds):
+    left, seen = observed(at.select("lo", "hi", "score", cells.alias("cells")).groupBy("lo", "hi", "cells").agg(F.max("score").alias("score")), "swaps", n=F.count("*"))
+    done = left.limit(0)
+    while seen["n"]:
         key = F.struct("score", (-F.col("lo")).alias("a"), (-F.coalesce("hi", F.lit(-1))).alias("b"), "cells")
         flat = left.select("lo", "hi", "cells", "score", key.alias("key"), F.explode("cells").alias("cell"))
         top = flat.groupBy("cell").agg(F.max("key").alias("top"))
         won = flat.join(top, "cell").where("key = top").groupBy("lo", "hi", "cells", "score").agg(F.count("*").alias("n")).where("n = 2").drop("n")
-        done = stored(won if done is None else done.unionByName(won), "won")
-        used = done.select(F.explode("cells").alias("cell")).distinct()
-        lost = left.select("lo", "hi", "cells", "score", F.explode("cells").alias("cell")).join(used, "cell", "left_semi").select("lo", "hi", "cells").distinct()
-        left = stored(left.alias("l").join(lost.alias("r"), F.col("l.cells") == F.col("r.cells"), "left_anti"), "swaps")
-        if not left.limit(1).count():
-            break
+        won = stored(won, "won")
+        done = done.unionByName(won)
+        used = won.select(F.explode("cells").alias("cell"))
+        lost = flat.join(used, "cell", "left_semi").select("lo", "cells").distinct()
+        left, seen = observed(left.join(lost, ["lo", "cells"], "left_anti").select("lo", "hi", "cells", "score"), "swaps", n=F.count("*"))
     return done.select("lo", "hi", F.element_at("cells", 2)["x"].alias("x"), F.element_at("cells", 2)["y"].alias("y"), "score")
 
 
@@ -119,14 +119,14 @@ def refined(graph: HGraph, placement: DataFrame, hw: Hardware, iterations: int =
     """Force-directed refinement: per round the best prefix of ranked exclusive swaps, until one gains less than ``least_gain``."""
     for _ in range(iterations):
         force = stored(forces(graph.pins, graph.edges, placement), "forces")
-        wanted = stored(tensions(force, placement, hw, k), "tensions")
-        if not wanted.limit(1).count():
+        wanted, seen = observed(tensions(force, placement, hw, k), "tensions", n=F.count("*"))
+        if not seen["n"]:
             break
-        swaps = exclusive(wanted, placement, k).withColumn("order_", -F.col("score"))
+        swaps = exclusive(wanted, placement).withColumn("order_", -F.col("score"))
         ranked = stored(prefix_sums(swaps, ["order_", "lo"], {}).withColumnRenamed("row", "rank").drop("order_"), "ranked")
         gains = swap_cascade(graph.pins, graph.edges, placement, ranked)
         rows = ranked.select("rank").join(gains, "rank", "left").select("rank", F.coalesce("gain", F.lit(0)).alias("g"))
-        best = prefix_sums(rows, ["rank"], {"total": "g"}).orderBy(F.desc("total"), "rank").first()
+        best = running_sums(rows, [], "rank", {"total": "g"}).orderBy(F.desc("total"), "rank").first()
         if best is None or best.total < least_gain:
             break
         placement = stored(swapped(placement, ranked.where(F.col("rank") <= best["rank"])), "placement")

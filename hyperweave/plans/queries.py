@@ -600,7 +600,7 @@ def tensions_topk(spark, sf_dir):
 @query
 def exclusive_swaps(spark, sf_dir):
     graph, at, _ = _routes(spark, sf_dir)
-    return placement.exclusive(placement.tensions(placement.forces(graph.pins, graph.edges, at), at, replace(HW, width=10, height=8), 2), at, 2)
+    return placement.exclusive(placement.tensions(placement.forces(graph.pins, graph.edges, at), at, replace(HW, width=10, height=8), 2), at)
 
 
 @query

@@ -315,6 +315,14 @@ _BODIES = {
     "partitioning_round_trip": "SELECT v, p FROM parts",
     "placement_round_trip": "SELECT v, (v % 64)::INTEGER AS x, (-(v // 64))::INTEGER AS y FROM nodes",
     "scaled_counts": "SELECT ceil((SELECT count(*) FROM nodes) * 1.5::DOUBLE)::BIGINT AS n_nodes, ceil((SELECT count(*) FROM dedges) * 1.5::DOUBLE)::BIGINT AS n_hedges, true AS all_joined",
+    "exclusive_swaps": _SWAPS + """,
+ wish AS (SELECT least(t.v, coalesce(u, t.v)) AS lo, CASE WHEN u IS NOT NULL THEN greatest(t.v, u) END AS hi, score, g.x * 100 + g.y AS own, (g.x + sx) * 100 + g.y + sy AS aim, t.v = least(t.v, coalesce(u, t.v)) AS low
+  FROM toptens t JOIN grid g ON g.v = t.v JOIN steps s ON s.dir = t.dir WHERE rank < 2),
+ cand AS (SELECT lo, hi, CASE WHEN low THEN own ELSE aim END AS c1, CASE WHEN low THEN aim ELSE own END AS c2, max(score) AS score FROM wish GROUP BY ALL),
+ listed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY score DESC, lo, coalesce(hi, -1), c1 DESC, c2 DESC) AS r FROM cand),
+ claims AS (SELECT 0::BIGINT AS r, []::INTEGER[] AS used, false AS takes UNION ALL
+  SELECT l.r, CASE WHEN list_has_any(used, [c1, c2]) THEN used ELSE list_concat(used, [c1, c2]) END, NOT list_has_any(used, [c1, c2]) FROM claims c JOIN listed l ON l.r = c.r + 1)
+ SELECT lo, hi, (c2 // 100)::INTEGER AS x, (c2 % 100)::INTEGER AS y, score FROM listed JOIN claims USING (r) WHERE takes""",
     "tensions_topk": _SWAPS + " SELECT v, rank, u, dir, score FROM toptens WHERE rank < 2",
 }
 #: Totals over prefixes, from the three event queries.

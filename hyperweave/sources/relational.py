@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import HGraph
+from ..tables import prefix_sums
 
 
 def from_table(rows: DataFrame, hedge: str, node: str, nodes: DataFrame, weight=None, order: list[str] | None = None) -> HGraph:
@@ -46,7 +47,6 @@ def supply(spark: SparkSession, sf_dir: str) -> HGraph:
 def user_events(spark: SparkSession, sf_dir: str) -> HGraph:
     """Users as hyperedges over event types, numbered in the order of their names."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type")
-    types = events.select("event_type").distinct()
-    ids = types.join(types.withColumnRenamed("event_type", "other"), F.col("other") < F.col("event_type"), "left").groupBy("event_type").agg(F.count("other").alias("v"))
+    ids = prefix_sums(events.select("event_type").distinct(), ["event_type"], {}).withColumnRenamed("row", "v")
     rows = events.join(ids, "event_type")
     return from_table(rows, "user_id", "v", ids.select("v", F.lit(1).cast("bigint").alias("size")), F.count("*"))

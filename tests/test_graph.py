@@ -452,6 +452,34 @@ def pair_cost(hedges, at):
     return sum(w * sum(abs(at[a][0] - at[b][0]) + abs(at[a][1] - at[b][1]) for a, b in itertools.combinations(s + d, 2)) for s, d, w in hedges)
 
 
+def test_swaps_are_claimed_from_the_best_down(spark):
+    rng = random.Random(3)
+    side = 7
+    at = {v: (v % side, v // side) for v in rng.sample(range(side * side), 30)}
+    node_at = {c: v for v, c in at.items()}
+    rows = []
+    for v, (x, y) in at.items():
+        for rank, (d, dx, dy) in enumerate((("left", -1, 0), ("right", 1, 0), ("up", 0, -1), ("down", 0, 1))):
+            if 0 <= x + dx < side and 0 <= y + dy < side and rng.random() < 0.8:
+                rows.append((v, rank, node_at.get((x + dx, y + dy)), d, rng.randrange(1, 5)))
+    step = {"left": (-1, 0), "right": (1, 0), "up": (0, -1), "down": (0, 1)}
+    score = {}
+    for v, _, u, d, s in rows:
+        ends = (at[v], (at[v][0] + step[d][0], at[v][1] + step[d][1]))
+        lo, hi = (v, None) if u is None else (min(u, v), max(u, v))
+        key = (lo, hi, ends if v == lo else ends[::-1])
+        score[key] = max(score.get(key, 0), s)
+    used, want = set(), set()
+    for (lo, hi, ends), s in sorted(score.items(), key=lambda r: (-r[1], r[0][0], -1 if r[0][1] is None else r[0][1], [(-x, -y) for x, y in r[0][2]])):
+        if not used & set(ends):
+            used |= set(ends)
+            want.add((lo, hi, *ends[1], s))
+    swaps = spark.createDataFrame(rows, "v bigint, rank int, u bigint, dir string, score bigint")
+    cells = spark.createDataFrame([(v, *c) for v, c in at.items()], "v bigint, x int, y int")
+    assert set(map(tuple, placement.exclusive(swaps, cells).collect())) == want
+    assert placement.exclusive(swaps.limit(0), cells).count() == 0
+
+
 def test_swaps_replay(spark):
     hedges = random_hedges(10, 20, 11)
     graph = HGraph.of(spark, 10, hedges)
@@ -574,13 +602,16 @@ def test_scaled_graphs(spark):
     assert big.pins.groupBy("e").count().where("count < 2").count() == 0
 
 
-def test_streamed_metrics(spark, tmp_path):
+def test_streamed_metrics_go_on_after_a_restart(spark, tmp_path):
     hedges = random_hedges(12, 20, 14)
     graph, part = HGraph.of(spark, 12, hedges), [v % 3 for v in range(12)]
-    graph.pins.repartition(4).write.parquet(f"file://{tmp_path}/pins")
-    stream = spark.readStream.schema(graph.pins.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/pins")
-    query, state = watch(stream, graph, parts_df(spark, part), f"file://{tmp_path}/ck")
-    query.awaitTermination(120)
+    where = f"file://{tmp_path}/pins"
+    stream = lambda: spark.readStream.schema(graph.pins.schema).option("maxFilesPerTrigger", 1).parquet(where)
+    early, late = graph.pins.where("e < 8 OR v % 2 = 0"), graph.pins.where("e >= 8 AND v % 2 = 1")
+    for pins in (early, late):
+        pins.repartition(2).write.mode("append").parquet(where)
+        query, state = watch(stream(), graph, parts_df(spark, part), f"file://{tmp_path}/ck")
+        assert query.awaitTermination(200)
     row = state.metrics().first()
     assert (row.connectivity, row.cut_net, row.soed) == brute_cut(hedges, part)
 
