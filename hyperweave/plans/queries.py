@@ -422,9 +422,16 @@ def inbound_events_valid(spark, sf_dir):
 
 
 def _prefixes(spark, sf_dir):
-    graph = basket(spark, sf_dir)
-    moves = cascade_gain(spark, sf_dir)
-    return graph, refine.prefixes(moves, _size_events(spark, sf_dir), _inbound_events(spark, sf_dir))
+    """Totals of the fixed moves: gains on the undirected graph, sizes and inbound hyperedges on the directed one."""
+    graph, directed = basket(spark, sf_dir), basket(spark, sf_dir, directed=True)
+    moves, parts = stored(moves_of(graph), "moves"), parts_of(graph)
+    gains = refine.cascade(graph, moves, refine.pins_per_part(graph.pins, parts))
+    sizes = parts.groupBy("p").agg(F.count("*").alias("size"))
+    excess = refine.size_excess(graph.nodes, moves, sizes, Constraints(max(1, graph.nodes.count() // 8 + 3), 1, 8))
+    directed = HGraph(directed.nodes, directed.edges, stored(directed.pins, "pins"))
+    ppp = stored(refine.pins_per_part(directed.pins, parts), "ppp")
+    cap = ppp.where("n_in > 0").groupBy("p").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return graph, refine.prefixes(gains, excess, refine.inbound_breaks(directed.pins, moves, ppp, Constraints(1, max(1, cap - 5), 8)))
 
 
 @query

@@ -283,7 +283,6 @@ def ordered(df: DataFrame, key: str, *within) -> DataFrame:
 
 
 def hedge_rows(graph) -> DataFrame:
-    """(e, v, n_pins, n_src, w) by e, sources first, then ids."""
+    """(e, v, n_pins, n_src, w, is_src)."""
     sizes = graph.pins.groupBy("e").agg(F.count("*").alias("n_pins"), F.sum(F.col("is_src").cast("bigint")).alias("n_src"))
-    rows = graph.pins.join(sizes, "e").join(graph.edges, "e").select("e", "v", "n_pins", "n_src", F.col("w").cast("double").alias("w"), "is_src")
-    return ordered(rows, "e", F.desc("is_src"), "v").select("e", "v", "n_pins", "n_src", "w")
+    return graph.pins.join(sizes, "e").join(graph.edges, "e").select("e", "v", "n_pins", "n_src", F.col("w").cast("double").alias("w"), "is_src")

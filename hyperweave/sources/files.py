@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.structure import edge_sizes
 from ..schema import EDGES, GraphError, HGraph, validate
-from ..tables import prefix_sums, stored
+from ..tables import observed, prefix_sums, stored
 from . import binary
 
 
@@ -74,6 +73,7 @@ def _read_binary(spark: SparkSession, path: str, kind: str) -> HGraph:
     rows, records, (n_nodes, n_edges) = binary.read(spark, path, kind)
     if records != n_edges:
         raise GraphError(f"the file ends inside a hyperedge, or holds {records} of {n_edges}")
+    rows = stored(rows, "binary")
     nodes = spark.range(n_nodes).select(F.col("id").alias("v"), F.lit(1).cast("bigint").alias("size"))
     return HGraph(nodes, rows.where("k = 0").select("e", "w"), rows.select("e", "v", "is_src"))
 
@@ -88,16 +88,19 @@ def read_axh(spark: SparkSession, path: str) -> HGraph:
     return _read_binary(spark, path, "axh")
 
 
-def _write_binary(graph: HGraph, path: str, kind: str) -> None:
-    if edge_sizes(graph.pins).where("n_src = 0").limit(1).count():
+def _write_binary(graph: HGraph, path: str, kind: str) -> int:
+    """Write the graph; returns how many hyperedges have more than one source."""
+    share = 1 / F.col("n_pins")  # of a hyperedge, for each of its pins
+    rows, seen = observed(binary.hedge_rows(graph), "hedges", bare=F.count_if(F.col("n_src") == 0), hedges=F.sum(share), many=F.sum(F.when(F.col("n_src") > 1, share)))
+    if seen["bare"]:
         raise GraphError("a hyperedge has no source")
-    binary.write(binary.hedge_rows(graph), path, kind, (graph.nodes.count(), graph.edges.count()))
+    binary.write(binary.ordered(rows, "e", F.desc("is_src"), "v").drop("is_src"), path, kind, (graph.nodes.count(), round(seen["hedges"] or 0)))
+    return round(seen["many"] or 0)
 
 
 def write_snn(graph: HGraph, path: str) -> int:
     """.snn; sources after the first become destinations. Returns how many hyperedges that touched."""
-    _write_binary(graph, path, "snn")
-    return edge_sizes(graph.pins).where("n_src > 1").count()
+    return _write_binary(graph, path, "snn")
 
 
 def write_axh(graph: HGraph, path: str) -> None:
