@@ -478,6 +478,16 @@ def random_partition(spark, sf_dir):
     return initial.random_parts(basket(spark, sf_dir).nodes, 8)
 
 
+@query
+def jacobi_accept(spark, sf_dir):
+    """What the parts take of each node's best move, with a tenth more room than an even share."""
+    graph = basket(spark, sf_dir, directed=True)
+    pins = stored(graph.pins.join(graph.edges, "e"), "pins")
+    nodes = stored(graph.nodes.join(parts_of(graph), "v"), "nodes")
+    wanted = initial.offers(pins, nodes, refine.pins_per_part(pins, nodes.select("v", "p")))
+    return initial.accepted(wanted, initial.part_sizes(nodes), Constraints.kway(nodes.count(), 8, 0.1).nodes_per_part)
+
+
 @query
 def state_hash(spark, sf_dir):
     return initial.state_hash(parts_of(basket(spark, sf_dir)))

@@ -217,6 +217,11 @@ _BODIES = {
     "coarsen_neighbors": "SELECT DISTINCT a.v // 2 AS g, b.v // 2 AS h FROM pins a JOIN pins b USING (e) WHERE a.v // 2 <> b.v // 2",
     "uncoarsen": "SELECT v, g % 8 AS p FROM groups_",
     "pins_per_partition": "SELECT e, p, n, n_in FROM ppp",
+    "jacobi_accept": """, near AS (SELECT d.v, p.p AS src, ppp.p AS dst, sum(w) AS t, sum(CASE WHEN n = 1 THEN w ELSE 0 END) AS alone FROM dpins d JOIN dedges USING (e) JOIN parts p ON p.v = d.v JOIN ppp ON ppp.e = d.e GROUP BY ALL),
+ top AS (SELECT v, src, dst, t, row_number() OVER (PARTITION BY v ORDER BY t DESC, dst DESC) AS k FROM near WHERE src <> dst),
+ wanted AS (SELECT v, top.src, top.dst, top.t + alone - near.t AS gain FROM top JOIN near USING (v) WHERE k = 1 AND near.src = near.dst AND top.t + alone > near.t),
+ run AS (SELECT v, src, dst, count(*) OVER (PARTITION BY dst ORDER BY gain DESC, v) AS upto FROM wanted)
+ SELECT v, src, dst FROM run JOIN dloads ON p = dst WHERE upto + size <= (SELECT ceil(1.1::DOUBLE * count(*) / 8) FROM nodes)""",
     "fm_gains": ", tot AS (SELECT d.v, p.p AS src, sum(w) AS total, sum(CASE WHEN n = 1 THEN w ELSE 0 END) AS saving FROM dpins d JOIN dedges USING (e) JOIN parts p ON p.v = d.v JOIN ppp ON ppp.e = d.e AND ppp.p = p.p GROUP BY d.v, p.p), touch AS (SELECT d.v, ppp.p AS dst, sum(w) AS touched FROM dpins d JOIN dedges USING (e) JOIN ppp ON ppp.e = d.e GROUP BY d.v, ppp.p), opts AS (SELECT p.v, p.p AS src, l.p AS dst, coalesce(saving, 0) - coalesce(total, 0) + coalesce(touched, 0) AS gain FROM parts p JOIN dloads l ON l.p <> p.p AND l.size + 1 <= 300 LEFT JOIN tot ON tot.v = p.v LEFT JOIN touch ON touch.v = p.v AND touch.dst = l.p) SELECT v, src, dst, gain::BIGINT AS gain FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY gain DESC, dst DESC) AS k FROM opts) WHERE k = 1",
     "fm_gains_incc": ", tot AS (SELECT d.v, p.p AS src, sum(w) AS total, sum(w / (n * n)::DOUBLE) AS saving FROM dpins d JOIN dedges USING (e) JOIN parts p ON p.v = d.v JOIN ppp ON ppp.e = d.e AND ppp.p = p.p GROUP BY d.v, p.p), touch AS (SELECT d.v, ppp.p AS dst, sum(w) AS touched FROM dpins d JOIN dedges USING (e) JOIN ppp ON ppp.e = d.e GROUP BY d.v, ppp.p), opts AS (SELECT p.v, p.p AS src, l.p AS dst, coalesce(saving, 0) - coalesce(total, 0) + coalesce(touched, 0) AS gain FROM parts p JOIN dloads l ON l.p <> p.p AND l.size + 1 - 0 <= 300 LEFT JOIN tot ON tot.v = p.v LEFT JOIN touch ON touch.v = p.v AND touch.dst = l.p) SELECT v, src, dst, round(gain, 6) AS gain FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY gain DESC, dst DESC) AS k FROM opts) WHERE k = 1",
     "chain_moves": _CHAINS,

@@ -306,10 +306,97 @@ def test_packing_and_starts(spark):
         want |= {x: min(held) for x in held} | {v: v for v, s, _ in rows if below is not None and s >= below}
         assert {r.id: r.pack for r in initial.packed(spark.createDataFrame(rows, "id bigint, size bigint, inbound bigint"), Constraints(50, 30, 9), below).collect()} == want
     assert initial.packed(spark.createDataFrame([], "id bigint, size bigint, inbound bigint"), Constraints(5, 3, 9)).count() == 0
-    part = initial.best_fit({v: rng.randrange(1, 4) for v in range(12)}, 3, 12, rng)
-    assert part is None or len(part) == 12
-    local = initial.LocalGraph({v: 1 for v in range(8)}, [([0, 1, 2, 3], 1.0), ([4, 5, 6, 7], 1.0), ([3, 4], 1.0)])
-    assert min(initial.kway_start(local, 2, 5, s)[0] for s in range(32)) == 1.0
+
+
+def test_layout_equals_best_fit_one_by_one():
+    rng = random.Random(5)
+    for _ in range(300):
+        k, capacity = rng.randrange(1, 6), rng.randrange(4, 30)
+        sizes = [rng.randrange(0 if rng.random() < 0.1 else 1, 10) for _ in range(rng.randrange(0, 25))]
+        load, fits = [0] * k, True
+        for s in sorted(sizes, reverse=True):
+            room = [p for p in range(k) if load[p] + s <= capacity]
+            if not (fits := bool(room)):
+                break
+            load[max(room, key=lambda p: (load[p], -p))] += s
+        got = initial.layout({s: sizes.count(s) for s in set(sizes)}, k, capacity)
+        assert (got is not None) == fits
+        if fits:
+            held = [0] * k
+            for size, first, upto, p in got:
+                held[p] += size * (upto - first)
+            assert held == load
+            for size in set(sizes):
+                assert sorted(v for s, first, upto, _ in got if s == size for v in range(first, upto)) == list(range(sizes.count(size)))
+
+
+def brute_jacobi(hedges, sizes, part, k, capacity, rounds):
+    """Cost (weight times parts touched) and parts of the best state."""
+    cost = lambda part: sum(w * len({part[v] for v in vs}) for vs, w in hedges)
+    best, seen = (cost(part), part), {tuple(part)}
+    for _ in range(rounds):
+        wanted, load = {p: [] for p in range(k)}, [sum(s for v, s in enumerate(sizes) if part[v] == p) for p in range(k)]
+        for v, src in enumerate(part):
+            gain = lambda p: sum(w * ((sum(part[u] == src for u in vs) == 1) - (p not in {part[u] for u in vs})) for vs, w in hedges if v in vs)  # noqa: B023, E731
+            g, p = max((gain(p), p) for p in range(k) if p != src)
+            if g > 0:
+                wanted[p].append((-g, v))
+        part = list(part)
+        for p, moves in wanted.items():
+            for _, v in sorted(moves):
+                load[p] += sizes[v]
+                if load[p] > capacity:
+                    break
+                part[v] = p
+        if tuple(part) in seen:
+            break
+        seen.add(tuple(part))
+        best = min(best, (cost(part), part), key=lambda b: b[0])
+    return best
+
+
+def test_starts_equal_a_walk_of_each(spark):
+    n, k, rng = 18, 3, random.Random(11)
+    hedges = [(sorted(set(s + d)), w) for s, d, w in random_hedges(n, 24, 4)]
+    sizes = [rng.randrange(1, 4) for _ in range(n)]
+    capacity = -(-sum(sizes) * 5 // (4 * k))
+    pins = spark.createDataFrame([(e, v, w) for e, (vs, w) in enumerate(hedges) for v in vs], "e bigint, v bigint, w bigint")
+    nodes = spark.createDataFrame(list(enumerate(sizes)), "v bigint, size bigint")
+    tried = initial.Starts(pins, nodes, k, Constraints(capacity, 2**31 - 1, k), 5, 86)
+
+    def state():
+        out = [[None] * n for _ in range(5)]
+        for r in tried.nodes.collect():
+            assert sizes[r.v % n] == r["size"] and r.p // k == r.v // n
+            out[r.v // n][r.v % n] = r.p % k
+        return out
+
+    load = lambda part: max(sum(s for v, s in enumerate(sizes) if part[v] == p) for p in range(k))
+    cost = lambda part: sum(w * len({part[v] for v in vs}) for vs, w in hedges)
+    first = state()
+    assert all(load(part) <= capacity for part in first) and len({tuple(part) for part in first}) > 1
+    tried.jacobi(6)
+    want = [brute_jacobi(hedges, sizes, part, k, capacity, 6) for part in first]
+    assert [tried.cost[s] for s in range(5)] == [c for c, _ in want] and state() == [part for _, part in want]
+    tried.single_moves(20)
+    last = state()
+    assert [cost(part) for part in last] == [tried.cost[s] for s in range(5)]
+    assert all(load(part) <= capacity and cost(part) <= c for part, (c, _) in zip(last, want))
+    assert sum(map(cost, last)) < sum(map(cost, first))
+    best = {r.v: r.p for r in tried.best().collect()}
+    assert len(best) == n and cost(best) == min(tried.cost.values())
+
+
+def test_kway_starts_of_small_and_empty_graphs(spark):
+    graph = HGraph.of(spark, 8, [([0], [1, 2, 3], 9), ([4], [5, 6, 7], 9), ([3], [4], 1)])
+    limits = Constraints(5, 2**31 - 1, 2)
+    parts = {r.v: r.p for r in initial.kway_initial(graph, 2, limits, starts=8).collect()}
+    assert sorted(parts) == list(range(8)) and max(list(parts.values()).count(p) for p in (0, 1)) <= 5
+    alone = HGraph(graph.nodes, graph.edges.limit(0), graph.pins.limit(0))
+    assert initial.kway_initial(alone, 2, limits, starts=2).count() == 8
+    assert initial.kway_initial(HGraph(graph.nodes.limit(0), alone.edges, alone.pins), 2, limits, starts=2).count() == 0
+    with pytest.raises(GraphError, match="no start"):
+        initial.kway_initial(graph, 2, Constraints(3, 2**31 - 1, 2), starts=2)
 
 
 @pytest.mark.parametrize("chunk", [1, 9, 1 << 16])
