@@ -55,9 +55,15 @@ class Log:
         self.add(first)
 
     def add(self, df: DataFrame) -> DataFrame:
-        part = stored(df.select(*self.schema.names), self.name)
+        return self.observed(df)[0]
+
+    def observed(self, df: DataFrame, **figures: Column) -> tuple[DataFrame, dict]:
+        """``add``, with aggregates of the rows; these may use columns of ``df`` that the log leaves out."""
+        seen = Observation()
+        seen_df = df.observe(seen, *[c.alias(k) for k, c in figures.items()]) if figures else df
+        part = stored(seen_df.select(*self.schema.names), self.name)
         self.paths.append(part.stored_path)
-        return part
+        return part, seen.get if figures else {}
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths)

@@ -330,11 +330,11 @@ def test_layout_equals_best_fit_one_by_one():
                 assert sorted(v for s, first, upto, _ in got if s == size for v in range(first, upto)) == list(range(sizes.count(size)))
 
 
-def brute_jacobi(hedges, sizes, part, k, capacity, rounds):
+def brute_jacobi(hedges, sizes, part, k, capacity, rounds, patience):
     """Cost (weight times parts touched) and parts of the best state."""
     cost = lambda part: sum(w * len({part[v] for v in vs}) for vs, w in hedges)
-    best, seen = (cost(part), part), {tuple(part)}
-    for _ in range(rounds):
+    best, seen, at = (cost(part), part), {tuple(part)}, 0
+    for step in range(1, rounds + 1):
         wanted, load = {p: [] for p in range(k)}, [sum(s for v, s in enumerate(sizes) if part[v] == p) for p in range(k)]
         for v, src in enumerate(part):
             gain = lambda p: sum(w * ((sum(part[u] == src for u in vs) == 1) - (p not in {part[u] for u in vs})) for vs, w in hedges if v in vs)  # noqa: B023, E731
@@ -351,11 +351,15 @@ def brute_jacobi(hedges, sizes, part, k, capacity, rounds):
         if tuple(part) in seen:
             break
         seen.add(tuple(part))
-        best = min(best, (cost(part), part), key=lambda b: b[0])
+        if cost(part) < best[0]:
+            best, at = (cost(part), part), step
+        if step - at >= patience:
+            break
     return best
 
 
-def test_starts_equal_a_walk_of_each(spark):
+@pytest.mark.parametrize("patience", [1, 9])
+def test_starts_equal_a_walk_of_each(spark, patience):
     n, k, rng = 18, 3, random.Random(11)
     hedges = [(sorted(set(s + d)), w) for s, d, w in random_hedges(n, 24, 4)]
     sizes = [rng.randrange(1, 4) for _ in range(n)]
@@ -375,8 +379,8 @@ def test_starts_equal_a_walk_of_each(spark):
     cost = lambda part: sum(w * len({part[v] for v in vs}) for vs, w in hedges)
     first = state()
     assert all(load(part) <= capacity for part in first) and len({tuple(part) for part in first}) > 1
-    tried.jacobi(6)
-    want = [brute_jacobi(hedges, sizes, part, k, capacity, 6) for part in first]
+    tried.jacobi(6, patience)
+    want = [brute_jacobi(hedges, sizes, part, k, capacity, 6, patience) for part in first]
     assert [tried.cost[s] for s in range(5)] == [c for c, _ in want] and state() == [part for _, part in want]
     tried.single_moves(20)
     last = state()
